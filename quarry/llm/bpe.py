@@ -15,6 +15,7 @@ Nulls and empty texts give no ids; equal rows give equal rows; other columns pas
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import ragged, slices, text_bytes
+from quarry.llm._shared import lean, ragged, slices
 
 #: Fixed value: white space of the pre-splitting pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level tokenizer's pre-splitting pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct words whose encoding a Python worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+#: Arcs that the transition table keeps.
+KEPT_ARCS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,8 +70,11 @@ class MergeAutomaton:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self._merge(time, vocabulary[left], vocabulary[right], vocabulary[left + right])
         self.longest = max(map(len, self.read), default=0)
+        self._forget()
+
+    def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self._lists: list[np.ndarray] = []
+        self._ids, self._ends = array("i"), array("q", [0])
 
     def _merge(self, time: int, left: int, right: int, token: int) -> None:
         """Adds the gadget of one merge. A pair that no longer can be read adds none: its token is never used."""
@@ -101,7 +107,7 @@ class MergeAutomaton:
         key = state << 20 | token
         found = self.table.get(key)
         if found is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) > KEPT_ARCS:
                 self.table.clear()
             found = self.table[key] = self._open(state, token, 1 << 40)
         return found
@@ -126,8 +132,9 @@ class MergeAutomaton:
     def _index(self, word: str) -> int:
         found = self.words.get(word)
         if found is None:
-            found = self.words[word] = len(self._lists)
-            self._lists.append(np.array([self.special[word[1:]]] if word[:1] == "\0" and word[1:] in self.special else self.encode_word(word.encode()), dtype=np.int32))
+            found = self.words[word] = len(self._ends) - 1
+            self._ids.extend([self.special[word[1:]]] if word[:1] == "\0" and word[1:] in self.special else self.encode_word(word.encode()))
+            self._ends.append(len(self._ids))
         return found
 
     def pieces(self, text: str) -> list[str]:
@@ -143,8 +150,7 @@ class MergeAutomaton:
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the texts' offsets in them."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self._lists.clear()
+            self._forget()
         known, index, picks, sizes = self.words, self._index, [], [0]
         for text in texts:
             words = self.pieces(text) if text else []
@@ -154,9 +160,7 @@ class MergeAutomaton:
                 picks.append(np.fromiter(map(index, words), np.int64, len(words)))
             sizes.append(len(words))
         pick = np.concatenate(picks) if picks else np.zeros(0, np.int64)
-        lengths = np.fromiter(map(len, self._lists), np.int64, len(self._lists))
-        values = np.concatenate(self._lists) if self._lists else np.zeros(0, np.int32)
-        ids, at = ragged(values, np.concatenate([[0], np.cumsum(lengths)]), pick)
+        ids, at = ragged(np.array(self._ids, dtype=np.int32), np.array(self._ends, dtype=np.int64), pick)
         return ids, at[np.cumsum(sizes)]
 
     def decode_batch(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,23 +190,46 @@ def specification(path: str) -> str:
         return file.read()
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _encoded(machine: MergeAutomaton, batch: pa.RecordBatch, text: str, ids: str) -> pa.RecordBatch:
+    values, at = machine.encode_batch(batch.column(text).to_pylist())
+    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, pa.int32()))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+
+
+def _decoded(machine: MergeAutomaton, batch: pa.RecordBatch, ids: str, text: str) -> pa.RecordBatch:
+    lists = batch.column(ids)
+    lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32())) if lists.null_count else lists
+    at = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.slice(at[0], at[-1] - at[0])
+    data, ends = machine.decode_batch(np.asarray(values.fill_null(-1)), at - at[0])
+    raw = data.tobytes()
+    try:
+        for a, b in zip(ends, ends[1:], strict=False):
+            raw[a:b].decode()
+        out = pa.Array.from_buffers(pa.string(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+    except UnicodeDecodeError:
+        out = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, text])
+
+
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the column ``ids`` array<int>: the encoding of each whole text. ``tokenizer``: a vocabulary's path.
 
-    A null text has no ids, like the empty one. A column already named ``ids`` is replaced.
+    ``decoded``: also add this column, the ids decoded again (in the same Python worker). A null text has no ids, like
+    the empty one. Columns already named ``ids`` or ``decoded`` are replaced.
     """
-    df = df.drop(ids)
+    df = lean(df.drop(ids, *[decoded] * bool(decoded)))
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(told.value)
         for whole in batches:
             for batch in slices(whole, text):
-                values, at = machine.encode_batch(batch.column(text).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+                out = _encoded(machine, batch, text, ids)
+                yield _decoded(machine, out, ids, decoded) if decoded else out
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(decoded, T.StringType())] * bool(decoded)]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -210,25 +237,13 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
 
     Null ids give the empty text. A column already named ``text`` is replaced.
     """
-    df = df.drop(text)
+    df = lean(df.drop(text))
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(told.value)
         for batch in batches:
-            lists = batch.column(ids)
-            lists = pa.array(lists.to_pylist(), pa.list_(pa.int32())).fill_null([]) if lists.null_count else lists
-            at = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.slice(at[0], at[-1] - at[0])
-            data, ends = machine.decode_batch(np.asarray(values.fill_null(-1)), at - at[0])
-            raw = data.tobytes()
-            try:
-                raw.decode()
-                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-                out = whole.cast(pa.large_string()).cast(pa.string())
-            except (UnicodeDecodeError, pa.ArrowInvalid):
-                out = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, text])
+            yield _decoded(machine, batch, ids, text)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
@@ -240,8 +255,7 @@ def ids_text(ids: Column) -> Column:
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of the ids and of the decoded text of each document."""
-    ids = encode(documents.select("doc_id", "text"), tokenizer).drop("text")
-    return decode(ids, tokenizer).select(
+    return encode(documents.select("doc_id", "text"), tokenizer, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
