@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, and from now on at most ``rows`` rows in an Arrow batch of its session: texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -86,7 +95,7 @@ def ragged(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     return values[index], at
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> list[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> list[pa.RecordBatch]:
     """Runs of rows whose texts in ``column`` hold about ``limit`` bytes at most (a longer text stands alone)."""
     _, at = text_bytes(batch.column(column))
     out, low = [], 0
@@ -95,3 +104,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> list[pa.
         out.append(batch.slice(low, high - low))
         low = high
     return out
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """An integer or byte array as zstandard over its byte planes."""
+    if values.itemsize > 1:
+        values = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def spread(data: bytes, dtype: type = np.uint8) -> np.ndarray:
+    """The array of ``squeeze``."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return raw if size == 1 else np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit (SplitMix64's finaliser)."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -29,8 +29,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import lm
+
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import ragged, shared_folder, slices, split_words, text_bytes
+from quarry.llm._shared import lean, ragged, shared_folder, slices, split_words, text_bytes
 from quarry.llm.bpe import specification
 
 MAGIC = b"QPL1"
@@ -34,7 +34,7 @@ BLOCK = 16_384
 #: Ids of a file at least, but for a partition's last.
 FILE_IDS = 1 << 20
 #: Distinct pieces whose ids a Python worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 _TAIL = struct.Struct("<QQIIB4s")
 FILES = "part int, part_start bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -97,12 +97,39 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(told)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.closes = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(self.tokenizer.get_vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.values, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def _asked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces on end, and their lengths."""
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _asked_together(self, pieces: list[str], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, asked as one text, for pieces of letters (1 part), some with a mark behind (2): an id ends each part."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends, last = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(parts) - 1
+        if len(ends) != last[-1] + 1 or len(ids) != ends[-1]:
+            return self._asked(pieces)
+        return ids, np.diff(ends[last], prepend=0)
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [x.decode(errors="replace") for x in new]
+        parts = [1 if x.isalpha() else 2 if x[-1] in ".,;:!?" and x[:-1].isalpha() else 0 for x in texts]
+        plain = [k for k, n in enumerate(parts) if n]
+        rest = [k for k, n in enumerate(parts) if not n]
+        found = [self._asked([texts[k] for k in rest])]
+        for low in range(0, len(plain), 2000):
+            some = plain[low : low + 2000]
+            found.append(self._asked_together([texts[k] for k in some], [parts[k] for k in some]))
+        self.known.update(zip((new[k] for k in [*rest, *plain]), range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.values = np.concatenate([self.values, *(x[0] for x in found)])
+        self.lengths = np.concatenate([self.lengths, *(x[1] for x in found)])
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts on end, and the texts' offsets in them."""
         words, word_at = split_words(raw, at, lower=False)
@@ -111,10 +138,7 @@ class PieceEncoder:
         distinct, known = words.dictionary.to_pylist(), self.known
         new = [x for x in distinct if x not in known]
         if new:
-            lists = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode(errors="replace") for x in new], add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, lists), np.int64, len(lists))])
-            self.values = np.concatenate([self.values, np.fromiter((i for x in lists for i in x), np.uint32)])
+            self._learn(new)
         rank = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
         pick = rank[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
         ids, ends = ragged(self.values, np.concatenate([[0], np.cumsum(self.lengths)]), pick)
@@ -154,7 +178,7 @@ def write_files(documents: DataFrame, tokenizer: str, path: str | None = None, e
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["part", "part_start", "doc_ids", "n_tokens", "payload"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 ids, at = machine.encode(*text_bytes(batch.column("text")))
                 n = np.diff(at) + 1
                 keys += batch.column("doc_id").to_pylist()
@@ -168,7 +192,7 @@ def write_files(documents: DataFrame, tokenizer: str, path: str | None = None, e
             yield flush()
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select("doc_id", "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = lean(documents.select("doc_id", "text")).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, FILES).write.option("compression", "none").parquet(path)
     return path
 
