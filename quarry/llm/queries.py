@@ -35,8 +35,14 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import simhash
+
+    return simhash.grouped(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
