@@ -35,6 +35,12 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import langid
+
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import simhash
 
@@ -42,7 +48,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
