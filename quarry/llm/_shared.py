@@ -61,8 +61,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Words of texts on end, dictionary-encoded, and the n + 1 offsets of the texts' words."""
+def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = True, marks: bytes = b"") -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of texts on end, dictionary-encoded, and the n + 1 offsets of the texts' words.
+
+    ``marks``: bytes that are words of their own where they end a word after an ASCII letter.
+    """
     space = _SPACE[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[at] = True
@@ -70,12 +73,22 @@ def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[pa
     if len(raw):
         before[0] = True
         before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & (before | edge[:-1]))
+    start = ~space & (before | edge[:-1])
     after = np.empty(len(raw), dtype=bool)
     if len(raw):
         after[-1] = True
         after[:-1] = space[1:]
-    ends = np.flatnonzero(~space & (after | edge[1:])) + 1
+    end = ~space & (after | edge[1:])
+    if marks and len(raw):
+        table = np.zeros(256, dtype=bool)
+        table[np.frombuffer(marks, np.uint8)] = True
+        letter = (_LOWER[raw] >= 0x61) & (_LOWER[raw] <= 0x7A)
+        alone = table[raw] & end
+        alone[0] = False
+        alone[1:] &= letter[:-1] & ~edge[1:-1]
+        start |= alone
+        end[:-1] |= alone[1:]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     kept = raw[~space]
     if lower:
         kept = _LOWER[kept]

@@ -34,7 +34,7 @@ BLOCK = 16_384
 #: Ids of a file at least, but for a partition's last.
 FILE_IDS = 1 << 20
 #: Distinct pieces whose ids a Python worker keeps.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 700_000
 _TAIL = struct.Struct("<QQIIB4s")
 FILES = "part int, part_start bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -88,7 +88,7 @@ def unpack(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
 class PieceEncoder:
     """A tokenizer of the tokenizers library, asked once for each distinct run of characters other than white space.
 
-    Holds for tokenizers whose normalizer and pre-splitting never join text across white space and drop it.
+    Holds for tokenizers that lower-case, drop white space, and never join text across it or a letter with a mark.
     """
 
     def __init__(self, told: str):
@@ -132,7 +132,8 @@ class PieceEncoder:
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts on end, and the texts' offsets in them."""
-        words, word_at = split_words(raw, at, lower=False)
+        plain = b"<|" not in raw.tobytes()  # else a special token's text could come about
+        words, word_at = split_words(raw, at, lower=plain, marks=b".,")
         if len(self.known) > KEPT_PIECES:
             self._forget()
         distinct, known = words.dictionary.to_pylist(), self.known
