@@ -32,9 +32,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level tokenizer's pre-splitting pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct words whose encoding a Python worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 700_000
 #: Arcs that the transition table keeps.
-KEPT_ARCS = 400_000
+KEPT_ARCS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
