@@ -163,5 +163,5 @@ def predicted(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame) -> DataFrame:
     """The documents whose language is told with a score of ``DOUBT`` at least."""
-    tagged = identify(documents.withColumn("__text", F.col("text")).select("__text", F.struct(*documents.columns).alias("__row")), learned(documents), "__text")
+    tagged = identify(documents.select(F.col("text").alias("__text"), F.struct(*documents.columns).alias("__row")), learned(documents), "__text")
     return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT)).select("__row.*")

@@ -50,10 +50,14 @@ def _norm(x: np.ndarray) -> float:
     return float(np.linalg.norm(x @ v) ** 2)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 300) -> np.ndarray:
-    """Weights, the last one the bias, of a linear support vector machine (squared hinge). y: 1 or -1; classes weigh alike."""
+def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 300, level: bool = True) -> np.ndarray:
+    """Weights, the last one the bias, of a linear support vector machine (squared hinge). y: 1 or -1.
+
+    ``level``: classes weigh alike; else rows do.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * len(y)
+    weight = weight if level else np.full(len(y), cost)
     keep = np.ones(x.shape[1])
     keep[-1] = 1e-3
 
@@ -64,11 +68,12 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 300) -> n
     return descend(gradient, np.zeros(x.shape[1]), 1 / (1 + 2 * _norm(x * np.sqrt(weight)[:, None])), rounds)
 
 
-def calibration(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic function from margins to the probability of y = 1 (Platt); classes weigh alike."""
+def calibration(margin: np.ndarray, y: np.ndarray, level: bool = True) -> tuple[float, float]:
+    """Slope and offset of the logistic function from margins to the probability of y = 1 (Platt); ``level`` as above."""
     good, n = y > 0, max(1, len(y))
     target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
     weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * n
+    weight = weight if level else np.ones(len(y))
     x = np.column_stack([margin, np.ones(len(margin))])
 
     def gradient(w: np.ndarray) -> np.ndarray:

@@ -41,6 +41,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import toxicity
+
+    return toxicity.predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import quality
 
@@ -54,7 +60,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op9_quality, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op9_quality, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
