@@ -10,7 +10,7 @@ machine; a document's margin is that of its worst sentence, and a logistic funct
 
 Fitting: about ``PER_CLASS`` learned documents of each label, of 20,000 characters at most. Landmarks are the words and
 beginnings of words that tell toxic documents best: at least ten times (beginnings: a hundred times) as frequent there
-as in the others.
+as in the others. Their words with a character put in are positive sentences besides.
 Whole texts are scored. A null or empty text has the score of a text without any hit. Without landmarks (no toxic
 document learned) every score is the share of label 1. Repeated rows are scored each.
 """
@@ -261,6 +261,17 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     return out
 
 
+def _disguised(marks: list[bytes], forms: int = 8) -> list[bytes]:
+    """Forms of the landmarks that are whole words with one character put in."""
+    random = np.random.default_rng(0)
+    out = []
+    for mark in (x for x in marks if x.endswith(_TAIL)):
+        for _ in range(forms):
+            k = int(random.integers(2, len(mark) - 1))
+            out.append(mark[:k] + bytes([int(random.integers(0x61, 0x7B))]) + mark[k:])
+    return out
+
+
 def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicModel:
     y = np.array(labels, dtype=int)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -283,9 +294,16 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicMod
         use = ~bad | (peak >= best[which])  # of a toxic text the sentence nearest to a landmark
         rows.append(x[use])
         signs += np.where(bad[use], 1.0, -1.0).tolist()
+    forms = _disguised(marks)
+    if forms:
+        unit, mark, value = model.hits(*text_bytes(pa.array(forms, pa.binary())))
+        x = np.zeros((len(forms), m), dtype=np.float32)
+        x[unit, mark] = value
+        rows.append(x)
+        signs += [1.0] * len(forms)
     model.weights = svm(np.concatenate(rows) @ root, np.array(signs), cost=10.0, level=False)
     margin = np.concatenate([model.margins(pa.array(texts[k : k + 500], pa.string())) for k in range(0, len(texts), 500)])
-    model.scale = calibration(margin, np.where(y == 1, 1.0, -1.0), level=False)
+    model.scale = calibration(margin, np.where(y == 1, 1.0, -1.0))
     return model
 
 
