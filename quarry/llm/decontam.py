@@ -8,8 +8,8 @@ an item and a place to lay it along; these are verified word by word. An item of
 (10 to 12: two), so two (three) solid masks that divide it find it. Items of fewer than 5 words are not looked for:
 so few words are no evidence.
 
-The items' seeds are broadcast if they are counted to be few (``BROADCAST`` at most); otherwise Spark joins by shuffle,
-whose hot keys it may split. Hits are put together by document, item and place before texts are read again.
+The items' seeds are broadcast if they are counted to be few (``BROADCAST`` at most): then nothing but verified hits
+moves. Otherwise Spark joins by shuffle, whose hot keys it may split.
 
 Null texts and null items have no words. A row is known by doc_id and its text's hash, nulls as values, so rows
 with one id and different texts are told apart; equal rows share their fate. Repeated items are found each.
@@ -40,22 +40,39 @@ def _solid(length: int) -> list[tuple[int, ...]]:
     return [tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _seeds(rows: DataFrame, masks: list[tuple[str, tuple[int, ...]]], keep: list[str], only: Column | None = None) -> DataFrame:
+def _seeds(rows: DataFrame, masks: list[tuple[str, tuple[int, ...]]], keep: list[str]) -> DataFrame:
     """A row for each place and mask of ``rows`` (with ``h``): the place of the item's or text's word 0, and the hash.
 
-    ``masks``: a name that goes into the hash, and positions from a place on. ``only``: which masks a row takes.
+    ``masks``: a name that goes into the hash, and positions from a place on.
     """
-    at = rows.select(*keep, "h", F.posexplode_outer("h").alias("at", "_word"))  # outer: else a filter computes h a second time
+    at = rows.select(*dict.fromkeys([*keep, "h"]), F.posexplode_outer("h").alias("at", "_word"))  # outer: else a filter computes h a second time
     last = lambda picks: F.get("h", F.col("at") + picks[-1]).isNotNull()
     seeds = [F.when(last(picks), F.xxhash64(F.lit(name), *[F.get("h", F.col("at") + k) for k in picks])) for name, picks in masks]
     out = at.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
     return out.where("seed is not null")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _agreement(item: Column, h: Column, n: Column, place: Column) -> Column:
+    """struct<bits, best, total>: the most agreeing words in ``WINDOW`` neighbouring ones, and in all."""
+    # the text's words beside the item's; those before the text's start are null
+    early = F.concat(F.array_repeat(F.lit(None).cast("long"), -place), F.slice(h, F.lit(1), F.greatest(n + place, F.lit(0))))
+    beside = F.when(place >= 0, F.slice(h, F.greatest(place, F.lit(0)) + 1, n)).otherwise(early)
+    equal = F.zip_with(item, beside, lambda x, y: F.when(x == y, 1).otherwise(0))
+
+    def step(a: Column, x: Column) -> Column:
+        bits = F.shiftleft(a["bits"], 1).bitwiseOR(x).bitwiseAND(F.lit((1 << WINDOW) - 1))
+        return F.struct(bits.alias("bits"), F.greatest(a["best"], F.bit_count(bits)).alias("best"), (a["total"] + x).alias("total"))
+
+    none = F.struct(F.lit(0).alias("bits"), F.lit(0).alias("best"), F.lit(0).alias("total"))
+    return F.aggregate(equal, none, step)
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, text_hash, item_id, n_equal, n_words: which documents hold which items.
 
     n_words: the item's words; n_equal: those that agree where the item lies best. One row per document and item.
+    With at most ``broadcast`` seeds, hits are verified as they are found; with more, they are put together first, and
+    the texts that have some are read again.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= LEAST).withColumn("n", F.size("h")).distinct()
     shorts = sorted(x[0] for x in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 8 lengths
@@ -69,26 +86,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = wanted[0]
     for more in wanted[1:]:
         seeds = seeds.union(more)
-    if seeds.count() <= BROADCAST:
-        seeds = F.broadcast(seeds)
+    few = seeds.count() <= broadcast
+    small = F.broadcast if few else lambda df: df
+    whole = small(items.select("item_id", "n", F.col("h").alias("item")))
     texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("h"))
+    keep = ["doc_id", "text_hash", *["h"] * few]
     # a solid mask's place in a text is that of its first word
-    found = _seeds(texts, masks + [(name, tuple(k - picks[0] for k in picks)) for name, picks in short], ["doc_id", "text_hash"])
-    laid = found.join(seeds, "seed").select("doc_id", "text_hash", "item_id", "n", (F.col("at") - F.col("item_at")).alias("place")).distinct()
-    laid = laid.join(items.select("item_id", "n", F.col("h").alias("item")), ["item_id", "n"])
-    known = F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_hash") == F.col("p.text_hash"))
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("t").join(laid.alias("p"), known)
-    h, n, place = word_hashes(F.col("t.text")), F.col("n"), F.col("place")
-    # the text's words beside the item's; those before the text's start are null. No lambda may refer to h: it would be computed for each word
-    early = F.concat(F.array_repeat(F.lit(None).cast("long"), -place), F.slice(h, F.lit(1), F.greatest(n + place, F.lit(0))))
-    beside = F.when(place >= 0, F.slice(h, F.greatest(place, F.lit(0)) + 1, n)).otherwise(early)
-    equal = F.zip_with("item", beside, lambda x, y: F.when(x == y, 1).otherwise(0))
-    rows = rows.select("p.doc_id", "p.text_hash", "item_id", "n", "place", equal.alias("equal"))
-    rows = rows.groupBy("doc_id", "text_hash", "item_id", "n", "place").agg(F.first("equal").alias("equal")).withColumn("size", F.least(n, F.lit(WINDOW)))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda k: F.aggregate(F.slice("equal", k, F.col("size")), F.lit(0), lambda a, x: a + x)))
-    total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
-    good = rows.where(best >= F.ceil(SHARE * F.col("size")))
-    return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max(total).cast("long").alias("n_equal"), F.max("n").cast("long").alias("n_words"))
+    found = _seeds(texts, masks + [(name, tuple(k - picks[0] for k in picks)) for name, picks in short], keep).join(small(seeds), "seed")
+    laid = found.select(*keep, "item_id", "n", (F.col("at") - F.col("item_at")).alias("place"))
+    if few:
+        rows = laid.join(whole, ["item_id", "n"])
+    else:
+        known = F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_hash") == F.col("p.text_hash"))
+        own = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).distinct().alias("t")
+        rows = own.join(laid.distinct().join(whole, ["item_id", "n"]).alias("p"), known).select("p.*", word_hashes(F.col("t.text")).alias("h"))
+    # h must not come into a lambda: it would be computed for each of its steps
+    rows = rows.select("doc_id", "text_hash", "item_id", "n", _agreement(F.col("item"), F.col("h"), F.col("n"), F.col("place")).alias("a"))
+    good = rows.where(F.col("a.best") >= F.ceil(SHARE * F.least(F.col("n"), F.lit(WINDOW))))
+    return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("a.total").cast("long").alias("n_equal"), F.max("n").cast("long").alias("n_words"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
