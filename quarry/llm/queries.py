@@ -47,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import decontam
 
@@ -66,7 +72,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op8_decontamination, op9_quality, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
