@@ -47,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import ann
+
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import html_text
 
@@ -72,7 +78,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op6_nearest_neighbours, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
