@@ -26,7 +26,7 @@ from quarry.llm.linear import calibration, labelled_sample, logistic, svm
 
 DIMENSIONS, PER_CLASS, ROWS = 4096, 700, 200
 #: Below this score a pipeline rejects a document.
-DOUBT = 0.5
+DOUBT = 0.3
 #: Language families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
     "Germanic": "af da de en fy is lb nl nn no sv yi",
