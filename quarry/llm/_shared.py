@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def settle(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task's Python begins: drops what other operators left in this worker, which Spark uses again."""
+    if clear is not None:
+        _caches[owner] = clear
+    for name in [x for x in _caches if x != owner]:
+        _caches.pop(name)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, and from now on at most ``rows`` rows in an Arrow batch of its session: texts may be long."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import lean, ragged, slices
+from quarry.llm._shared import lean, ragged, settle, slices
 
 #: Fixed value: white space of the pre-splitting pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -222,6 +222,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("bpe", _compiled.clear)
         machine = automaton(told.value)
         for whole in batches:
             for batch in slices(whole, text):
@@ -241,6 +242,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("bpe", _compiled.clear)
         machine = automaton(told.value)
         for batch in batches:
             yield _decoded(machine, batch, ids, text)

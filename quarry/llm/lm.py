@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import lean, mixed, remainder, split_words, spread, squeeze, text_bytes, written
+from quarry.llm._shared import lean, mixed, remainder, settle, split_words, spread, squeeze, text_bytes, written
 
 #: Bytes of text of a block, but for one longer text, and tokens for each bucket of keys.
-BLOCK_BYTES = 16 << 20
-BUCKET_TOKENS = 4_000_000
+BLOCK_BYTES = 8 << 20
+BUCKET_TOKENS = 2_000_000
 #: Most frequency buckets of contexts: floor(log2(count)) + 1, 0 for contexts never seen.
 CONTEXTS = 40
 #: Steps in an octave to which the ratios of two estimates are rounded when EM's tokens are gathered.
@@ -63,6 +63,7 @@ def blocks(documents: DataFrame, modulus: int = 10) -> DataFrame:
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("lm")
         held: dict[bool, list[tuple]] = {False: [], True: []}
         size = {False: 0, True: 0}
         schema = None

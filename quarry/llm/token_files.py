@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import lean, ragged, shared_folder, slices, split_words, text_bytes
+from quarry.llm._shared import lean, ragged, settle, shared_folder, slices, split_words, text_bytes
 from quarry.llm.bpe import specification
 
 MAGIC = b"QPL1"
@@ -167,6 +167,7 @@ def write_files(documents: DataFrame, tokenizer: str, path: str | None = None, e
     told = spark.sparkContext.broadcast(specification(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("token_files", _encoders.clear)
         machine, part, begun = _encoder(told.value), TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
