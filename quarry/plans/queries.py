@@ -13,7 +13,6 @@ from quarry.operators import findings as fd
 from quarry.operators import focus as fo
 from quarry.operators import folds, graph, usage
 from quarry.sources import bindings as b
-from quarry.sources import files as sf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,9 +243,6 @@ def token_budget(spark, d):
     return b.source_files(spark, d).select("file_path", a["available"].alias("available"), F.round(a["used_share"], 6).alias("used_share"))
 
 
-_PLAN = "list_filter(range(1, 10), k -> (t // k) <= 500)"
-
-
 @query(f"SELECT file_path, CASE WHEN t <= 500 THEN t WHEN len(g) > 0 THEN t // g[1] ELSE 500 END AS size, CASE WHEN t <= 500 THEN 1 WHEN len(g) > 0 THEN g[1] ELSE 10 END AS count FROM (SELECT concat('doc_', doc_id) AS file_path, length(text)//4 AS t, list_filter(range(1, 10), lambda k: (length(text)//4) // k <= 500) AS g FROM documents)")
 def optimal_chunk_size(spark, d):
     return b.source_files(spark, d).select("file_path", budget.chunk_plan(tx.tokens(F.col("content")), 500).alias("p")).select("file_path", "p.*")
