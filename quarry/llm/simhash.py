@@ -157,14 +157,18 @@ def links(prints: DataFrame) -> DataFrame:
 def grouped(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of each row of ``documents``."""
     rows = written(fingerprints(documents.select("doc_id", "text")).drop("text"))
-    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     near = components(links(prints.select("fingerprint")))
     member = near.union(near.select("root", "root").distinct())
     whole = prints.join(member.withColumnRenamed("node", "fingerprint"), "fingerprint")
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = whole.join(least, "root").select("fingerprint", "component_id")
-    named = prints.join(moved, "fingerprint", "left").select("fingerprint", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = prints.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"), "n")
+    # a fingerprint of over a thousandth of all rows would crowd one task: these, a thousand at most, are broadcast
+    hot = max(1000, (prints.agg(F.sum("n")).first()[0] or 0) // 1000)
+    crowds = F.broadcast(named.where(F.col("n") > hot))
+    rows = rows.join(crowds, "fingerprint").unionByName(rows.join(crowds, "fingerprint", "left_anti").join(named, "fingerprint"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
