@@ -33,7 +33,7 @@ def read(spark: SparkSession, path: str, extensions: list[str] | None = None, ex
         files = files.where(suffix(F.col("path")).isin([x.lower() for x in extensions]))
     for pattern in exclude or []:
         files = files.where(~F.col("path").contains(pattern.replace("*", "")))
-    content = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    content = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(F.col("path").alias("file_path"), content.alias("content"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
 
 
