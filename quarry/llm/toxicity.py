@@ -6,7 +6,8 @@ their common subsequences of three bytes, gaps and all, each weighed by 0.7 for
 equal units, cubed; a unit with fewer than three fifths of a landmark's neighbouring byte pairs (in order, at most three
 apart) has kernel 0 with it. A sentence's kernel with a landmark is the greatest of its units'. Mapped by the
 landmarks' own kernel matrix to the power -1/2 (Nystroem), sentences are told apart by a linear support vector
-machine; a document's margin is that of its worst sentence, and a logistic function makes it a score.
+machine; a document's margin is that of its worst sentence, and a logistic function of its hyperbolic tangent (so
+that far margins don't move the border) makes it a score.
 
 Fitting: about ``PER_CLASS`` learned documents of each label, of 20,000 characters at most. Landmarks are the words and
 beginnings of words that tell toxic documents best: at least ten times (beginnings: a hundred times) as frequent there
@@ -215,7 +216,7 @@ class ToxicModel:
     def score(self, texts: pa.Array) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(texts), self.share)
-        return logistic(self.margins(texts) * self.scale[0] + self.scale[1])
+        return logistic(np.tanh(self.margins(texts)) * self.scale[0] + self.scale[1])
 
 
 def _parts(word: bytes) -> set[bytes]:
@@ -303,7 +304,7 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicMod
         signs += [1.0] * len(forms)
     model.weights = svm(np.concatenate(rows) @ root, np.array(signs), cost=10.0, level=False)
     margin = np.concatenate([model.margins(pa.array(texts[k : k + 500], pa.string())) for k in range(0, len(texts), 500)])
-    model.scale = calibration(margin, np.where(y == 1, 1.0, -1.0))
+    model.scale = calibration(np.tanh(margin), np.where(y == 1, 1.0, -1.0))
     return model
 
 
