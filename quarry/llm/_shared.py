@@ -40,20 +40,39 @@ def written(df: DataFrame) -> DataFrame:
 _caches: dict[str, Callable[[], None]] = {}
 
 
-def settle(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """Called where a task's Python begins: drops what other operators left in this worker, which Spark uses again."""
-    if clear is not None:
-        _caches[owner] = clear
-    for name in [x for x in _caches if x != owner]:
-        _caches.pop(name)()
+def _give_back() -> None:
+    """Returns what is free in this process to the system; large arrays are to be returned as soon as they are freed."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        library.malloc_trim(0)
     except (OSError, AttributeError):  # not the GNU C library
         pass
 
 
+def task(owner: str, clear: Callable[[], None] | None = None) -> Callable:
+    """For a function over a task's batches: Spark's Python workers live on, so it first drops what other operators left
+    in this one, and at the end gives memory back. ``clear`` drops what ``owner`` itself keeps for its next tasks."""
+
+    def around(run: Callable) -> Callable:
+        def settled(batches):
+            for name in [x for x in _caches if x != owner]:
+                _caches.pop(name)()
+            if clear is not None:
+                _caches[owner] = clear
+            _give_back()
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+        return settled
+
+    return around
+
+
 def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, and from now on at most ``rows`` rows in an Arrow batch of its session: texts may be long."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import mixed, ragged
+from quarry.llm._shared import mixed, ragged, task
 
 SHARDS, LINKS, BEAM, BATCH = 8, 16, 96, 1024
 #: Cells of the table of visited nodes: bounds how many queries walk at a time.
@@ -192,6 +192,7 @@ class Graph:
 
 
 def _shard_results(k: int, links: int, beam: int):
+    @task("ann")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, graph = None, [], [], None
         for batch in batches:

@@ -25,16 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import lean, ragged, settle, slices
+from quarry.llm._shared import lean, ragged, slices, task
 
 #: Fixed value: white space of the pre-splitting pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level tokenizer's pre-splitting pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct words whose encoding a Python worker keeps.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 #: Arcs that the transition table keeps.
-KEPT_ARCS = 600_000
+KEPT_ARCS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -221,8 +221,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     df = lean(df.drop(ids, *[decoded] * bool(decoded)))
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
+    @task("bpe", _compiled.clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("bpe", _compiled.clear)
         machine = automaton(told.value)
         for whole in batches:
             for batch in slices(whole, text):
@@ -241,8 +241,8 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     df = lean(df.drop(text))
     told = df.sparkSession.sparkContext.broadcast(specification(tokenizer))
 
+    @task("bpe", _compiled.clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("bpe", _compiled.clear)
         machine = automaton(told.value)
         for batch in batches:
             yield _decoded(machine, batch, ids, text)

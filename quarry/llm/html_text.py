@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm._shared import lean, settle, slices
+from quarry.llm._shared import lean, slices, task
 from quarry.llm.html_labels import pages
 
 CUT = 3.0
@@ -166,8 +166,8 @@ def extract(df: DataFrame, column: str = "html", learned: PageModel | None = Non
     df = lean(df.select(*rest, column), 500)
     told = df.sparkSession.sparkContext.broadcast(learned or model())
 
+    @task("html_text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("html_text")
         for whole in batches:
             for batch in slices(whole, column):
                 texts = [told.value.text(x) for x in batch.column(column).to_pylist()]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import _LOWER, lean, remainder, settle, slices, text_bytes
+from quarry.llm._shared import _LOWER, lean, remainder, slices, task, text_bytes
 from quarry.llm.linear import calibration, labelled_sample, logistic, svm
 
 DIMENSIONS, PER_CLASS, ROWS = 4096, 700, 200
@@ -126,8 +126,8 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") ->
     df = lean(df.drop("lang_pred", "score"))
     told = df.sparkSession.sparkContext.broadcast(model)
 
+    @task("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("langid")
         known = told.value
         for whole in batches:
             for part in slices(whole, text, 1 << 20):

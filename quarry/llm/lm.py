@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import lean, mixed, remainder, settle, split_words, spread, squeeze, text_bytes, written
+from quarry.llm._shared import lean, mixed, remainder, split_words, spread, squeeze, task, text_bytes, written
 
 #: Bytes of text of a block, but for one longer text, and tokens for each bucket of keys.
 BLOCK_BYTES = 8 << 20
@@ -62,8 +62,8 @@ def blocks(documents: DataFrame, modulus: int = 10) -> DataFrame:
             "lengths": squeeze(lengths.astype(np.int64)), "words": squeeze(data), "word_lengths": squeeze(np.diff(word_at).astype(np.int64)), "indices": squeeze(indices),
         }
 
+    @task("lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("lm")
         held: dict[bool, list[tuple]] = {False: [], True: []}
         size = {False: 0, True: 0}
         schema = None
@@ -142,6 +142,7 @@ def _bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
 def asked(table: DataFrame, bits: int) -> DataFrame:
     """Each block's keys and counts, cut by their first ``bits`` bits into buckets."""
 
+    @task("lm")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import lean, settle, slices, written
+from quarry.llm._shared import lean, slices, task, written
 from quarry.llm.components import components
 
 BITS, BUDGET, BLOCK, WIDTH, SEED = 64, 3, 16, 3, 42
@@ -57,8 +57,8 @@ def fingerprints(df: DataFrame, text: str = "text", into: str = "fingerprint") -
     """``df`` with the column ``into`` bigint, the fingerprint's bits as a signed number. A clashing column is replaced."""
     df = lean(df.drop(into))
 
+    @task("simhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("simhash")
         for whole in batches:
             for batch in slices(whole, text):
                 prints = np.array([fingerprint(_hashes(x)) for x in batch.column(text).to_pylist()], dtype=np.uint64)
@@ -137,8 +137,8 @@ def links(prints: DataFrame) -> DataFrame:
     codes = prints.select(F.posexplode(F.array(*turned)).alias("turn", "code")).withColumn("block", F.shiftrightunsigned("code", BITS - BLOCK))
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @task("simhash")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        settle("simhash")
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for turn, part in batch.groupby("turn"):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import lean, ragged, settle, shared_folder, slices, split_words, text_bytes
+from quarry.llm._shared import lean, ragged, shared_folder, slices, split_words, task, text_bytes
 from quarry.llm.bpe import specification
 
 MAGIC = b"QPL1"
@@ -34,7 +34,7 @@ BLOCK = 16_384
 #: Ids of a file at least, but for a partition's last.
 FILE_IDS = 1 << 20
 #: Distinct pieces whose ids a Python worker keeps.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 500_000
 _TAIL = struct.Struct("<QQIIB4s")
 FILES = "part int, part_start bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -166,8 +166,8 @@ def write_files(documents: DataFrame, tokenizer: str, path: str | None = None, e
     path = path or shared_folder(spark)
     told = spark.sparkContext.broadcast(specification(tokenizer))
 
+    @task("token_files", _encoders.clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("token_files", _encoders.clear)
         machine, part, begun = _encoder(told.value), TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
@@ -209,6 +209,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         before[part], total = total, total + n
     told = spark.sparkContext.broadcast(before)
 
+    @task("token_files", _encoders.clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

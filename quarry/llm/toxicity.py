@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm._shared import _LOWER, _SPACE, lean, ragged, remainder, settle, slices, split_words, text_bytes
+from quarry.llm._shared import _LOWER, _SPACE, lean, ragged, remainder, slices, split_words, task, text_bytes
 from quarry.llm.linear import calibration, labelled_sample, logistic, svm
 
 PER_CLASS, LANDMARKS, ODDS, WINDOW, DECAY, LENGTH, APART, SHARE = 2000, 128, 10, 48, 0.7, 3, 3, 0.6
@@ -314,8 +314,8 @@ def scored(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     model.pairs = {}
     told = df.sparkSession.sparkContext.broadcast(model)
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle("toxicity")
         for whole in batches:
             for batch in slices(whole, text):
                 score = told.value.score(batch.column(text))
