@@ -49,7 +49,8 @@ def semgrep(reports: DataFrame, json: str = "json") -> DataFrame:
 def safety(reports: DataFrame, json: str = "json", path: str | None = None, ignored: list[str] | None = None) -> DataFrame:
     """``path``: the column with the scanned list's path; none: the environment. Both an array and an object with
     ``vulnerabilities`` are read."""
-    listed = F.coalesce(F.from_json(json, SAFETY), F.from_json(F.get_json_object(json, "$.vulnerabilities"), SAFETY))
+    array = F.when(F.col(json).rlike(r"^\s*\["), F.col(json)).otherwise(F.get_json_object(json, "$.vulnerabilities"))
+    listed = F.from_json(array, SAFETY)
     where = F.col(path) if path else F.lit("environment/installed_packages")
     r = reports.select(where.alias("_path"), F.explode(listed).alias("r")).select("_path", "r.*").where(F.col("package").isNotNull() | F.col("advisory").isNotNull())
     if ignored:
@@ -71,4 +72,4 @@ READERS = {"bandit": bandit, "semgrep": semgrep, "safety": safety}
 
 def read_reports(spark: SparkSession, tool: str, path: str) -> DataFrame:
     """Findings of a tool's report files below ``path``, one document each."""
-    return READERS[tool](spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "json"))
+    return READERS[tool](spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
