@@ -168,3 +168,36 @@ def test_usage_window_leaves_the_minute_before_out(spark):
 def test_model_reply(spark):
     reply = F.lit('```json\n{"valid": true}\n```')
     assert one(spark, workflow.model_reply(reply, "valid boolean"))["valid"] is True
+
+
+def test_settings(tmp_path):
+    from quarry.config import Settings, TokenSettings
+
+    assert Settings.production().tokens.max_tokens == 6000 and Settings.development().tokens.overlap_tokens == 150
+    with pytest.raises(ValueError):
+        TokenSettings(max_tokens=1000, overlap_tokens=500)
+    with pytest.raises(ValueError):
+        Settings.from_dict({"scan": {"severity_threshold": "awful"}})
+    own = Settings().merged(confidence_threshold=0.6, severity_threshold=None)
+    own.save(tmp_path / "quarry.json")
+    (tmp_path / "a").mkdir()
+    assert Settings.find(tmp_path / "a") == own and own.scan.severity_threshold == "low"
+    (tmp_path / "a" / "pyproject.toml").write_text("[tool.quarry.scan]\nconfidence_threshold = 0.5\n")
+    assert Settings.find(tmp_path / "a").scan.confidence_threshold == 0.5
+
+
+def test_semantic_chunks_take_each_line_once(spark):
+    from quarry.operators import chunks
+
+    got = [(r["chunk_type"], r["start_line"], r["end_line"]) for r in chunks.semantic_chunks(code.corpus(spark).where("file_path = 'app/store.py'")).collect()]
+    covered = [n for _, a, b in got for n in range(a, b + 1)]
+    assert len(covered) == len(set(covered)) and {"import", "class", "function", "global"} <= {x[0] for x in got}
+
+
+def test_shortening_keeps_the_first_line(spark):
+    from quarry.operators import chunks
+
+    text = "\n".join(["def f():" + "x" * 80] + ["    y = 1"] * 50)
+    out = one(spark, chunks.shortened_function(F.lit(text), 20))
+    assert out.split("\n")[0] == text.split("\n")[0] and out.endswith(chunks.CUT_FUNCTION)
+    assert one(spark, chunks.shortened_unit(F.lit("a\nb\nc\nd\ne\nf"))) == "a\nb\nc\n    # ... content truncated ...\ne\nf"
