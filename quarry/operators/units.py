@@ -70,18 +70,22 @@ def heuristic_units(lines: DataFrame, opener: str = r"^\s*(class|def|async def)\
     """file_path, kind, name, start_line, end_line of blocks told by indentation alone.
 
     ``lines`` has file_path, line_no, line. A block opens at a line that matches ``opener`` and ends before the first
-    later line, blank and comment lines apart, that is indented no deeper. One sort of a file's lines: the end is the
-    next line at that depth or less, looked up among the starts of each depth.
+    later line, blank and comment lines apart, that is indented no deeper. Lines are taken once for each depth at which
+    a file opens blocks, a handful, and one backward window finds each one's next line at that depth or less.
     """
     depth = indent(F.col("line"))
     real = lines.where(~F.col("line").rlike(r"^\s*(#|$)")).select("file_path", "line_no", depth.alias("depth"), "line")
     last = lines.groupBy("file_path").agg(F.max("line_no").alias("last"))
+    opens = F.col("line").rlike(opener)
+    depths = real.where(opens).groupBy("file_path").agg(F.collect_set("depth").alias("depths"))
+    dealt = real.join(depths, "file_path").withColumn("own", F.explode("depths"))
+    back = Window.partitionBy("file_path", "own").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("depth") <= F.col("own"), F.col("line_no")), ignorenulls=True).over(back)
+    found = dealt.withColumn("next", after).where(opens & (F.col("depth") == F.col("own"))).join(last, "file_path")
     word = F.regexp_extract("line", opener, 1)
-    opened = real.where(F.col("line").rlike(opener)).select("file_path", F.when(word == "class", "class").otherwise("function").alias("kind"), F.regexp_extract("line", opener, 2).alias("name"), F.col("line_no").alias("start_line"), F.col("depth").alias("own"))
-    later = opened.join(real.select("file_path", "line_no", "depth"), "file_path").where((F.col("line_no") > F.col("start_line")) & (F.col("depth") <= F.col("own")))
-    ends = later.groupBy("file_path", "start_line").agg((F.min("line_no") - 1).alias("end"))
-    out = opened.join(ends, ["file_path", "start_line"], "left").join(last, "file_path")
-    return out.select("file_path", "kind", "name", F.col("start_line").cast("int").alias("start_line"), F.coalesce("end", "last").cast("int").alias("end_line"))
+    return found.select(
+        "file_path", F.when(word == "class", "class").otherwise("function").alias("kind"), F.regexp_extract("line", opener, 2).alias("name"),
+        F.col("line_no").cast("int").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("last")).cast("int").alias("end_line"))
 
 
 def runs(lines: DataFrame, pattern: str, reach: int) -> DataFrame:

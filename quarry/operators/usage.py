@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 
 
-def trailing_rate(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """``events`` with requests and used_tokens of the same key in the last ``seconds``, the row itself included."""
+def trailing_rate(events: DataFrame, seconds: int = 60, spread: int = 64) -> DataFrame:
+    """``events`` with requests and used_tokens of the same key in the last ``seconds``, the row itself included.
+
+    Windows run within a key and a stretch of ``spread`` times ``seconds``, so a busy key's events are dealt over many
+    tasks; events in the last ``seconds`` of a stretch are lent to the next one, a share of 1 / ``spread``.
+    """
+    span = seconds * 1_000_000
+    wide = span * spread
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    within = Window.partitionBy("key").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    told = events.withColumn("_at", at)
-    return told.withColumns({"requests": F.count("*").over(within), "used_tokens": F.sum("tokens").over(within)}).drop("_at")
+    told = events.withColumn("_at", at).withColumn("_b", F.floor(F.col("_at") / wide))
+    own, lent = F.struct(F.col("_b").alias("_stretch"), F.lit(False).alias("_lent")), F.struct((F.col("_b") + 1).alias("_stretch"), F.lit(True).alias("_lent"))
+    late = (F.col("_b") + 1) * wide - F.col("_at") < span
+    dealt = told.select(*events.columns, "_at", F.inline(F.when(late, F.array(own, lent)).otherwise(F.array(own))))
+    within = Window.partitionBy("key", "_stretch").orderBy("_at").rangeBetween(-(span - 1), 0)
+    out = dealt.withColumns({"requests": F.count("*").over(within), "used_tokens": F.sum("tokens").over(within)})
+    return out.where("not _lent").drop("_at", "_stretch", "_lent")
 
 
 def limited(events: DataFrame, seconds: int = 60, most_requests: int = 60, most_tokens: int = 50_000) -> DataFrame:
