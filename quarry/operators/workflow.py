@@ -38,3 +38,42 @@ def missing(catalog: DataFrame, files: DataFrame, on: str = "file") -> DataFrame
 def model_reply(reply: Column, schema: str) -> Column:
     """A model's JSON reply, code fences taken off; null if it doesn't parse."""
     return F.from_json(F.regexp_replace(reply, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), schema)
+
+
+def change_summary(paths: DataFrame, path: str = "path") -> DataFrame:
+    """One row: files, files worth a scan, critical ones among these, and whether any critical path is touched."""
+    scanned, critical = F.col(path).rlike(SCANNED), F.col(path).rlike(CRITICAL)
+    return paths.agg(F.count("*").alias("files"), F.count_if(scanned).alias("scanned"), F.count_if(scanned & critical).alias("critical"), F.bool_or(critical).alias("touches_critical"))
+
+
+def review_lists(findings: DataFrame, order: list[str], most: int = 5) -> DataFrame:
+    """list, position and the findings of a review: the ``most`` first blocking (critical) ones and warnings (high, medium)."""
+    from quarry.functions.maps import severity_ordinal
+
+    parts = []
+    for name, levels in (("blocking", ["critical"]), ("warning", ["high", "medium"])):
+        top = findings.where(F.col("severity").isin(levels)).orderBy(severity_ordinal(F.col("severity")).desc(), F.desc("confidence"), *order).limit(most)
+        parts.append(top.withColumn("list", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def more_than_shown(findings: DataFrame, severity: str, shown: int = 10) -> DataFrame:
+    """One row: how many findings of a severity there are beyond those shown."""
+    return findings.agg(F.greatest(F.count_if(F.col("severity") == severity) - shown, F.lit(0)).alias("more"))
+
+
+def action(dashboard: DataFrame) -> DataFrame:
+    """block with critical findings, warn with high ones, else pass."""
+    return dashboard.select("critical", "high", F.when(F.col("critical") > 0, "block").when(F.col("high") > 0, "warn").otherwise("pass").alias("action"))
+
+
+def read_templates(spark, path: str) -> DataFrame:
+    """file, json, valid of the JSON documents below ``path``; invalid ones stay, marked."""
+    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
+    return docs.select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("file"), "json", F.try_parse_json("json").isNotNull().alias("valid"))
+
+
+def prompts(findings: DataFrame) -> DataFrame:
+    """prompt: the question about each finding that a model is asked; replies come back as a table (``model_reply``)."""
+    parts = [F.lit("Is this finding real? Reply as JSON with valid, remediation_advice and fix_suggestion.\nType: "), F.col("vulnerability_type"), F.lit("\nSeverity: "), F.col("severity"), F.lit("\nDescription: "), F.col("description")]
+    return findings.withColumn("prompt", F.concat(*parts))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import text as tx
-from quarry.operators import chunks, units
+from quarry.functions import scores
+from quarry.operators import chunks, structure, units, workflow
+from quarry.operators import findings as fd
 from quarry.operators import focus as fo
-from quarry.plans.more import _CONTENT, CODE, CODE_LINES, UNITS, _blocks, _functions, _lines
-from quarry.plans.queries import COUNTS, LINES, query
+from quarry.plans.more import _CONTENT, _PATH, CODE, UNITS, _blocks, _functions, _lines, _pick
+from quarry.plans.queries import COUNTS, LINES, ORDER, ORDINAL, SYN, query
 from quarry.sources import bindings as b
 from quarry.sources import code as cd
 
@@ -80,3 +81,65 @@ def differential_scan(spark, d):
 def line_pattern_counts(spark, d):
     told = b.source_lines(spark, d).groupBy("file_path").agg(F.count_if(F.col("line").rlike("^[A-Z]")).alias("capitals"), F.count_if(F.col("line").rlike("[0-9]")).alias("with_digits"))
     return told.where("with_digits > 0")
+
+
+_ALL = f"{UNITS}, {_CONTENT}, scored AS (SELECT file_path, name, start_line, end_line, c, len(list_distinct(regexp_extract_all(c, '([A-Za-z_0-9]+)\\s*\\(', 1))) AS calls, len(list_filter(string_split(c, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$'))) + 2 * (" + " + ".join(f"len(string_split(c, '{w}')) - 1" for w in units.COMPLEX_WORDS) + ") AS k FROM fc)"
+
+
+@query(f"""WITH {_ALL} SELECT file_path, name, round(least(1.0, 0.5::DOUBLE + CASE WHEN starts_with(name, '_') THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN k > 15 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN calls > 5 THEN 0.1::DOUBLE ELSE 0 END), 6) AS priority,
+ CASE WHEN name IN ('verify', 'load') THEN 0.8::DOUBLE WHEN regexp_matches(lower(name), '{"|".join(scores.FOCUS_NAMES)}') THEN 0.6::DOUBLE WHEN k > 15 THEN 0.4::DOUBLE ELSE 0::DOUBLE END AS focus FROM scored""")
+def function_scores(spark, d):
+    f = _functions(spark).withColumns({"complexity": units.complexity_class(F.col("content")), "calls": F.size(units.call_names(F.col("content")))})
+    findings = spark.createDataFrame([("call of verify() is weak; see load",), (None,)], "description string")
+    told = f.join(structure.mentioned(f.select("name").distinct(), findings).withColumn("m", F.lit(True)), "name", "left")
+    return told.select("file_path", "name", F.round(scores.function_priority(F.col("name"), F.col("complexity"), F.col("calls")), 6).alias("priority"), scores.function_focus(F.col("name"), F.col("complexity"), F.coalesce("m", F.lit(False))).alias("focus"))
+
+
+@query(f"WITH {UNITS} SELECT u.file_path, kind, name, start_line, end_line, md5(array_to_string(list_slice(string_split(content, chr(10)), start_line, end_line), chr(10))) AS digest FROM units u JOIN code USING (file_path) WHERE end_line - start_line >= 5")
+def structural_chunks(spark, d):
+    c = cd.corpus(spark)
+    return structure.structural_chunks(c, units.heuristic_units(_lines(spark)), 5).select("file_path", "kind", "name", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+@query(f"WITH {UNITS} SELECT c.file_path, c.start_line, c.end_line, array_to_string(list_sort(list(DISTINCT u.name)), ',') AS names FROM units c JOIN units u ON c.file_path = u.file_path AND u.start_line >= c.start_line AND u.end_line <= c.end_line WHERE c.kind = 'class' GROUP BY 1, 2, 3")
+def units_in_chunks(spark, d):
+    u = units.heuristic_units(_lines(spark))
+    return structure.contained(u.where("kind = 'class'"), u).withColumn("names", F.array_join("names", ","))
+
+
+@query(f"WITH {UNITS}, n AS (SELECT file_path, count(*) AS lines FROM code_lines GROUP BY 1) SELECT file_path, lines, count(name) FILTER (kind = 'function') AS functions, count(name) FILTER (kind = 'class') AS classes, round(count(name) / lines::DOUBLE, 6) AS units_per_line FROM n LEFT JOIN units USING (file_path) GROUP BY 1, 2")
+def complexity_metrics(spark, d):
+    lines = _lines(spark)
+    return structure.complexity_metrics(units.heuristic_units(lines), lines).withColumn("units_per_line", F.round("units_per_line", 6))
+
+
+@query(f"SELECT count(*) AS files, count(*) FILTER (regexp_matches(path, '{workflow.SCANNED}')) AS scanned, count(*) FILTER (regexp_matches(path, '{workflow.SCANNED}') AND regexp_matches(path, '{workflow.CRITICAL}')) AS critical, bool_or(regexp_matches(path, '{workflow.CRITICAL}')) AS touches_critical FROM (SELECT {_PATH} AS path FROM lineitem)")
+def change_summary(spark, d):
+    return workflow.change_summary(_pick(spark, d))
+
+
+@query(f"WITH {SYN} SELECT * FROM (SELECT 'blocking' AS list, file_path, start_line, severity FROM syn WHERE severity = 'critical' ORDER BY confidence DESC, {ORDER} LIMIT 5) UNION ALL SELECT * FROM (SELECT 'warning' AS list, file_path, start_line, severity FROM syn WHERE severity IN ('high', 'medium') ORDER BY {ORDINAL} DESC, confidence DESC, {ORDER} LIMIT 5)")
+def review_lists(spark, d):
+    return workflow.review_lists(b.findings_synth(spark, d), b.ORDER).select("list", "file_path", "start_line", "severity")
+
+
+@query(f"WITH {SYN} SELECT greatest(count(*) FILTER (severity = 'high') - 10, 0) AS more FROM syn")
+def more_than_shown(spark, d):
+    return workflow.more_than_shown(b.findings_synth(spark, d), "high")
+
+
+@query(f"WITH {SYN} SELECT count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='high') AS high, CASE WHEN count(*) FILTER (severity='critical') > 0 THEN 'block' WHEN count(*) FILTER (severity='high') > 0 THEN 'warn' ELSE 'pass' END AS action FROM syn")
+def review_action(spark, d):
+    return workflow.action(fd.severity_dashboard(b.findings_synth(spark, d)))
+
+
+@query(f"WITH {_BLOCK} SELECT file_path, start_line, round((length(c)//4) / (end_line - start_line + 1)::DOUBLE, 6) AS density, greatest(0, 300 - length(c)//4 - 20) AS usable FROM blocks")
+def chunk_density(spark, d):
+    c = _sliced(spark, d)
+    return c.select("file_path", "start_line", F.round(scores.density(F.col("token_count"), F.col("line_count")), 6).alias("density"), scores.usable_tokens(F.lit(300), F.col("token_count"), F.lit(20)).alias("usable"))
+
+
+@query("SELECT user_id AS key, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE, 6) AS seconds FROM events GROUP BY 1")
+def scan_duration(spark, d):
+    e = b.usage_events(spark, d).groupBy("key").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    return e.select("key", F.round(scores.duration_seconds(F.col("a"), F.col("z")), 6).alias("seconds"))
