@@ -109,7 +109,7 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     families = list(named.values())
 
     def machine(rows: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
-        w = svm(x[rows].astype(np.float64), sign, rounds=120)
+        w = svm(x[rows], sign, rounds=120)
         return w, calibration(x[rows] @ w[:-1] + w[-1], sign)
 
     every = np.arange(len(y))

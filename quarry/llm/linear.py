@@ -41,13 +41,14 @@ def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, ste
     return w
 
 
-def _norm(x: np.ndarray) -> float:
-    """The largest eigenvalue of x'x."""
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+def _norm(x: np.ndarray, weight: np.ndarray) -> float:
+    """The largest eigenvalue of x'wx, for a diagonal w."""
+    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), dtype=x.dtype)
     for _ in range(20):
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v) + 1e-12
-    return float(np.linalg.norm(x @ v) ** 2)
+        v = x.T @ (weight * (x @ v))
+        size = float(np.linalg.norm(v))
+        v /= size + 1e-12
+    return size
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 300, level: bool = True) -> np.ndarray:
@@ -55,17 +56,18 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 300, leve
 
     ``level``: classes weigh alike; else rows do.
     """
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), dtype=x.dtype)])
+    y = y.astype(x.dtype)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * len(y)
-    weight = weight if level else np.full(len(y), cost)
-    keep = np.ones(x.shape[1])
+    weight = (weight if level else np.full(len(y), cost)).astype(x.dtype)
+    keep = np.ones(x.shape[1], dtype=x.dtype)
     keep[-1] = 1e-3
 
     def gradient(w: np.ndarray) -> np.ndarray:
         slack = np.maximum(0, 1 - y * (x @ w))
-        return keep * w - 2 * x.T @ (weight * y * slack)
+        return keep * w - 2 * (x.T @ (weight * y * slack))
 
-    return descend(gradient, np.zeros(x.shape[1]), 1 / (1 + 2 * _norm(x * np.sqrt(weight)[:, None])), rounds)
+    return descend(gradient, np.zeros(x.shape[1], dtype=x.dtype), 1 / (1 + 2.1 * _norm(x, weight)), rounds).astype(np.float64)
 
 
 def calibration(margin: np.ndarray, y: np.ndarray, level: bool = True) -> tuple[float, float]:
@@ -80,7 +82,7 @@ def calibration(margin: np.ndarray, y: np.ndarray, level: bool = True) -> tuple[
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         return x.T @ (weight * (p - target)) + 1e-3 * w
 
-    a, b = descend(gradient, np.array([1.0, 0.0]), 4 / (1e-3 + _norm(x * np.sqrt(weight)[:, None])), 400)
+    a, b = descend(gradient, np.array([1.0, 0.0]), 4 / (1e-3 + _norm(x, weight)), 400)
     return float(max(a, 1e-3)), float(b)
 
 
