@@ -21,8 +21,10 @@ def labelled_sample(rows: DataFrame, label: str, per_class: int, max_chars: int
         return [], {}
     spin = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30))
     chosen: Column = F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | ((F.col(label) == value) & (spin < min(1 << 30, int((1 << 30) * per_class / n))))
+    least = {value: min(1 << 30, int((1 << 30) * per_class / n)) for value, n in counts.items()}
+    for value, below in least.items():
+        chosen = chosen | ((F.col(label) == value) & (spin < below))
+    rows = rows.where(spin < max(least.values()))  # on doc_id alone: Spark takes it below a join, before texts are moved
     got = rows.where(chosen).select("text", label, spin.alias("spin")).orderBy("spin", "text").limit(2 * per_class * len(counts)).collect()
     return [(x[0], x[1]) for x in got], counts
 
