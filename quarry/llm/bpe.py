@@ -7,7 +7,7 @@ to it, and it is stored as its gadgets: when each token's arcs appear (from whic
 ``MergeAutomaton.step`` resolves an arc from them once and keeps it in the transition table.
 
 A token sequence is the encoding of its bytes just if the automaton reads it. As the automaton is deterministic, each
-prefix of a word has one last token, so a word is encoded by one pass over its positions.
+prefix of a word has one last token, so a word is encoded by one walk over its positions.
 
 Nulls and empty texts give no ids; equal rows give equal rows; other columns pass through unread.
 """
@@ -69,7 +69,11 @@ class MergeAutomaton:
         for time, pair in enumerate(model["model"]["merges"], 1):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self._merge(time, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        self.longest = max(map(len, self.read), default=0)
+        #: The longest token that begins with three bytes; others have two at most.
+        self.reach: dict[bytes, int] = {}
+        for token in self.read:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self._forget()
 
     def _forget(self) -> None:
@@ -113,21 +117,39 @@ class MergeAutomaton:
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        read, step, longest = self.read, self.step, self.longest
+        """The one path of the automaton that reads the word: from each state the longest arc that fits is tried first.
+
+        A place in the word is reached by one path only, so one that led nowhere is never tried again.
+        """
+        read, step, table, reach = self.read, self.step, self.table, self.reach
         if (whole := read.get(word)) is not None:
             return [whole]
-        last = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = read.get(word[start:end])
-                if token is not None and (not start or step(last[start], token)):
-                    last[end] = token
-                    break
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+        size, at, state = len(word), 0, 0
+        out: list[int] = []
+        dead: set[int] = set()
+        length = min(size, reach.get(word[:3], 2))
+        while at < size:
+            while length:
+                token = read.get(word[at : at + length])
+                if token is not None and at + length not in dead:
+                    if not at:
+                        break
+                    fits = table.get(state << 20 | token)
+                    if fits or (fits is None and step(state, token)):
+                        break
+                length -= 1
+            if length:
+                out.append(token)
+                at, state = at + length, token
+                length = min(size - at, reach.get(word[at : at + 3], 2))
+            elif out:
+                dead.add(at)
+                length = len(self.labels[out.pop()])
+                at, state = at - length, out[-1] if out else 0
+                length -= 1
+            else:
+                raise ValueError("the vocabulary lacks a byte of the word")
+        return out
 
     def _index(self, word: str) -> int:
         found = self.words.get(word)
