@@ -46,7 +46,7 @@ def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
         library = ctypes.CDLL(None)
-        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        library.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
         library.malloc_trim(0)
     except (OSError, AttributeError):  # not the GNU C library
         pass
@@ -103,7 +103,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = True, marks: bytes = b"") -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of texts on end, dictionary-encoded, and the n + 1 offsets of the texts' words.
 
-    ``marks``: bytes that are words of their own where they end a word after an ASCII letter.
+    ``marks``: bytes whose run at the end of a word, after an ASCII letter, is a word of its own.
     """
     space = _SPACE[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
@@ -118,16 +118,15 @@ def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = True, marks: byte
         after[-1] = True
         after[:-1] = space[1:]
     end = ~space & (after | edge[1:])
-    if marks and len(raw):
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    if marks and len(starts):
         table = np.zeros(256, dtype=bool)
         table[np.frombuffer(marks, np.uint8)] = True
         letter = (_LOWER[raw] >= 0x61) & (_LOWER[raw] <= 0x7A)
-        alone = table[raw] & end
-        alone[0] = False
-        alone[1:] &= letter[:-1] & ~edge[1:-1]
-        start |= alone
-        end[:-1] |= alone[1:]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        # each word's last byte that is no mark
+        last = np.maximum.accumulate(np.where(table[raw], np.int32(-1), np.arange(len(raw), dtype=np.int32)))[ends - 1]
+        cut = last[(last >= starts) & (last < ends - 1) & letter[last]] + 1
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     kept = raw[~space]
     if lower:
         kept = _LOWER[kept]

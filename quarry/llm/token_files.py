@@ -34,7 +34,9 @@ BLOCK = 16_384
 #: Ids of a file at least, but for a partition's last.
 FILE_IDS = 1 << 20
 #: Distinct pieces whose ids a Python worker keeps.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 700_000
+#: Marks that the tokenizer splits from the letters before them.
+MARKS = b".,;:!?*#%&$@^~_=+|-/)]}>\""
 _TAIL = struct.Struct("<QQIIB4s")
 FILES = "part int, part_start bigint, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
@@ -133,7 +135,7 @@ class PieceEncoder:
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts on end, and the texts' offsets in them."""
         plain = b"<|" not in raw.tobytes()  # else a special token's text could come about
-        words, word_at = split_words(raw, at, lower=plain, marks=b".,")
+        words, word_at = split_words(raw, at, lower=plain, marks=MARKS if plain else b"")
         if len(self.known) > KEPT_PIECES:
             self._forget()
         distinct, known = words.dictionary.to_pylist(), self.known
