@@ -207,3 +207,17 @@ def test_main_text_rows(spark):
     out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
     assert sorted((x["page_id"], x["text"], x["n_chars"]) for x in out.collect()) == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)]
     assert out.limit(0).count() == 0
+
+
+def test_decontamination_twin(spark):
+    import duckdb
+
+    from quarry.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    want = set(con.sql(queries.oracle_sql()["op8_decontamination"]).fetchall())
+    out = queries.op8_decontamination(spark, "/root/testdata/sf0.01")
+    assert {(r["doc_id"], r["item_id"], r["n_equal"], r["n_words"]) for r in out.collect()} == want and want
+    assert dict(out.dtypes) == {c: "bigint" for c in ("doc_id", "item_id", "n_equal", "n_words")}
