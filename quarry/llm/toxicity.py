@@ -11,7 +11,7 @@ that far margins don't move the border) makes it a score.
 
 Fitting: about ``PER_CLASS`` learned documents of each label, of 20,000 characters at most. Landmarks are the words and
 beginnings of words that tell toxic documents best: at least ten times (beginnings: a hundred times) as frequent there
-as in the others. Their words with a character put in are positive sentences besides.
+as in the others. Such words with a character put in are positive sentences besides.
 Whole texts are scored. A null or empty text has the score of a text without any hit. Without landmarks (no toxic
 document learned) every score is the share of label 1. Repeated rows are scored each.
 """
@@ -262,14 +262,18 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     return out
 
 
-def _disguised(marks: list[bytes], forms: int = 8) -> list[bytes]:
-    """Forms of the landmarks that are whole words with one character put in."""
+def _disguised(marks: list[bytes], texts: list[str], forms: int = 8) -> list[bytes]:
+    """Forms with one character put in: of the landmarks that are whole words, and of words of ``texts`` that begin with
+    one of the others (within that beginning)."""
     random = np.random.default_rng(0)
+    words = sorted({w for text in texts for w in sentences(*text_bytes(pa.array([text], pa.string())))[2].dictionary.to_pylist()})
     out = []
-    for mark in (x for x in marks if x.endswith(_TAIL)):
-        for _ in range(forms):
-            k = int(random.integers(2, len(mark) - 1))
-            out.append(mark[:k] + bytes([int(random.integers(0x61, 0x7B))]) + mark[k:])
+    for mark in marks:
+        whole = [mark] if mark.endswith(_TAIL) else [_HEAD + w + _TAIL for w in words if w.startswith(mark[1:]) and len(w) <= 24]
+        for _ in range(forms if whole else 0):
+            word = whole[int(random.integers(len(whole)))]
+            k = int(random.integers(2, min(len(word), len(mark)) - (word == mark)))
+            out.append(word[:k] + bytes([int(random.integers(0x61, 0x7B))]) + word[k:])
     return out
 
 
@@ -295,7 +299,7 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicMod
         use = ~bad | (peak >= best[which])  # of a toxic text the sentence nearest to a landmark
         rows.append(x[use])
         signs += np.where(bad[use], 1.0, -1.0).tolist()
-    forms = _disguised(marks)
+    forms = _disguised(marks, [text for text, bad in zip(texts, y, strict=True) if bad])
     if forms:
         unit, mark, value = model.hits(*text_bytes(pa.array(forms, pa.binary())))
         x = np.zeros((len(forms), m), dtype=np.float32)
