@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from quarry.llm._shared import _LOWER, lean, remainder, slices, task, text_bytes
 from quarry.llm.linear import calibration, labelled_sample, logistic, svm
 
-DIMENSIONS, PER_CLASS, ROWS = 4096, 700, 200
+DIMENSIONS, PER_CLASS, ROWS = 4096, 400, 200
 #: Below this score a pipeline rejects a document.
 DOUBT = 0.3
 #: Language families by ISO 639-1 code; a language not listed is a family of its own.
@@ -109,7 +109,7 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     families = list(named.values())
 
     def machine(rows: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
-        w = svm(x[rows], sign, rounds=120)
+        w = svm(x[rows], sign, rounds=80)
         return w, calibration(x[rows] @ w[:-1] + w[-1], sign)
 
     every = np.arange(len(y))
