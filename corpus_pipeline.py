@@ -1,7 +1,8 @@
 """The training-data pipeline: each stage takes what the one before kept.
 
 Toxicity drops documents predicted toxic; language identification those without a language told with some certainty;
-near-duplicate removal keeps the document with the least doc_id of each group; decontamination drops documents that
+near-duplicate removal keeps the least row of each group of texts linked by a Jaccard similarity of 0.8 at least of their
+five-word shingles; decontamination drops documents that
 hold a benchmark item; encoding returns the tokens of what is left. Models learn from the labels and languages of the
 documents that reach their stage. Every operator defines nulls, empty tables and repeated rows in its own module.
 """
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontam, langid, simhash, toxicity
+from quarry.llm import bpe, decontam, langid, neardup, toxicity
 from quarry.llm._shared import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,7 +33,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return neardup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
