@@ -140,9 +140,17 @@ def grouped(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """``documents`` with the least row of each component. Equal ids with different texts are different rows."""
+    """``documents`` with one row of each component, the least. Equal ids with different texts are different rows; of
+    rows that agree in id and text any one stays."""
     rows = written(grouped(documents))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     least = rows.groupBy("root").agg(F.min(row).alias("least"))
     gone = rows.join(least, "root").where(~row.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = documents.join(gone, same, "left_anti")
+    again = written(least.join(rows.groupBy(row.alias("least")).count().where("count > 1"), "least").select(F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__hash")))
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(c) for c in documents.columns])
+    one = kept.join(again, same).groupBy("__id", "__hash").agg(F.first(whole).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

@@ -55,3 +55,13 @@ def test_near_dedup_against_brute_force(spark, sample, monkeypatch):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(rows[k][0] for k in set(label))
     assert kept.columns == docs(spark, []).columns and len(set(label)) < len(rows) - 40
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
+
+
+def test_near_dedup_chooses_rows_not_ids(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(r.choices("abcdefghijklmnopqrstuvw", k=40)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (None, c), (None, d), (None, d + " x"), (None, None), (None, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "")
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert len(got) == 5 and {x for x in got if x[0] is not None} == {(1, a), (2, b), (3, c)}
+    assert sum(shingles(t) == set() for _, t in got) == 1 and sum((t or "").startswith(d) for _, t in got) == 1
