@@ -6,13 +6,14 @@ Seeds: two fixed masks over 8 words pick 6 each; at every place of items and doc
 joined. The masks are such that each 13 words with at most two substitutions hold a hit of one of them. Each hit names
 an item and a place to lay it along; these are verified word by word. An item of 5 to 12 words may differ in one word
 (10 to 12: two), so two (three) solid masks that divide it find it. Items of fewer than 5 words are not looked for:
-so few words are no evidence.
+so few words are no evidence; ``unsought`` tells how many these are.
 
 The items' seeds are broadcast if they are counted to be few (``BROADCAST`` at most): then nothing but verified hits
 moves. Otherwise Spark joins by shuffle, whose hot keys it may split.
 
 Null texts and null items have no words. A row is known by doc_id and its text's hash, nulls as values, so rows
-with one id and different texts are told apart; equal rows share their fate. Repeated items are found each.
+with one id and different texts are told apart; equal rows share their fate. Repeated items are found each. A null
+item_id is a value: its items are found and reported under it.
 """
 
 from __future__ import annotations
@@ -88,24 +89,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast: int = BR
         seeds = seeds.union(more)
     few = seeds.count() <= broadcast
     small = F.broadcast if few else lambda df: df
-    whole = small(items.select("item_id", "n", F.col("h").alias("item")))
+    whole = small(items.select(F.col("item_id").alias("__item"), F.col("n").alias("__n"), F.col("h").alias("item")))
+    of = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("n") == F.col("__n"))
     texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("h"))
     keep = ["doc_id", "text_hash", *["h"] * few]
     # a solid mask's place in a text is that of its first word
     found = _seeds(texts, masks + [(name, tuple(k - picks[0] for k in picks)) for name, picks in short], keep).join(small(seeds), "seed")
     laid = found.select(*keep, "item_id", "n", (F.col("at") - F.col("item_at")).alias("place"))
     if few:
-        rows = laid.join(whole, ["item_id", "n"])
+        rows = laid.join(whole, of)
     else:
         known = F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_hash") == F.col("p.text_hash"))
         own = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).distinct().alias("t")
-        rows = own.join(laid.distinct().join(whole, ["item_id", "n"]).alias("p"), known).select("p.*", word_hashes(F.col("t.text")).alias("h"))
+        rows = own.join(laid.distinct().join(whole, of).alias("p"), known).select("p.*", word_hashes(F.col("t.text")).alias("h"))
     # h must not come into a lambda: it would be computed for each of its steps
     rows = rows.select("doc_id", "text_hash", "item_id", "n", _agreement(F.col("item"), F.col("h"), F.col("n"), F.col("place")).alias("a"))
     good = rows.where(F.col("a.best") >= F.ceil(SHARE * F.least(F.col("n"), F.lit(WINDOW))))
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("a.total").cast("long").alias("n_equal"), F.max("n").cast("long").alias("n_words"))
 
 
+def unsought(benchmark: DataFrame) -> int:
+    """The number of the benchmark's rows that have too few words (one to ``LEAST`` - 1) to be looked for."""
+    return benchmark.where(F.size(word_hashes(F.col("text"))).between(1, LEAST - 1)).count()
+
+
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without those that hold an item."""
     bad = contaminated(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
