@@ -8,7 +8,8 @@ that it never belongs to an article scores nothing within and isn't part of the
 Text: character references are decoded; white space within a block becomes one space; blocks are trimmed, empty ones
 dropped, the rest joined by one space in page order. Inline tags join their words to the neighbours', ``<br>`` parts
 them. Scripts, styles, head, comments of the markup and the like are no text. Broken markup is read leniently: an end
-tag closes up to its start tag, or nothing; what is never closed ends with the page.
+tag closes up to its start tag, or nothing; what is never closed ends with the page, but a head ends before what can't
+stand in one, and svg, math and object may close themselves.
 
 A null or empty page, and one without words outside cut elements, gives the empty text. Of equal sums the first and
 shortest run is taken. Other columns pass unread; repeated rows stay.
@@ -33,11 +34,15 @@ from quarry.llm.html_labels import pages
 
 CUT = 3.0
 #: Elements whose content is no text, void elements, and elements that don't part blocks.
-OPAQUE = "script style noscript template svg math iframe object canvas video audio textarea select head"
+OPAQUE = "script style noscript template svg math iframe object canvas video audio textarea select"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_REST = r"\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
+#: The head ends at its end tag, or before the first thing that can't stand in it.
+_OWN = "|".join(rf"<{x}{_REST}>.*?(?:</{x}\s*>|\Z)" for x in "title script style noscript template".split())
+_HEAD = rf"<head{_REST}>(?:\s++|<!--.*?(?:-->|\Z)|{_OWN}|</?(?:base|basefont|bgsound|link|meta){_REST}>)*+(?:</head\s*>)?"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(OPAQUE.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math|object){_REST}(?<=/)>|<(?P<o>{'|'.join(OPAQUE.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=o)\s*>|\Z)|{_HEAD}|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -52,10 +57,10 @@ def _names(attributes: str) -> tuple[str, ...]:
 def tokens(page: str) -> Iterator[tuple[int, str, str, tuple[str, ...]]]:
     """(place, kind, tag or text, names): kind is ``<`` for a start tag, ``/`` for an end tag, ``t`` for text."""
     for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            yield m.start(), "t", m[5], ()
-        elif m[3]:
-            yield m.start(), "/" if m[2] else "<", m[3].lower(), () if m[2] else _names(m[4])
+        if m["text"] is not None:
+            yield m.start(), "t", m["text"], ()
+        elif m["tag"]:
+            yield m.start(), "/" if m["end"] else "<", m["tag"].lower(), () if m["end"] else _names(m["more"])
 
 
 @dataclass
