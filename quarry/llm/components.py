@@ -40,3 +40,23 @@ def components(edges: DataFrame) -> DataFrame:
         if before == mark:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def one_of_each(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text and more) with one row of each group: the least by doc_id (null last), then by text.
+
+    ``rows``: doc_id, th (``xxhash64`` of the text) and root, the group, of each row of ``documents``. Equal ids with
+    different texts are different rows; of rows that agree in both any one stays.
+    """
+    rows = written(rows)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    least = rows.groupBy("root").agg(F.min(row).alias("least"))
+    gone = rows.join(least, "root").where(~row.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = documents.join(gone, same, "left_anti")
+    again = written(least.join(rows.groupBy(row.alias("least")).count().where("count > 1"), "least").select(F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__hash")))
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(c) for c in documents.columns])
+    one = kept.join(again, same).groupBy("__id", "__hash").agg(F.first(whole).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

@@ -1,14 +1,19 @@
-"""Near-duplicate removal by exact Jaccard similarity of word shingles.
+"""Near-duplicate removal at a similarity: the trie self-join of SimHash fingerprints, verified by Jaccard.
 
 Words as in ``simhash``; a text's set holds the 64-bit hashes of its shingles of ``WIDTH`` = 5 words (one to four words:
 the whole sequence; no word or null: the empty set). Texts link whose sets are equal or have a Jaccard similarity of
 4/5 at least; of each component of linked texts one row stays, the least by doc_id (null last), then by text hash.
 
-Candidates: shingles have one order, common ones (counted in a sample; that bears on speed alone) last. Two sets as
-similar as that share a shingle within the first ``n - ceil(4n/5) + 1`` of each, and at the first one that they share
-what follows must suffice for the overlap: no pair is missed. Each shingle's posts are first compared with its hub, the
-set in which it comes earliest; then all pairs that this left in different components are. Every candidate is verified
-on the whole sets, so neither equal sets nor balls of near copies become all their pairs.
+A set's fingerprint is the majority of its shingles' bits. Sets as similar as that differ in 10 of 64 bits on average
+and in 12 at the worst size (4 and 5 shingles), so the budget of ``BUDGET`` = 22 bits loses about one such pair in
+10^5 (in 2,000 at the worst size), and of more similar ones fewer; of unlike pairs one in a hundred is within it.
+
+A budget so wide leaves no block of the fingerprints exact, so tries are made below shingles instead: shingles have one
+order, common ones (counted in a sample; that bears on speed alone) last. Two sets as similar as that share a shingle
+within the first ``n - ceil(4n/5) + 1`` of each, and at the first one that they share what follows must suffice for the
+overlap. Each shingle's fingerprints are first compared with its hub, the set in which it comes earliest; then the
+shingle's trie is joined with itself, for pairs that this left in different components. Every pair found is verified on
+the whole sets; neither equal sets nor balls of near copies become all their pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm._shared import lean, mixed, slices, split_words, task, text_bytes, written
-from quarry.llm.components import components
+from quarry.llm.components import components, one_of_each
 
-WIDTH, SEED = 5, 42
+WIDTH, SEED, BUDGET = 5, 42, 22
 #: Texts that common shingles are counted in, in how many of them one is common, and how many are broadcast at most.
 SAMPLE, COMMON, KNOWN = 20_000, 5, 200_000
+#: Posts of one shingle that are joined in one trie at most.
+CELL = 20_000
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -66,7 +74,7 @@ def _sampled(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(documents: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), digest (the set's), n (its size) and its first shingles, of each row."""
+    """doc_id, th (the text's hash), digest (the set's), fp (its fingerprint), n (its size) and its first shingles, of each row."""
     told = documents.sparkSession.sparkContext.broadcast(_sampled(documents))
 
     @task("neardup")
@@ -74,10 +82,11 @@ def _prefixes(documents: DataFrame) -> DataFrame:
         keys, counts = told.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                digests, sizes, firsts = [], [], []
+                digests, sizes, prints, firsts = [], [], [], []
                 for u in shingle_sets(batch.column("text")):
                     digests.append(xxhash.xxh64_intdigest(u.tobytes(), SEED))
                     sizes.append(len(u))
+                    prints.append(simhash.fingerprint(u))
                     seen = np.zeros(len(u), np.int64)
                     if len(keys) and len(u):
                         place = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
@@ -85,12 +94,12 @@ def _prefixes(documents: DataFrame) -> DataFrame:
                     firsts.append(u[np.lexsort((u, seen))][: len(u) // 5 + 1].view(np.int64))  # n - ceil(4n/5) + 1
                 at = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
-                fixed = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *fixed], names=["doc_id", "th", "digest", "n", "firsts"])
+                fixed = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (digests, prints)), pa.array(sizes, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *fixed], names=["doc_id", "th", "digest", "fp", "n", "firsts"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = lean(documents.select("doc_id", F.xxhash64("text").alias("th"), "text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, digest bigint, n int, firsts array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th bigint, digest bigint, fp bigint, n int, firsts array<bigint>")
 
 
 def _may(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -117,24 +126,54 @@ def _verified(pairs: DataFrame, named: DataFrame, documents: DataFrame) -> DataF
     return written(lean(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), 200).mapInArrow(run, "a bigint, b bigint"))
 
 
+def _crossed(posts: DataFrame) -> DataFrame:
+    """a bigint, b bigint: pairs of different root that a trie self-join finds among the posts of each shingle.
+
+    A shingle's posts are one trie of fingerprints. A crowd of them is dealt into ``crowd`` parts of ``CELL`` posts, and
+    a trie is made for each two parts, so no task holds a crowd; a pair is told where its two parts meet.
+    """
+    crowd = F.ceil(F.col("held") / CELL).cast("int")
+    part = F.pmod(F.xxhash64("digest", "key"), crowd).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), crowd - 1), lambda x: F.struct(F.least(x, part).alias("x"), F.greatest(x, part).alias("y")))
+    few = posts.where(F.col("held") <= CELL).withColumns({"part": F.lit(0), "cell": F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))})
+    many = posts.where(F.col("held") > CELL).select("*", part.alias("part"), F.explode(cells).alias("cell"))
+    dealt = few.unionByName(many).select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "fp", "digest", "n", "pos", "root")
+    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    @task("neardup")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in simhash.in_groups(batches, ["key", "x", "y"], CELL):
+            key, x, y, part, fp, digest, n, pos, root = (c.to_numpy() for c in batch.columns)
+            order = np.lexsort((fp.view(np.uint64), y, x, key))
+            key, x, y, part, fp, digest, n, pos, root = (c[order] for c in (key, x, y, part, fp, digest, n, pos, root))
+            new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], new]))
+            labels = np.unique(root, return_inverse=True)[1]
+            for i, j in simhash.pairs_within(fp.view(np.uint64), starts, 0, BUDGET, labels):
+                may = 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
+                i, j = i[may], j[may]
+                met = (x[i] == y[i]) | (part[i] != part[j])
+                i, j = digest[i[met]], digest[j[met]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def grouped(documents: DataFrame) -> DataFrame:
     """doc_id, th and root (one value for each component) of each row of ``documents``."""
     rows = written(_prefixes(documents))
-    sets = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    sets = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts"))
     named = rows.groupBy("digest").agg(F.min("th").alias("th"))
-    posts = sets.select("digest", "n", F.posexplode("firsts").alias("pos", "key")).repartition("key")
-    hubs = posts.groupBy("key").agg(F.min(F.struct("pos", "digest", "n")).alias("hub"), F.count("*").alias("held")).where("held > 1")
-    shared = written(posts.join(hubs, "key").select("key", "digest", "n", "pos", "hub"))
-    near = _may(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
+    posts = sets.select("digest", "n", "fp", F.posexplode("firsts").alias("pos", "key")).repartition("key")
+    hubs = posts.groupBy("key").agg(F.min(F.struct("pos", "digest", "n", "fp")).alias("hub"), F.count("*").alias("held")).where("held > 1")
+    shared = written(posts.join(hubs, "key").select("key", "digest", "n", "fp", "pos", "hub", "held"))
+    near = _may(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= BUDGET)
     stars = shared.where((F.col("digest") != F.col("hub.digest")) & near)
     links = _verified(stars.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")), named, documents)
-    labels = components(links)
-    told = shared.drop("hub").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    told = written(told)
-    x, y = told.alias("x"), told.alias("y")
-    apart = (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
-    left = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    more = _verified(left.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")), named, documents)
+    labels = components(links).withColumnRenamed("node", "digest")
+    told = shared.drop("hub").join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    more = _verified(_crossed(told), named, documents)
     whole = components(links.union(more)).withColumnRenamed("node", "digest")
     return rows.select("doc_id", "th", "digest").join(whole, "digest", "left").select("doc_id", "th", F.coalesce("root", "digest").alias("root"))
 
@@ -142,15 +181,4 @@ def grouped(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each component, the least. Equal ids with different texts are different rows; of
     rows that agree in id and text any one stays."""
-    rows = written(grouped(documents))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    least = rows.groupBy("root").agg(F.min(row).alias("least"))
-    gone = rows.join(least, "root").where(~row.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    kept = documents.join(gone, same, "left_anti")
-    again = written(least.join(rows.groupBy(row.alias("least")).count().where("count > 1"), "least").select(F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__hash")))
-    if again.isEmpty():
-        return kept
-    whole = F.struct(*[F.col(c) for c in documents.columns])
-    one = kept.join(again, same).groupBy("__id", "__hash").agg(F.first(whole).alias("__row")).select("__row.*")
-    return kept.join(again, same, "left_anti").unionByName(one)
+    return one_of_each(documents, grouped(documents))

@@ -46,9 +46,10 @@ def copies(seed):
     return out + ["", None, " \t", "one", "ONE", "one two", "a b c d e", "a b c d e f", "a b c d e a b c d e"]
 
 
-@pytest.mark.parametrize("sample", [20_000, 0])
-def test_near_dedup_against_brute_force(spark, sample, monkeypatch):
+@pytest.mark.parametrize("sample, cell", [(20_000, 20_000), (0, 5)])
+def test_near_dedup_against_brute_force(spark, sample, cell, monkeypatch):
     monkeypatch.setattr(neardup, "SAMPLE", sample)
+    monkeypatch.setattr(neardup, "CELL", cell)
     rows = list(enumerate(copies(5), 10))
     label = brute(rows)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "")
