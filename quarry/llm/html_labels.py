@@ -2,6 +2,7 @@
 
 Each page is a list of (markup, label): label 1 for the article's words and tags, 0 for all else. Pages differ in
 layout (semantic tags, plain divisions, tables), in the names of classes and ids, and in what stands inside the article.
+One part beside it in seven bears a name that tells nothing, so that the cost of a tag is learned from such pages too.
 """
 
 from __future__ import annotations
@@ -30,15 +31,16 @@ def _words(r: random.Random, low: int, high: int) -> str:
 
 
 def _beside(r: random.Random, kind: str) -> str:
-    name = r.choice(BESIDE[kind].split())
-    tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind) if r.random() < 0.5 else None
+    blank = r.random() < 0.15  # a name that tells nothing
+    name = _words(r, 1, 1) if blank else r.choice(BESIDE[kind].split())
+    tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind) if not blank and r.random() < 0.5 else None
     tag = tag or r.choice(["div", "div", "section", "ul" if kind == "menu" else "div"])
     mark = f' {r.choice(["class", "id"])}="{name}"' if r.random() < 0.8 or tag in ("div", "section", "ul") else ""
     if kind == "menu":
         body = "".join(f'<li><a href="/{k}">{_words(r, 1, 3)}</a></li>' for k in range(r.randint(3, 9)))
         body = body if tag == "ul" else f"<ul>{body}</ul>"
     elif kind == "form":
-        body = f"<label>{_words(r, 1, 3)}</label><input type='text'><select><option>{_words(r, 1, 2)}</option></select><button>{_words(r, 1, 2)}</button>"
+        body = f"<label>{_words(r, 1, 3)}</label><input type='text'><textarea>{_words(r, 0, 4)}</textarea><select><option>{_words(r, 1, 2)}</option></select><button>{_words(r, 1, 2)}</button>"
     elif kind == "comment":
         body = "".join(f"<div><p>{_words(r, 5, 60)}</p></div>" for _ in range(r.randint(1, 5)))
     elif kind in ("side", "share"):
@@ -48,8 +50,9 @@ def _beside(r: random.Random, kind: str) -> str:
     return f"<{tag}{mark}>{body}</{tag}>"
 
 
-def _article(r: random.Random) -> list[tuple[str, int]]:
-    out = [(f"<h1>{_words(r, 3, 10)}</h1>", 1)]
+def _article(r: random.Random, own: bool) -> list[tuple[str, int]]:
+    head = f"<h1>{_words(r, 3, 10)}</h1>"
+    out = [(f"<header>{head}</header>" if own and r.random() < 0.5 else head, 1)]
     for k in range(r.randint(1, 9)):
         roll = r.random()
         if roll < 0.08:
@@ -83,7 +86,7 @@ def pages(n: int = 400, seed: int = 1) -> list[list[tuple[str, int]]]:
         name = f' {r.choice(["class", "id"])}="{r.choice(WITHIN)}"' if r.random() < 0.7 else ""
         outer = f'<div class="{r.choice(WITHIN)}">' if r.random() < 0.6 else ""
         before, after = ("<table><tr>", "</tr></table>") if tag == "td" else ("", "")
-        page += [(outer + before, 0), (f"<{tag}{name}>", 0), *_article(r), (f"</{tag}>", 0), (after + ("</div>" if outer else ""), 0)]
+        page += [(outer + before, 0), (f"<{tag}{name}>", 0), *_article(r, tag == "article"), (f"</{tag}>", 0), (after + ("</div>" if outer else ""), 0)]
         page += [(_beside(r, kind), 0) for kind in ("share", "comment", "side", "menu", "advert", "footer") if r.random() < 0.6]
         out.append([*page, ("</body></html>", 0)])
     return out

@@ -1,15 +1,23 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a row of words and tags. A word scores 1, a tag less than 0, by a weight learned from labelled pages for its
-name and for the names in its class, id and role: the log-odds of standing outside the article. The contiguous run with
-the greatest sum is the article's region; a linear scan finds it. An element whose names tell (log-odds over ``CUT``)
-that it never belongs to an article scores nothing within and isn't part of the text, wherever it stands.
+A page is a row of words and tags. A word scores 1, a tag less than 0, by a weight learned from labelled pages: the
+log-odds of standing outside the article, of its name or of the known names in its class, id and role on average,
+whichever is more. The
+contiguous run with the greatest sum is the article's region; a linear scan finds it. One region can't leave out what
+stands within it, so an element whose odds pass ``CUT`` (a comment box, an advert) scores nothing, tags and all, and
+isn't part of the text, wherever it stands: what follows it is reached for nothing. If the region holds a third of the words of an
+element around it whose names tell that it holds an article (log-odds over ``CUT``), it is widened to that element. A form that holds over half of the
+page's words is a wrapper and isn't cut. A header within an article element is the article's own and stays.
+
+Markup is read by the rules of html, in time linear in the page: quoted and unquoted attribute values, comments, script
+and style to their end tags (or the page's end), a paragraph to the next tag that isn't inline. Lenient beyond them: a quote that is never closed ends with its tag's
+next ``>``, a title without an end tag at the next tag; an end tag closes up to its start tag, or nothing. A tag that
+the page's end cuts off is dropped.
 
 Text: character references are decoded; white space within a block becomes one space; blocks are trimmed, empty ones
 dropped, the rest joined by one space in page order. Inline tags join their words to the neighbours', ``<br>`` parts
-them. Scripts, styles, head, comments of the markup and the like are no text. Broken markup is read leniently: an end
-tag closes up to its start tag, or nothing; what is never closed ends with the page, but a head ends before what can't
-stand in one, and svg, math and object may close themselves.
+them. No text are scripts, styles, titles, templates, and what is shown in place of frames; all else (noscript, svg,
+math, object, canvas, video, audio, ...) is read like any element. Words of scripts without spaces count as two letters.
 
 A null or empty page, and one without words outside cut elements, gives the empty text. Of equal sums the first and
 shortest run is taken. Other columns pass unread; repeated rows stay.
@@ -32,81 +40,199 @@ from pyspark.sql import types as T
 from quarry.llm._shared import lean, slices, task
 from quarry.llm.html_labels import pages
 
-CUT = 3.0
-#: Elements whose content is no text, void elements, and elements that don't part blocks.
-OPAQUE = "script style noscript template svg math iframe object canvas video audio textarea select"
+#: Log-odds over which names cut an element out, and those of a tag that no labelled page holds.
+CUT, UNSEEN = 3.0, -0.9
+#: Elements of raw text that isn't shown, void elements, and elements that don't part blocks.
+RAW = "script style title iframe noembed noframes".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-_REST = r"\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
-#: The head ends at its end tag, or before the first thing that can't stand in it.
-_OWN = "|".join(rf"<{x}{_REST}>.*?(?:</{x}\s*>|\Z)" for x in "title script style noscript template".split())
-_HEAD = rf"<head{_REST}>(?:\s++|<!--.*?(?:-->|\Z)|{_OWN}|</?(?:base|basefont|bgsound|link|meta){_REST}>)*+(?:</head\s*>)?"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math|object){_REST}(?<=/)>|<(?P<o>{'|'.join(OPAQUE.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=o)\s*>|\Z)|{_HEAD}|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*+>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: Elements that end before the start of others (a paragraph: of all that aren't inline).
+PARTED = {"p": "", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr tbody tfoot", "td": "td th tr", "th": "td th tr", "option": "option optgroup"}
+PARTED = {k: set(v.split()) for k, v in PARTED.items()}
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+"""
+_OPEN = re.compile("<(?=[a-zA-Z!?/])")
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>")
+_NAMED = re.compile(r"""(?:\A|[\s/"'])(?:(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)|[^\s/>=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))""", re.I)
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Letters of scripts that don't part words by spaces.
+_DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+def _named(attributes: str) -> tuple[str, ...]:
+    return tuple(sorted({f".{x.lower()}" for m in _NAMED.finditer(attributes) if m[1] for x in _PART.findall(m[2])}))
+
+
+_names = lru_cache(maxsize=20_000)(_named)
+
 
+def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """(kind, tag or text, names): kind is ``<`` for a start tag, ``/`` for an end tag, ``.`` for an element that closes
+    itself, ``r`` for a whole element of raw text, ``t`` for text."""
+    at, size, foreign = 0, len(page), 0
+    last = page.rfind(">")
+    endless: set[str] = set()
+    while at < size:
+        opened = _OPEN.search(page, at)
+        low = opened.start() if opened else size
+        if low != at:
+            yield "t", page[at:low], ()
+        if low == size:
+            return
+        first, second = page[low + 1], page[low + 2 : low + 3]
+        if first in "!?" or first == "/" and not (second.isascii() and second.isalpha()):
+            if page.startswith("<!--", low):
+                empty = page.startswith(">", low + 4) or page.startswith("->", low + 4)
+                end = page.find(">" if empty else "-->", low + 4)
+                at = end + (1 if empty else 3) if end >= 0 else size
+            else:
+                at = page.find(">", low) + 1 or size
+            continue
+        if low > last:
+            return
+        m = _TAG.match(page, low)
+        if m is None:  # a quote that isn't closed before the page's last tag ends
+            at = page.find(">", low) + 1
+            inner = page[low + 1 : at - 1].split()
+            value, more, end_tag = (inner or [""])[0].strip("/").lower(), "", first == "/"
+        else:
+            at, value, more, end_tag = m.end(), m[2].lower(), m[3], bool(m[1])
+        if end_tag:
+            if value in ("svg", "math"):
+                foreign = max(0, foreign - 1)
+            yield "/", value, ()
+            continue
+        closed = more.endswith("/") and (foreign or value in ("svg", "math"))
+        if value in ("svg", "math") and not closed:
+            foreign += 1
+        if value not in _ENDS:
+            yield "." if closed or value in VOID else "<", value, (_names if len(more) < 500 else _named)(more)
+        elif not closed:
+            yield "r", value, ()
+            end = None if value in endless else _ENDS[value].search(page, at)
+            if end is None:
+                endless.add(value)
+                at = (page.find("<", at) + 1 or size + 1) - 1 if value == "title" else size
+            else:
+                at = page.find(">", end.end()) + 1 or size
 
-@lru_cache(maxsize=20_000)
-def _names(attributes: str) -> tuple[str, ...]:
-    return tuple({f".{x.lower()}" for m in _NAMED.finditer(attributes) for x in _PART.findall(m[1])})
 
+def _ends(rows: list[tuple[str, str, tuple[str, ...]]]) -> list[int]:
+    """For each start tag the last token of its element; of one that is never closed, the last of the page or of what it
+    stands in. A paragraph also ends before a tag that isn't inline, a list item or a cell before the next of its kind."""
+    ends, many = [len(rows) - 1] * len(rows), Counter()
+    stack: list[int] = []
+    blocks: list[int] = []  # the places in ``stack`` of tags that aren't inline
 
-def tokens(page: str) -> Iterator[tuple[int, str, str, tuple[str, ...]]]:
-    """(place, kind, tag or text, names): kind is ``<`` for a start tag, ``/`` for an end tag, ``t`` for text."""
-    for m in _TOKEN.finditer(page):
-        if m["text"] is not None:
-            yield m.start(), "t", m["text"], ()
-        elif m["tag"]:
-            yield m.start(), "/" if m["end"] else "<", m["tag"].lower(), () if m["end"] else _names(m["more"])
+    def close(to: int, end: int) -> None:
+        while len(stack) > to:
+            x = stack.pop()
+            ends[x] = end
+            many[rows[x][1]] -= 1
+        while blocks and blocks[-1] >= to:
+            blocks.pop()
+
+    for k, (kind, value, _) in enumerate(rows):
+        if kind == "<":
+            if value not in INLINE:
+                if blocks and (top := rows[stack[blocks[-1]]][1]) in PARTED and (top == "p" or value in PARTED[top]):
+                    close(blocks[-1], k - 1)
+                blocks.append(len(stack))
+            stack.append(k)
+            many[value] += 1
+        elif kind == "/" and many[value]:
+            to = len(stack) - 1
+            while rows[stack[to]][1] != value:
+                to -= 1
+            close(to, k)
+    return ends
+
+
+def weight(text: str) -> float:
+    """How many words a text counts as."""
+    words = len(text.split())
+    return float(words) if text.isascii() else words + len(_DENSE.findall(text)) / 2
+
+
+def best_run(score: list[float]) -> tuple[int, int]:
+    """The first and shortest run (low, high) of the greatest sum over 0; (0, 0) where there is none."""
+    best, low, high, total, start = 0.0, 0, 0, 0.0, 0
+    for k, x in enumerate(score):
+        if total <= 0:
+            total, start = 0.0, k
+        total += x
+        if total > best:
+            best, low, high = total, start, k + 1
+    return low, high
 
 
 @dataclass
 class PageModel:
     odds: dict[str, float]
     cost: float
+    holders: frozenset[str] = frozenset()
 
     def price(self, keys: tuple[str, ...]) -> tuple[float, bool]:
-        """The score of a tag with these names, and whether it cuts its element out."""
-        odds = max(self.odds.get(k, 0.0) for k in keys)
-        return -self.cost * max(0.1, 1 + odds), odds > CUT
+        """The score of a tag of this name and these names, and whether it cuts its element out."""
+        named = [self.odds[k] for k in keys[1:] if k in self.odds]
+        odds = self.odds.get(keys[0], UNSEEN)
+        odds = max(odds, sum(named) / len(named)) if named else odds
+        return -self.cost * max(0.1, 1 + odds), odds > CUT and keys[0] not in ("html", "head", "body")
+
+    def widened(self, rows: list, ends: list[int], places: list[int], score: list[float], low: int, high: int) -> tuple[int, int]:
+        """The run, or the least element around it whose name or names tell that it holds an article, if the run holds a
+        third of its words: short blocks at an article's ends don't outweigh their tags."""
+        if low == high:
+            return low, high
+        for x in range(low, -1, -1):
+            kind, value, names = rows[places[x]]
+            if kind == "<" and ends[places[x]] > places[high - 1] - (x == low):
+                if any(k in self.holders for k in (value, *names)) and value not in ("html", "body"):
+                    end = int(np.searchsorted(places, ends[places[x]], side="right"))
+                    words = [sum(y for y in score[a:b] if y > 0) for a, b in ((low, high), (x, end))]
+                    return (x, end) if 3 * words[0] >= words[1] else (low, high)
+        return low, high
 
     def text(self, page: str | None) -> str:
         """The main text of one page."""
+        rows = list(tokens(page or ""))
+        words = [weight(value) if kind == "t" else 0.0 for kind, value, _ in rows]
+        held = np.concatenate([[0.0], np.cumsum(words)])
+        ends = _ends(rows)
         score: list[float] = []
+        places: list[int] = []  # of each score, the token it stands for
         runs: list[str | None] = []  # text, or None where a block ends
-        stack: list[tuple[str, bool]] = []
-        cut = 0
-        for _, kind, value, names in tokens(page or ""):
+        article, skip = 0, 0
+        known: dict[tuple[str, ...], tuple[float, bool]] = {}
+        for k, (kind, value, names) in enumerate(rows):
+            if k < skip:
+                continue
             if kind == "t":
-                if cut:
-                    continue
                 runs.append(html.unescape(value) if "&" in value else value)
-                score.append(float(len(value.split())))
+                score.append(words[k])
+                places.append(k)
+                continue
+            if kind == "r":
+                runs.append(None)
+                score.append(0.0)
+                places.append(k)
+                continue
+            keys = ("own header" if value == "header" and article > k else value, *names)
+            if keys not in known:
+                known[keys] = self.price(keys)
+            price, gone = known[keys]
+            if kind == "<" and (value == "template" or gone and not (value == "form" and 2 * (held[ends[k]] - held[k]) > held[-1])):
+                runs.append(None)
+                score.append(0.0)
+                places.append(k)
+                skip = ends[k] + 1
                 continue
-            price, gone = self.price((value, *names))
-            outer = cut
-            if kind == "<" and value not in VOID:
-                stack.append((value, gone))
-                cut += gone
-            elif kind == "/" and any(x[0] == value for x in stack):
-                while stack:
-                    name, gone = stack.pop()
-                    cut -= gone
-                    if name == value:
-                        break
-            if not (outer and cut):  # within a cut element tags don't count
-                runs.append("" if value in INLINE else None)
-                score.append(price)
-        best, low, high, total, start = 0.0, 0, 0, 0.0, 0
-        for k, x in enumerate(score):
-            if total <= 0:
-                total, start = 0.0, k
-            total += x
-            if total > best:
-                best, low, high = total, start, k + 1
+            if kind == "<" and value == "article":
+                article = max(article, ends[k])
+            runs.append("" if value in INLINE else None)
+            score.append(price)
+            places.append(k)
+        low, high = self.widened(rows, ends, places, score, *best_run(score))
         blocks, line = [], []
         for run in [*runs[low:high], None]:
             if run is not None:
@@ -131,32 +257,53 @@ def truth(page: list[tuple[str, int]]) -> str:
     return plain.text("".join(markup for markup, label in page if label))
 
 
+def _keys(page: list[tuple[str, int]]) -> Iterator[tuple[str, int, tuple[str, ...]]]:
+    """(kind, label, tag and names) of each tag of a labelled page; a header within an article is an ``own header``."""
+    article = 0
+    for markup, label in page:
+        for kind, value, names in tokens(markup):
+            if kind in "<./":
+                own = value == "header" and article
+                article += (kind == "<") - (kind == "/") if value == "article" else 0
+                yield kind, label, (f"own {value}" if own else value, *names)
+
+
 def fit(labelled: list[list[tuple[str, int]]]) -> PageModel:
     """Log-odds of every tag and name, then the cost of a tag that extracts the labelled articles best."""
-    within, outside = Counter(), Counter()
-    for page in labelled:
-        for markup, label in page:
-            for _, kind, value, names in tokens(markup):
-                if kind == "<":
-                    (within if label else outside).update({value, *names})
-    # what encloses articles stands outside them, yet must not be cut
-    around = Counter()
+    within, outside, around, first = Counter(), Counter(), Counter(), Counter()
     for page in labelled:
         held: list[tuple[str, ...]] = []
-        for markup, label in page:
+        begun = False
+        for kind, label, keys in _keys(page):
+            if kind != "/":
+                (within if label else outside).update(set(keys))
+            # what encloses articles stands outside them, yet must not be cut
             if label:
-                around.update({x for keys in held for x in keys})
-                continue
-            for _, kind, value, names in tokens(markup):
-                if kind == "<" and value not in VOID:
-                    held.append((value, *names))
-                elif kind == "/":
-                    while held and held.pop()[0] != value:
-                        pass
+                around.update({x for each in held for x in each})
+                first.update([x for each in held for x in each] if not begun else [])
+                begun = True
+            elif kind == "<":
+                held.append(keys)
+            elif kind == "/":
+                while held and held.pop()[0].split()[-1] != keys[0].split()[-1]:
+                    pass
     odds = {key: float(np.log((outside[key] + 0.5) / (within[key] + around[key] + 0.5))) for key in {*within, *outside}}
+    # the scan doesn't see what stands in a cut element: tags there don't count in its weights
+    rough, seen = PageModel(odds, 0.0), Counter()
+    for page in labelled:
+        for markup, label in page:
+            if label == 0:
+                deep = 0
+                for kind, _, keys in _keys([(markup, 0)]):
+                    deep -= kind == "/" and deep > 0
+                    if not deep and kind != "/":
+                        seen.update(set(keys))
+                    deep += kind == "<" and (deep > 0 or rough.price(keys)[1])
+    odds = {key: x if x > CUT else float(np.log((seen[key] + 0.5) / (within[key] + around[key] + 0.5))) for key, x in odds.items()}
+    holders = frozenset(k for k, n in first.items() if np.log((n + 0.5) / (max(0, outside[k] - n) + 0.5)) > CUT)
     sample = labelled[:: max(1, len(labelled) // 60)]
     goals = [("".join(markup for markup, _ in page), truth(page)) for page in sample]
-    return max((PageModel(odds, cost) for cost in (0.25, 0.5, 1.0, 2.0, 4.0)), key=lambda m: sum(_overlap(m.text(p), t) for p, t in goals))
+    return max((PageModel(odds, cost, holders) for cost in (0.25, 0.5, 1.0, 2.0, 4.0)), key=lambda m: sum(_overlap(m.text(p), t) for p, t in goals))
 
 
 @lru_cache(maxsize=1)
