@@ -5,12 +5,17 @@ one length, and then the nearest in angle has the greatest product. Each shard h
 a flat array of neighbour numbers (-1 where there are fewer). Rows come in batches that double up to ``BATCH``: each
 batch is searched in the graph so far from the top level down, joined by its own nearest, and linked to ``LINKS``
 neighbours chosen so that none is nearer to another chosen one than to the new row (then filled up with the nearest);
-links go both ways, and a full list is chosen anew. Levels are drawn from a hash of the id. Searches walk with a beam of
-``BEAM`` candidates; scores are inner products of the original vectors in double precision.
+links go both ways, and a full list is chosen anew. While the graph so far has ``SCANNED`` nodes at most, a row's nearest
+come from a scan of them, which is both quicker there and exact. Levels are drawn from a hash of the id. Searches walk
+with a beam of ``BEAM`` candidates or more: each graph measures its recall, on ``TRIED`` of its own nodes against a scan,
+and doubles the beam until it finds ``GOAL`` of the nearest. Vectors so evenly spread that the beam comes to a quarter
+of the shard (nothing is gained by walking then) are scanned in blocks: the exact way, which ``exact`` asks of all
+shards. Scores are inner products of the original vectors in double precision.
 
-Shards: by a hash of vec_id, as many as ``shards`` (memory grows with a shard, time as its logarithm), and by dimension:
-vectors of different lengths have no product. Queries go to every shard, and the shards' results are merged. In a
-shard the vectors come first and are indexed, then queries stream through, so a task holds one shard.
+Shards: by a hash of vec_id, one for each ``SHARD_ROWS`` rows, ``SHARDS`` at least, so a shard's memory doesn't grow with
+the table (time grows as its logarithm, so shards are as large as a task's memory allows), and by dimension: vectors of
+different lengths have no product. Queries go to every shard, and the shards' results are merged. In a shard the
+vectors come first and are indexed, then queries stream through, so a task holds one shard.
 
 Equal vectors are one node that keeps all their ids, so crowds of them don't cut the graph off.
 
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm._shared import mixed, ragged, task
 
-SHARDS, LINKS, BEAM, BATCH = 8, 16, 96, 1024
+SHARDS, SHARD_ROWS, LINKS, BEAM, BATCH = 8, 200_000, 16, 96, 1024
+SCANNED, TRIED, GOAL = 16_384, 64, 0.97
 #: Cells of the table of visited nodes: bounds how many queries walk at a time.
 VISITED = 1 << 25
 
@@ -45,8 +51,8 @@ def usable(df: DataFrame) -> DataFrame:
 class Graph:
     """A shard's graph, built once from all its rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, beam: int = BEAM):
-        self.links, self.beam = links, beam
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, beam: int = BEAM, k: int = 20, exact: bool = False):
+        self.links, self.beam, self.scans = links, beam, exact
         keys = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel()
         _, first, group = np.unique(keys, return_index=True, return_inverse=True)
         order = np.lexsort((ids, group))
@@ -54,6 +60,9 @@ class Graph:
         self.vectors = vectors[first]
         size = (self.vectors**2).sum(axis=1)
         points = np.column_stack([self.vectors, np.sqrt(np.maximum(size.max() - size, 0))]) / np.sqrt(size.max())
+        if exact:
+            self.rows, self.points = [np.arange(len(first))], [points.astype(np.float32)]
+            return
         n, lead = len(first), self.ids[self.id_at[:-1]].astype(np.uint64)
         draw = (mixed(lead).astype(np.float64) + 1) / 2.0**64
         level = np.floor(-np.log(np.clip(draw, 1e-18, 1)) / np.log(links)).astype(int)
@@ -67,6 +76,27 @@ class Graph:
             self.place.append(np.full(n, -1, dtype=np.int32))
             self.place[k][rows] = np.arange(len(rows))
             self._build(k)
+        self._tune(k_found=k)
+
+    def _tune(self, k_found: int) -> None:
+        """Raises the beam until a sample of the nodes finds ``GOAL`` of its nearest; beyond a quarter of all, scans."""
+        points = self.points[0]
+        k = min(k_found + 1, len(points))
+        # as queries are: without the last component, and none that walks begin at
+        some = np.setdiff1d(np.random.default_rng(len(points)).integers(0, len(points), TRIED), self._entries(len(points), 1))
+        tried = points[some].copy()
+        tried[:, -1] = 0
+        tried /= np.maximum(np.linalg.norm(tried, axis=1, keepdims=True), 1e-12)
+        least = np.sort(tried @ points.T, axis=1)[:, -k][:, None]
+        while True:
+            self.scans = 4 * self.beam >= len(points)
+            if self.scans:
+                return
+            _, score = self._descend(tried, k)
+            score = score[:, :k]
+            if (score >= least - 1e-6).sum() >= GOAL * k * len(tried):
+                return
+            self.beam *= 2
 
     def _build(self, level: int) -> None:
         points, flat = self.points[level], self.flat[level]
@@ -80,12 +110,24 @@ class Graph:
             own = np.argpartition(-near, width - 1, axis=1)[:, :width]
             found, score = own + low, np.take_along_axis(near, own, axis=1)
             if low:
-                far, told = self._walk(points[:low], flat, new, self.beam, self._entries(low, len(new)))
+                far, told = self._scan(points[:low], new, self.beam) if low <= SCANNED else self._walk(points[:low], flat, new, self.beam, self._entries(low, len(new)))
                 found, score = np.concatenate([found, far], axis=1), np.concatenate([score, told], axis=1)
             flat[low:high, : self.links] = self._chosen(points, np.where(score > -2, found, -1), score, self.links)
             self._link_back(points, flat, low, high)
             low, step = high, min(BATCH, 2 * step)
 
+    @staticmethod
+    def _scan(points: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest of ``points`` for each query, and their scores, in blocks."""
+        most = min(most, len(points))
+        found, score = np.empty((len(queries), most), dtype=np.int64), np.empty((len(queries), most), dtype=np.float32)
+        step = max(1, VISITED // 4 // len(points))
+        for low in range(0, len(queries), step):
+            near = queries[low : low + step] @ points.T
+            best = np.argpartition(near, len(points) - most, axis=1)[:, len(points) - most :]
+            found[low : low + step], score[low : low + step] = best, np.take_along_axis(near, best, axis=1)
+        return found, score
+
     @staticmethod
     def _entries(n: int, queries: int) -> np.ndarray:
         """Nodes spread over the first n, from which a walk may start."""
@@ -165,18 +207,29 @@ class Graph:
             live = live[on]
         return found, score
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, vec_id, product), the k best found for each query but rows of its own id."""
-        unit = np.column_stack([queries, np.zeros(len(queries))])
-        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    def _descend(self, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places on the lowest level (-1: none) and scores found by walks from the top level down, best first."""
         nodes = np.zeros((len(unit), 0), dtype=np.int64)
         for level in range(len(self.rows) - 1, -1, -1):
             points = self.points[level]
             begun = np.concatenate([self.place[level][nodes[:, :8]], self._entries(len(points), len(unit))], axis=1)
-            found, score = self._walk(points, self.flat[level], unit, max(k + 1, self.beam if level == 0 else 16), begun)
+            found, score = self._walk(points, self.flat[level], unit, max(k, self.beam if level == 0 else 16), begun)
             order = np.argsort(-score, axis=1, kind="stable")
-            found = np.take_along_axis(found, order, axis=1)
+            found, score = np.take_along_axis(found, order, axis=1), np.take_along_axis(score, order, axis=1)
             nodes = np.where(found >= 0, self.rows[level][np.maximum(found, 0)], self.rows[level][0])
+        return found, score
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, vec_id, product), the k best found for each query but rows of its own id."""
+        unit = np.column_stack([queries, np.zeros(len(queries))])
+        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+        if self.scans:
+            # single precision may swap near ties: take more, of which the exact products choose
+            nodes, _ = self._scan(self.points[0], unit, 2 * k + 20)
+            found, nodes = nodes, self.rows[0][nodes]
+        else:
+            found, _ = self._descend(unit, k + 1)
+            nodes = np.where(found >= 0, self.rows[0][np.maximum(found, 0)], self.rows[0][0])
         r, c = np.nonzero(found >= 0)
         node = nodes[r, c]
         exact = np.einsum("id,id->i", self.vectors[node], queries[r])
@@ -191,7 +244,7 @@ class Graph:
         return r[rank < k], ids[rank < k], exact[rank < k]
 
 
-def _shard_results(k: int, links: int, beam: int):
+def _shard_results(k: int, links: int, beam: int, exact: bool):
     @task("ann")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, graph = None, [], [], None
@@ -213,7 +266,7 @@ def _shard_results(k: int, links: int, beam: int):
                 if graph is None:
                     if not ids:
                         continue
-                    graph = Graph(np.concatenate(ids), np.concatenate(vectors), links, beam)
+                    graph = Graph(np.concatenate(ids), np.concatenate(vectors), links, beam, k, exact)
                     ids, vectors = [own[:0]], []
                 for start in range(0, len(own), BATCH):
                     q = own[start : start + BATCH]
@@ -223,14 +276,18 @@ def _shard_results(k: int, links: int, beam: int):
     return run
 
 
-def neighbours(df: DataFrame, every: int = 20, k: int = 20, shards: int = SHARDS, links: int = LINKS, beam: int = BEAM) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``."""
+def neighbours(df: DataFrame, every: int = 20, k: int = 20, shards: int | None = None, links: int = LINKS, beam: int = BEAM, exact: bool = False) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
+
+    ``shards``: as many as the table's rows need, if not given. ``exact``: every shard is scanned, none indexed.
+    """
+    shards = shards or max(SHARDS, -(-df.count() // SHARD_ROWS))
     rows = usable(df)
     vectors = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
     both = vectors.union(queries).withColumn("size", F.size("embedding"))
     dealt = both.repartition(4 * shards, "shard", "size").sortWithinPartitions("shard", "size", "kind", "vec_id")
-    found = dealt.mapInArrow(_shard_results(k, links, beam), "query_id bigint, vec_id bigint, score double")
+    found = dealt.mapInArrow(_shard_results(k, links, beam, exact), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
