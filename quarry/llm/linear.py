@@ -88,5 +88,21 @@ def calibration(margin: np.ndarray, y: np.ndarray, level: bool = True) -> tuple[
     return float(max(a, 1e-3)), float(b)
 
 
+def chances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (none below 0) and offset of the logistic function from features to the probability of y = 1; classes
+    weigh alike, targets are Platt's."""
+    good, n = y > 0, max(1, len(y))
+    target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+    weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * n
+    x = np.column_stack([x, np.ones(len(x))])
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return x.T @ (weight * (p - target)) + 1e-3 * w
+
+    w = descend(gradient, np.zeros(x.shape[1]), 4 / (1e-3 + _norm(x, weight)), 2000)
+    return np.append(np.maximum(w[:-1], 0), w[-1])
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

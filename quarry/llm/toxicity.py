@@ -1,24 +1,27 @@
 """Toxicity by a string-subsequence-kernel support vector machine with Nystroem landmarks.
 
 Units are words: A-Z lower-cased, ASCII marks taken out (so ``i-d.i*o_t`` is one unit), runs of three single characters
-or more joined, a mark at either end, units of over 48 bytes cut into windows of 48 that overlap by half. The kernel of two units counts
-their common subsequences of three bytes, gaps and all, each weighed by 0.7 for every byte it spans, scaled to 1 for
-equal units, cubed; a unit with fewer than three fifths of a landmark's neighbouring byte pairs (in order, at most three
-apart) has kernel 0 with it. A sentence's kernel with a landmark is the greatest of its units'. Mapped by the
-landmarks' own kernel matrix to the power -1/2 (Nystroem), sentences are told apart by a linear support vector
-machine; a document's margin is that of its worst sentence, and a logistic function of its hyperbolic tangent (so
-that far margins don't move the border) makes it a score.
-
-Fitting: about ``PER_CLASS`` learned documents of each label, of 20,000 characters at most. Landmarks are the words and
-beginnings of words that tell toxic documents best: at least ten times (beginnings: a hundred times) as frequent there
-as in the others. Such words with a character put in are positive sentences besides.
+or more joined, a mark at either end, units of over 48 bytes cut into windows of 48 that overlap by half. The kernel of
+a unit with a landmark counts their common subsequences of three bytes, gaps and all, each weighed by 0.7 for every byte
+it spans, scaled to 1 for equal units, cubed; it is 0 where the unit has fewer than three fifths of the landmark's
+neighbouring byte pairs (in order, at most three apart). A sentence's kernel with a landmark is the greatest of its
+units'. Mapped by the landmarks' matrix of the same kernel (made symmetric) to the power -1/2 (Nystroem), sentences are
+told apart by a linear support vector machine. A document has two features, the hyperbolic tangent of its worst
+sentence's margin, and the sum of the tangents of its positive margins against its length in words (one in ``USUAL``
+words counts in full); a logistic function of both, learned on the sample, is its score.
+
+Fitting: about ``PER_CLASS`` learned documents of each label, of 20,000 characters at most. Landmarks come from both
+labels: words and beginnings of words that tell toxic documents best (at least ``ODDS`` times as frequent there as in the
+others, and oftener than chance would have it for one in a hundred samples, all words tried), and the commonest words of
+clean documents that resemble one of them. Toxic words with a character put in are
+positive sentences besides.
 Whole texts are scored. A null or empty text has the score of a text without any hit. Without landmarks (no toxic
 document learned) every score is the share of label 1. Repeated rows are scored each.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm._shared import _LOWER, _SPACE, lean, ragged, remainder, slices, split_words, task, text_bytes
-from quarry.llm.linear import calibration, labelled_sample, logistic, svm
+from quarry.llm.linear import chances, labelled_sample, logistic, svm
 
-PER_CLASS, LANDMARKS, ODDS, WINDOW, DECAY, LENGTH, APART, SHARE = 2000, 128, 10, 48, 0.7, 3, 3, 0.6
+PER_CLASS, LANDMARKS, CLEAN, ODDS, CHANCE, USUAL, WINDOW, DECAY, LENGTH, APART, SHARE = 2000, 112, 16, 10, 0.01, 50, 48, 0.7, 3, 3, 0.6
 _KEPT = np.zeros(256, dtype=bool)
 _KEPT[np.r_[0x30:0x3A, 0x41:0x5B, 0x61:0x7B, 0x80:0x100]] = True
 _KEPT |= _SPACE
@@ -113,7 +116,7 @@ class ToxicModel:
     landmarks: list[bytes]
     root: np.ndarray
     weights: np.ndarray
-    scale: tuple[float, float] = (1.0, 0.0)
+    scale: tuple[float, ...] = (1.0, 0.0, 0.0)
     share: float = 0.0
     pairs: dict = field(default_factory=dict)
 
@@ -174,8 +177,8 @@ class ToxicModel:
         some = value > 0
         return owner[u[some]], k[some], value[some]
 
-    def sentence_vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The text and the kernels with the landmarks of each sentence that has a hit."""
+    def sentence_vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text and the kernels with the landmarks of each sentence that has a hit, and each text's words."""
         raw, at = text_bytes(texts)
         number, word_at, words, _ = sentences(raw, at)
         index = np.asarray(words.indices).astype(np.int64) if len(words) else np.zeros(0, np.int64)
@@ -193,7 +196,7 @@ class ToxicModel:
         data = np.insert(data, np.repeat(ends, [1, *[2] * (len(ends) - 2), 1] if len(ends) > 1 else [0]), np.frombuffer((_HEAD + _TAIL) * (len(ends) - 1), np.uint8))
         ends = np.concatenate([[0], np.cumsum(size)])
         if len(data) <= APART:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32), np.diff(word_at)
         unit, mark, value = self.hits(data, ends)
         order = np.argsort(unit, kind="stable")
         unit, mark, value = unit[order], mark[order], value[order]
@@ -205,42 +208,62 @@ class ToxicModel:
         np.maximum.at(out, (np.repeat(place, np.diff(row_at)), mark[rows]), value[rows])
         which = np.zeros(len(names), dtype=np.int64)
         which[place] = owner[told]
-        return which, out
-
-    def margins(self, texts: pa.Array) -> np.ndarray:
-        out = np.full(len(texts), self.weights[-1])
-        which, x = self.sentence_vectors(texts)
-        np.maximum.at(out, which, x @ self.root @ self.weights[:-1] + self.weights[-1])
+        return which, out, np.diff(word_at)
+
+    def features(self, which: np.ndarray, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The two features of each document, from ``sentence_vectors``."""
+        out = np.zeros((len(words), 2))
+        out[:, 0] = np.tanh(self.weights[-1])
+        told = np.tanh(x @ self.root @ self.weights[:-1] + self.weights[-1])
+        np.maximum.at(out[:, 0], which, told)
+        np.add.at(out[:, 1], which, np.maximum(told, 0))
+        out[:, 1] = np.minimum(out[:, 1] / (1 + words / USUAL), 1)
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(texts), self.share)
-        return logistic(np.tanh(self.margins(texts)) * self.scale[0] + self.scale[1])
+        return logistic(self.features(*self.sentence_vectors(texts)) @ np.array(self.scale[:-1]) + self.scale[-1])
 
 
 def _parts(word: bytes) -> set[bytes]:
     """The word with both its marks, and its beginnings."""
-    return ({_HEAD + word + _TAIL} if LENGTH < len(word) <= 24 else set()) | {_HEAD + word[:k] for k in range(4, min(len(word), 9))}
+    return ({_HEAD + word + _TAIL} if LENGTH <= len(word) <= 24 else set()) | {_HEAD + word[:k] for k in range(4, min(len(word), 9))}
 
 
-def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
-    """Words and beginnings of words that tell the toxic texts, the most telling first.
+def _landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Words and beginnings of words that tell the toxic texts, the most telling first, and clean texts' words, the
+    commonest first.
 
     As copies repeat a word's surroundings, its support is the number of different words before it or behind it in toxic
-    texts, whichever is less; a landmark's is a hundredth of the toxic texts, four at least.
+    texts, whichever is less.
     """
     bags: list[list[bytes]] = []
     hits: dict[bytes, int] = defaultdict(int)
     misses: dict[bytes, int] = defaultdict(int)
+    clean: Counter[bytes] = Counter()
     for text, bad in zip(texts, toxic, strict=True):
         raw, at = text_bytes(pa.array([text], pa.string()))
-        words = sentences(raw, at)[2].to_pylist()
-        bags.append(words if bad else [])
-        for part in set().union(*map(_parts, set(words))) if words else ():
+        words = sentences(raw, at)[2]
+        bags.append(words.to_pylist() if bad else [])
+        kinds = words.dictionary.to_pylist()
+        for part in set().union(*map(_parts, kinds)) if kinds else ():
             (hits if bad else misses)[part] += 1
-    least, bad, fine = max(4, 0.01 * toxic.sum()), max(1, toxic.sum()), max(1, (~toxic).sum())
-    good = {part for part, n in hits.items() if n >= least and n / bad >= (ODDS if part.endswith(_TAIL) else 10 * ODDS) * misses.get(part, 0) / fine}
+        if not bad:
+            clean.update(kinds)
+    bad, fine = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    usual, needed = bad / (bad + fine), float(np.log(max(1, len(hits)) / CHANCE))
+
+    def told(part: bytes, n: int) -> bool:
+        """Whether the part is in toxic texts so often, and oftener than by chance (Chernoff's bound)."""
+        rest = misses.get(part, 0)
+        share = n / (n + rest)
+        if n / bad < ODDS * rest / fine or share <= usual:
+            return False
+        gain = share * np.log(share / usual) + (1 - share) * np.log(max(1 - share, 1e-12) / (1 - usual))
+        return (n + rest) * gain >= needed
+
+    good = {part for part, n in hits.items() if told(part, n)}
     covers: dict[bytes, set[int]] = defaultdict(set)
     befores: dict[bytes, set[bytes]] = defaultdict(set)
     afters: dict[bytes, set[bytes]] = defaultdict(set)
@@ -255,11 +278,26 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     for part in sorted(covers, key=lambda x: (-support[x], -len(x), x)):
         docs = covers[part]
         kin = (x for x in out if x.startswith(part) or part.startswith(x.removesuffix(_TAIL)))
-        if support[part] >= least and not any(len(docs & covers[x]) > 0.9 * len(docs) and misses.get(x, 0) <= misses.get(part, 0) for x in kin):
+        if told(part, support[part]) and not any(len(docs & covers[x]) > 0.9 * len(docs) and misses.get(x, 0) <= misses.get(part, 0) for x in kin):
             out.append(part)
         if len(out) == LANDMARKS:
             break
-    return out
+    order = sorted((w for w, n in clean.items() if n > 1 and LENGTH <= len(w) <= 24), key=lambda w: (-clean[w], w))
+    return out, [_HEAD + w + _TAIL for w in order]
+
+
+def _kin(model: ToxicModel, words: list[bytes], most: int) -> list[bytes]:
+    """The first ``most`` of ``words`` that have half of the kernel's greatest value with a landmark."""
+    out: list[bytes] = []
+    for low in range(0, len(words), 5000):
+        some = words[low : low + 5000]
+        unit, _, value = model.hits(*text_bytes(pa.array(some, pa.binary())))
+        near = np.zeros(len(some))
+        np.maximum.at(near, unit, value)
+        out += [some[k] for k in np.flatnonzero(near >= 0.5) if some[k] not in model.landmarks]
+        if len(out) >= most:
+            break
+    return out[:most]
 
 
 def _disguised(marks: list[bytes], texts: list[str], forms: int = 8) -> list[bytes]:
@@ -280,20 +318,24 @@ def _disguised(marks: list[bytes], texts: list[str], forms: int = 8) -> list[byt
 def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicModel:
     y = np.array(labels, dtype=int)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    marks = _landmarks(texts, y == 1) if len(texts) else []
+    none = ToxicModel([], np.zeros((0, 0)), np.zeros(1), share=share)
+    marks, others = _landmarks(texts, y == 1) if len(texts) else ([], [])
     if not marks or not (y == 0).any():
-        return ToxicModel([], np.zeros((0, 0)), np.zeros(1), share=share)
-    grid = _grid(marks, max(map(len, marks)))
-    m = len(marks)
-    own = kernel(np.repeat(grid, m, axis=0), np.tile(grid, (m, 1))).reshape(m, m).astype(np.float64)
+        return none
+    clean = _kin(ToxicModel(marks, none.root, none.weights), others, CLEAN)
+    m = len(marks) + len(clean)
+    model = ToxicModel([*marks, *clean], np.eye(m), np.zeros(m + 1), share=share)
+    own = np.zeros((m, m))
+    unit, mark, value = model.hits(*text_bytes(pa.array(model.landmarks, pa.binary())))
+    own[unit, mark] = value
     values, vectors = np.linalg.eigh((own + own.T) / 2)
-    root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    model = ToxicModel(marks, root, np.zeros(m + 1), share=share)
-    rows, signs = [np.zeros((1, m))], [-1.0]
+    model.root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    rows, signs, read = [np.zeros((1, m))], [-1.0], []
     for low in range(0, len(texts), 500):
-        which, x = model.sentence_vectors(pa.array(texts[low : low + 500], pa.string()))
+        which, x, words = model.sentence_vectors(pa.array(texts[low : low + 500], pa.string()))
+        read.append((which, x, words))
         bad = y[low + which] == 1
-        peak = x.max(axis=1) if len(x) else np.zeros(0)
+        peak = x[:, : len(marks)].max(axis=1) if len(x) else np.zeros(0)
         best = np.zeros(500)
         np.maximum.at(best, which, peak)
         use = ~bad | (peak >= best[which])  # of a toxic text the sentence nearest to a landmark
@@ -306,9 +348,9 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> ToxicMod
         x[unit, mark] = value
         rows.append(x)
         signs += [1.0] * len(forms)
-    model.weights = svm(np.concatenate(rows) @ root, np.array(signs), cost=10.0, level=False)
-    margin = np.concatenate([model.margins(pa.array(texts[k : k + 500], pa.string())) for k in range(0, len(texts), 500)])
-    model.scale = calibration(np.tanh(margin), np.where(y == 1, 1.0, -1.0))
+    model.weights = svm(np.concatenate(rows) @ model.root, np.array(signs), cost=10.0, level=False)
+    told = np.concatenate([model.features(*x) for x in read])
+    model.scale = tuple(chances(told, np.where(y == 1, 1.0, -1.0)))
     return model
 
 
