@@ -10,6 +10,9 @@ How it runs: texts are cut into words once and written as blocks, a row of some
 the words' indices. Each block sends its distinct n-grams' 64-bit keys and counts, sorted and squeezed, to the
 bucket of keys that owns them; a bucket adds up and answers each block in the order in which it asked. So a key
 passes once for each block that holds it, however often it occurs, and no task's memory grows with a key's frequency.
+A block asks 2^``SPLIT`` buckets at most. Where that leaves buckets too large, their keys are combined over groups of
+``TOGETHER`` askers, each group asks finer buckets in the blocks' stead, and the answers return the same way: rows stay
+in proportion to the input, and a common key reaches its bucket once for each group.
 
 A null text is empty: one end token. A null doc_id counts as the empty id. Repeated rows count and score each.
 Keys are 64-bit hashes of words and word pairs; two that clash share a count.
@@ -31,6 +34,8 @@ from quarry.llm._shared import lean, mixed, remainder, split_words, spread, sque
 #: Bytes of text of a block, but for one longer text, and tokens for each bucket of keys.
 BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 2_000_000
+#: Bits by which keys are dealt at a time, and askers that are combined where more bits are needed.
+SPLIT, TOGETHER = 12, 1000
 #: Most frequency buckets of contexts: floor(log2(count)) + 1, 0 for contexts never seen.
 CONTEXTS = 40
 #: Steps in an octave to which the ratios of two estimates are rounded when EM's tokens are gathered.
@@ -134,8 +139,9 @@ class _Block:
         return out
 
 
-def _bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    marks = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+def _bucket_edges(keys: np.ndarray, bits: int, of: int = 0, done: int = 0) -> np.ndarray:
+    """Where sorted keys, alike in their first ``done`` bits (``of``), part by the next ``bits`` bits."""
+    marks = (np.uint64(of << bits) + np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - done - bits) if bits else np.zeros(0, np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, marks), [len(keys)]])
 
 
@@ -181,6 +187,44 @@ def answered(keys: DataFrame) -> DataFrame:
     return written(keys.groupBy("level", "bucket").applyInPandas(run, _ANSWERS))
 
 
+def settled(keys: DataFrame, askers: int, bits: int, done: int) -> DataFrame:
+    """``answered``, by buckets of ``bits`` bits, for keys that are dealt by their first ``done`` bits."""
+    if done >= bits:
+        return answered(keys)
+    more = min(SPLIT, bits - done)
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-askers // TOGETHER)))
+    keys = keys.withColumn("asker", F.concat_ws(".", "level", "bucket", "deleted", group))
+    names = [x.split()[0] for x in _KEYS.split(", ")]
+
+    def combine(own: pd.DataFrame) -> pd.DataFrame:
+        distinct, place = np.unique(np.concatenate([np.cumsum(spread(x, np.uint64)) for x in own["keys"]]), return_inverse=True)
+        kept, gone = (np.bincount(place, np.concatenate([spread(x, np.int64) for x in own[c]]), len(distinct)).astype(np.int64) for c in ("kept", "gone"))
+        level, bucket, deleted, asker = (own[c].iloc[0] for c in ("level", "bucket", "deleted", "asker"))
+        edges, out = _bucket_edges(distinct, more, int(bucket), done), []
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a < b:
+                out.append((level, (int(bucket) << more) + k, asker, deleted, squeeze(np.diff(distinct[a:b], prepend=np.uint64(0))), squeeze(kept[a:b]), squeeze(gone[a:b])))
+        return pd.DataFrame(out, columns=names)
+
+    def share(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.cumsum(spread(x, np.uint64)) for x in own["keys"]]
+        place = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+        got = got.drop_duplicates("bucket").sort_values("bucket")
+        kept, both = (np.concatenate([spread(x, np.int64) for x in got[c].dropna()] or [np.zeros(0, np.int64)]) for c in ("kept", "both"))
+        low, out = 0, []
+        for name, level, bucket, deleted, one in zip(own["block"], own["level"], own["bucket"], own["deleted"], lists, strict=True):
+            at = place[low : low + len(one)]
+            low += len(one)
+            out.append((level, bucket, name, squeeze(kept[at]) if deleted else None, squeeze(both[at]), None))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+    keys = written(keys)
+    finer = keys.groupBy("asker").applyInPandas(combine, _KEYS)
+    got = settled(finer, -(-askers // TOGETHER), bits, done + more)
+    back = keys.groupBy("asker").cogroup(got.where("block is not null").withColumnRenamed("block", "asker").groupBy("asker")).applyInPandas(share, _ANSWERS)
+    return written(back.unionByName(got.where("block is null")))
+
+
 def _gathered(answers: pd.DataFrame, block: _Block, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the block's words (by index) and of its word pairs (by number)."""
     out = {}
@@ -222,13 +266,13 @@ def _weights(seen: list[tuple[int, int | None, int | None, int]], rounds: int =
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``documents``."""
     table = blocks(documents)
-    told = table.groupBy("deleted").agg(F.sum("learned"), F.sum("learned_docs"), F.sum("tokens")).collect()
-    learned, starts, tokens = {}, {}, 0
-    for deleted, a, b, c in told:
-        learned[deleted], starts[deleted], tokens = a, b, tokens + c
+    told = table.groupBy("deleted").agg(F.sum("learned"), F.sum("learned_docs"), F.sum("tokens"), F.count("*")).collect()
+    learned, starts, tokens, n_blocks = {}, {}, 0, 0
+    for deleted, a, b, c, d in told:
+        learned[deleted], starts[deleted], tokens, n_blocks = a, b, tokens + c, n_blocks + d
     kept_total, kept_starts, total, all_starts = learned.get(False, 0), starts.get(False, 0), sum(learned.values()), sum(starts.values())
-    bits = max(0, int(np.ceil(np.log2(max(1, tokens) / BUCKET_TOKENS))))
-    answers = answered(asked(table, max(3, bits)))
+    bits = max(3, int(np.ceil(np.log2(max(1, tokens) / BUCKET_TOKENS))))
+    answers = settled(asked(table, min(bits, SPLIT)), n_blocks, bits, min(bits, SPLIT))
     distinct = answers.where("block is null and level = 1").agg(F.sum("distinct")).first()[0] or 0
 
     def events(_: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
