@@ -5,8 +5,8 @@ along it at some place, ``WINDOW`` = 13 neighbouring words (the whole of a short
 Seeds: two fixed masks over 8 words pick 6 each; at every place of items and documents their hashes are taken and
 joined. The masks are such that each 13 words with at most two substitutions hold a hit of one of them. Each hit names
 an item and a place to lay it along; these are verified word by word. An item of 5 to 12 words may differ in one word
-(10 to 12: two), so two (three) solid masks that divide it find it. Items of fewer than 5 words are not looked for:
-so few words are no evidence; ``unsought`` tells how many these are.
+(10 to 12: two), so two (three) solid masks that divide it find it. Shorter items must be there as they are: one mask
+over all their words finds them, so an item of one word is found wherever that word is.
 
 The items' seeds are broadcast if they are counted to be few (``BROADCAST`` at most): then nothing but verified hits
 moves. Otherwise Spark joins by shuffle, whose hot keys it may split.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHARE, LEAST = 13, 0.8, 5
+WINDOW, SHARE = 13, 0.8
 #: The masks' chosen positions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Seeds (of some 50 bytes) that are broadcast at most.
@@ -36,7 +36,7 @@ def word_hashes(text: Column) -> Column:
 
 def _solid(length: int) -> list[tuple[int, ...]]:
     """Solid masks that divide a short item into one part more than it may have wrong words."""
-    parts = 2 + (length >= 10)
+    parts = 1 + (length >= 5) + (length >= 10)
     cuts = [length * k // parts for k in range(parts + 1)]
     return [tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -75,8 +75,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast: int = BR
     With at most ``broadcast`` seeds, hits are verified as they are found; with more, they are put together first, and
     the texts that have some are read again.
     """
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= LEAST).withColumn("n", F.size("h")).distinct()
-    shorts = sorted(x[0] for x in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 8 lengths
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0).withColumn("n", F.size("h")).distinct()
+    shorts = sorted(x[0] for x in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 12 lengths
     masks = [(f"m{k}", picks) for k, picks in enumerate(MASKS)]
     short = [(f"s{n}.{k}", picks) for n in shorts for k, picks in enumerate(_solid(n))]
     wanted = [_seeds(items.where(F.col("n") >= WINDOW), masks, ["item_id", "n"]).select("item_id", "n", "seed", F.col("at").alias("item_at"))]
@@ -108,11 +108,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast: int = BR
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("a.total").cast("long").alias("n_equal"), F.max("n").cast("long").alias("n_words"))
 
 
-def unsought(benchmark: DataFrame) -> int:
-    """The number of the benchmark's rows that have too few words (one to ``LEAST`` - 1) to be looked for."""
-    return benchmark.where(F.size(word_hashes(F.col("text"))).between(1, LEAST - 1)).count()
-
-
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without those that hold an item."""
     bad = contaminated(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()

@@ -85,7 +85,7 @@ _CUT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambd
 
 #: Every pair of equal words of a document and an item votes for the place at which the item lies along the document.
 OP8_SQL = f"""WITH d AS (SELECT doc_id, {_CUT} AS w FROM documents), i AS (SELECT DISTINCT item_id, {_CUT} AS w FROM benchmark),
- dw AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)), iw AS (SELECT item_id, k, w[k] AS x, len(w) AS n FROM i, unnest(range(1, len(w) + 1)) AS t(k) WHERE len(w) >= 5),
+ dw AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)), iw AS (SELECT item_id, k, w[k] AS x, len(w) AS n FROM i, unnest(range(1, len(w) + 1)) AS t(k)),
  m AS (SELECT doc_id, item_id, p - k AS place, k, n FROM dw JOIN iw USING (x)), good AS (SELECT doc_id, item_id, place, count(*) AS total FROM m GROUP BY 1, 2, 3 HAVING count(*) >= ceil(0.8 * least(any_value(n), 13))),
  near AS (SELECT m.*, total, count(*) OVER (PARTITION BY doc_id, item_id, place ORDER BY k RANGE BETWEEN CURRENT ROW AND (least(n, 13) - 1) FOLLOWING) AS c FROM m JOIN good USING (doc_id, item_id, place))
  SELECT doc_id, item_id, max(total) AS n_equal, max(n) AS n_words FROM near WHERE c >= ceil(0.8 * least(n, 13)) GROUP BY 1, 2"""

@@ -118,7 +118,7 @@ def brute_leaks(rows, items):
         for item, text in items:
             x = cut(text)
             size = min(13, len(x))
-            if len(x) < 5:
+            if not x:
                 continue
             for place in range(-len(x), len(w)):
                 eq = [0 <= place + i < len(w) and w[place + i] == y for i, y in enumerate(x)]
@@ -130,12 +130,12 @@ def brute_leaks(rows, items):
 def test_decontamination_against_brute_force(spark):
     r = random.Random(6)
     words = ["".join(r.choices("abcd", k=2)) for _ in range(12)]
-    items = [(k, " ".join(r.choices(words, k=n))) for k, n in enumerate([14, 20, 30, 13, 12, 9, 5, 6, 4, 10])] + [(50, None), (51, "")]
+    items = [(k, " ".join(r.choices(words, k=n))) for k, n in enumerate([14, 20, 30, 13, 12, 9, 5, 6, 4, 10, 3, 2])] + [(50, None), (51, "")]
     rows = []
     for k in range(60):
         w = r.choices(words, k=r.randint(0, 30))
         if k % 2:
-            x = cut(r.choice(items[:10])[1])
+            x = cut(r.choice(items[:12])[1])
             for _ in range(r.randint(0, 4)):
                 x[r.randrange(len(x))] = "zz"
             low = r.randrange(len(x)) if r.random() < 0.3 else 0
