@@ -22,19 +22,39 @@ _LOWER[0x41:0x5B] += 0x20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends. Where the setting is unset, a
+    temporary folder serves a local session (as in tests); on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    where, files = _files(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{folder}/table"
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(df: DataFrame) -> None:
+    """Removes the table that ``written`` made; nothing may read it any more."""
+    where, files = _files(df.sparkSession, df._quarry_path)
+    files.delete(where, True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts its lineage."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 _caches: dict[str, Callable[[], None]] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import written
+from quarry.llm._shared import removed, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_small(_large(edges)))
+        old, edges = edges, written(_small(_large(edges)))
+        removed(old)
         before, mark = mark, _mark(edges)
         if before == mark:
             break

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import lean, mixed, remainder, split_words, spread, squeeze, task, text_bytes, written
+from quarry.llm._shared import lean, mixed, remainder, removed, split_words, spread, squeeze, task, text_bytes, written
 
 #: Bytes of text of a block, but for one longer text, and tokens for each bucket of keys.
 BLOCK_BYTES = 8 << 20
@@ -222,7 +222,10 @@ def settled(keys: DataFrame, askers: int, bits: int, done: int) -> DataFrame:
     finer = keys.groupBy("asker").applyInPandas(combine, _KEYS)
     got = settled(finer, -(-askers // TOGETHER), bits, done + more)
     back = keys.groupBy("asker").cogroup(got.where("block is not null").withColumnRenamed("block", "asker").groupBy("asker")).applyInPandas(share, _ANSWERS)
-    return written(back.unionByName(got.where("block is null")))
+    out = written(back.unionByName(got.where("block is null")))
+    removed(keys)
+    removed(got)
+    return out
 
 
 def _gathered(answers: pd.DataFrame, block: _Block, column: str) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm._shared import lean, mixed, slices, split_words, task, text_bytes, written
+from quarry.llm._shared import lean, mixed, removed, slices, split_words, task, text_bytes, written
 from quarry.llm.components import components, one_of_each
 
 WIDTH, SEED, BUDGET = 5, 42, 22
@@ -123,7 +123,10 @@ def _verified(pairs: DataFrame, named: DataFrame, documents: DataFrame) -> DataF
                 common = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in both]
                 yield batch.select(["a", "b"]).filter(pa.array([9 * c >= 4 * s for c, s in common], pa.bool_()))
 
-    return written(lean(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), 200).mapInArrow(run, "a bigint, b bigint"))
+    out = written(lean(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), 200).mapInArrow(run, "a bigint, b bigint"))
+    removed(pairs)
+    removed(texts)
+    return out
 
 
 def _crossed(posts: DataFrame) -> DataFrame:
