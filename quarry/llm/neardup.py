@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
@@ -133,30 +133,31 @@ def _crossed(posts: DataFrame) -> DataFrame:
     """a bigint, b bigint: pairs of different root that a trie self-join finds among the posts of each shingle.
 
     A shingle's posts are one trie of fingerprints. A crowd of them is dealt into ``crowd`` parts of ``CELL`` posts, and
-    a trie is made for each two parts, so no task holds a crowd; a pair is told where its two parts meet.
+    a trie is made for each two parts, so no task holds a crowd; a pair is told where its two parts meet. Sets that also
+    met at the shingle ``before`` this one, the same for both, were told there: a run of common shingles tells a pair once.
     """
     crowd = F.ceil(F.col("held") / CELL).cast("int")
     part = F.pmod(F.xxhash64("digest", "key"), crowd).cast("int")
     cells = F.transform(F.sequence(F.lit(0), crowd - 1), lambda x: F.struct(F.least(x, part).alias("x"), F.greatest(x, part).alias("y")))
     few = posts.where(F.col("held") <= CELL).withColumns({"part": F.lit(0), "cell": F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))})
     many = posts.where(F.col("held") > CELL).select("*", part.alias("part"), F.explode(cells).alias("cell"))
-    dealt = few.unionByName(many).select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "fp", "digest", "n", "pos", "root")
+    dealt = few.unionByName(many).select("key", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "part", "fp", "digest", "n", "pos", "root", "before")
     tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     @task("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in simhash.in_groups(batches, ["key", "x", "y"], CELL):
-            key, x, y, part, fp, digest, n, pos, root = (c.to_numpy() for c in batch.columns)
+            key, x, y, part, fp, digest, n, pos, root, before = (c.to_numpy() for c in batch.columns)
             order = np.lexsort((fp.view(np.uint64), y, x, key))
-            key, x, y, part, fp, digest, n, pos, root = (c[order] for c in (key, x, y, part, fp, digest, n, pos, root))
+            key, x, y, part, fp, digest, n, pos, root, before = (c[order] for c in (key, x, y, part, fp, digest, n, pos, root, before))
             new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             starts = np.flatnonzero(np.concatenate([[True], new]))
             labels = np.unique(root, return_inverse=True)[1]
             for i, j in simhash.pairs_within(fp.view(np.uint64), starts, 0, BUDGET, labels):
                 may = 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
                 i, j = i[may], j[may]
-                met = (x[i] == y[i]) | (part[i] != part[j])
+                met = ((x[i] == y[i]) | (part[i] != part[j])) & (before[i] != before[j])
                 i, j = digest[i[met]], digest[j[met]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
@@ -175,7 +176,8 @@ def grouped(documents: DataFrame) -> DataFrame:
     stars = shared.where((F.col("digest") != F.col("hub.digest")) & near)
     links = _verified(stars.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")), named, documents)
     labels = components(links).withColumnRenamed("node", "digest")
-    told = shared.drop("hub").join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    before = F.lag("key").over(Window.partitionBy("digest").orderBy("pos"))
+    told = shared.drop("hub").withColumn("before", F.coalesce(before, "digest")).join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     more = _verified(_crossed(told), named, documents)
     whole = components(links.union(more)).withColumnRenamed("node", "digest")
     return rows.select("doc_id", "th", "digest").join(whole, "digest", "left").select("doc_id", "th", F.coalesce("root", "digest").alias("root"))
