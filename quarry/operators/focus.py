@@ -97,17 +97,22 @@ def relationships(chunks: DataFrame, least: float = 0.1) -> DataFrame:
     """file_path, first, second (start lines), strength, kind for pairs of a file's chunks.
 
     ``chunks`` has functions and imports (arrays). Half a point for each shared function, 0.3 for an import, 0.4 if the
-    second starts within five lines of the first's end; 1.0 at most. Pairs come from shared names and neighbourhood,
-    not from all pairs of a file.
+    second starts within five lines of the first's end; 1.0 at most. Pairs come from equality joins on shared names and
+    on neighbouring lines, never from all pairs of a file; chunks of a file differ in their lines.
     """
-    c = chunks.select("file_path", "start_line", "end_line", "functions", "imports")
-    a, b = c.alias("a"), c.alias("b")
-    near = a.join(b, (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.start_line") < F.col("b.start_line")))
-    near = near.where((F.abs(F.col("a.end_line") - F.col("b.start_line")) <= 5) | F.arrays_overlap("a.functions", "b.functions") | F.arrays_overlap("a.imports", "b.imports"))
-    f = F.size(F.array_intersect("a.functions", "b.functions"))
-    i = F.size(F.array_intersect("a.imports", "b.imports"))
-    seq = F.abs(F.col("a.end_line") - F.col("b.start_line")) <= 5
-    strength = F.least(F.lit(1.0), 0.5 * f + 0.3 * i + F.when(seq, 0.4).otherwise(0.0))
-    kind = F.when(seq, "sequential").when(f > 0, "functional").otherwise("related")
-    out = near.select(F.col("a.file_path").alias("file_path"), F.col("a.start_line").alias("first"), F.col("b.start_line").alias("second"), strength.alias("strength"), kind.alias("kind"))
-    return out.where(F.col("strength") >= least)
+    place = ["file_path", "start_line", "end_line"]
+    ahead = F.col("a.start_line") < F.col("b.start_line")
+    pair = [F.col("a.file_path").alias("file_path"), F.col("a.start_line").alias("first"), F.col("a.end_line").alias("first_end"), F.col("b.start_line").alias("second"), F.col("b.end_line").alias("second_end")]
+
+    def shared(names: str) -> DataFrame:
+        named = chunks.select(*place, F.explode(F.array_distinct(names)).alias("name"))
+        met = named.alias("a").join(named.alias("b"), (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.name") == F.col("b.name")) & ahead)
+        return met.select(*pair, F.lit(names).alias("by"))
+
+    beside = chunks.select(*place, F.explode(F.sequence(F.col("end_line") - 5, F.col("end_line") + 5)).alias("next")).alias("a")
+    near = beside.join(chunks.select(*place).alias("b"), (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.next") == F.col("b.start_line")) & ahead).select(*pair, F.lit("lines").alias("by"))
+    keys = ["file_path", "first", "first_end", "second", "second_end"]
+    told = shared("functions").unionByName(shared("imports")).unionByName(near).groupBy(*keys).agg(F.count_if(F.col("by") == "functions").alias("f"), F.count_if(F.col("by") == "imports").alias("i"), F.bool_or(F.col("by") == "lines").alias("seq"))
+    strength = F.least(F.lit(1.0), 0.5 * F.col("f") + 0.3 * F.col("i") + F.when(F.col("seq"), 0.4).otherwise(0.0))
+    kind = F.when(F.col("seq"), "sequential").when(F.col("f") > 0, "functional").otherwise("related")
+    return told.select("file_path", "first", "second", strength.alias("strength"), kind.alias("kind")).where(F.col("strength") >= least)

@@ -1,4 +1,4 @@
-"""Reports: rows for tables, SARIF, JSON, Markdown and HTML documents of a bounded list of findings."""
+"""Reports: rows for tables, SARIF, JSON, Markdown and HTML documents, and files of reports of any size."""
 
 from __future__ import annotations
 
@@ -47,10 +47,12 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("json"))
 
 
-def document(findings: DataFrame, form: str, order: list[str], most: int = 1000) -> str:
-    """A report on the ``most`` worst findings as one text, made on the driver. Forms: table, json, sarif, html, markdown
+def document(findings: DataFrame, form: str, order: list[str], most: int | None = None) -> str:
+    """A report on all findings, or on the ``most`` worst, as one text on the driver; ``files`` writes reports that are too
+    large for one text. Forms: table, json, sarif, html, markdown
     (csv gives the table)."""
-    top = findings.orderBy(severity_ordinal(F.col("severity")).desc(), "confidence", *order).limit(most)
+    top = findings.orderBy(severity_ordinal(F.col("severity")).desc(), "confidence", *order)
+    top = top if most is None else top.limit(most)
     counts = {r[0]: r[1] for r in findings.groupBy("severity").count().collect()}
     rows = [r.asDict() for r in top.select("file_path", "start_line", "end_line", "source_tool", "severity", "vulnerability_type", "confidence", "description").collect()]
     if form == "json":
@@ -70,3 +72,16 @@ def document(findings: DataFrame, form: str, order: list[str], most: int = 1000)
         return "<html><body><h1>Findings</h1><p>" + ", ".join(f"{a}: {n}" for a, n in summary) + f"</p><table>{cells}</table></body></html>"
     lines = [f"{a}: {n}" for a, n in summary]
     return "\n".join(lines + [f"{k}. [{r['severity']}] {r['vulnerability_type']} {r['file_path']}:{r['start_line']} ({r['confidence']:.2f})" for k, r in enumerate(rows, 1)])
+
+
+def files(findings: DataFrame, form: str, order: list[str], path: str) -> None:
+    """All findings, the worst first, as part files below ``path``, sorted over all of them; nothing meets on the driver.
+    Forms: json and sarif (an object a line), csv (with a header), table (a line of text each)."""
+    top = findings.orderBy(severity_ordinal(F.col("severity")).desc(), "confidence", *order)
+    if form == "csv":
+        plain = [x.name for x in top.schema.fields if x.dataType.typeName() not in ("array", "map", "struct")]
+        top.select(*plain).write.option("header", True).csv(path)
+        return
+    text = F.concat_ws(" ", F.concat(F.lit("["), "severity", F.lit("]")), "vulnerability_type", F.concat("file_path", F.lit(":"), F.col("start_line").cast("string")), F.format_string("(%.2f)", "confidence"))
+    rows = {"json": json_rows, "sarif": sarif_results}[form](top) if form != "table" else top.select(text.alias("line"))
+    rows.write.text(path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quarry.functions import maps
 from quarry.functions import text as tx
+from quarry.functions.durable import shared_top
 from quarry.operators import correlate, folds, render, strategies, units, workflow
 from quarry.operators import findings as fd
 from quarry.operators import focus as fo
@@ -119,6 +118,16 @@ def code_language(spark, d):
     return c.select("file_path", sf.language_by_suffix(F.col("file_path"), "unknown").alias("by_suffix"), sf.language_by_content(F.col("content")).alias("by_content"))
 
 
+_PLAIN = "s AS (SELECT doc_id, coalesce(text, '') AS content FROM documents)"
+
+
+@query(f"WITH {_PLAIN}, r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS language, {k} AS k, {_score(p)} AS n FROM s" for k, (name, p) in enumerate(sf.PATTERNS.items())) + ") SELECT language, count(*) AS files FROM (SELECT doc_id, arg_max(language, n * 10 - k) FILTER (n > 0) AS language FROM r GROUP BY 1) GROUP BY 1")
+def language_detect(spark, d):
+    """The documents by the language that their content tells."""
+    told = b.table(spark, d, "documents").select(sf.language_by_content(F.coalesce("text", F.lit(""))).alias("language"))
+    return told.groupBy("language").agg(F.count("*").alias("files"))
+
+
 # chunks of two strategies
 
 _BLOCKS = f"blocks AS (SELECT file_path, s::INTEGER AS start_line, least(s + 4, n_lines)::INTEGER AS end_line FROM counts, unnest(range(1, n_lines + 1, 5)) AS t(s))"
@@ -179,12 +188,12 @@ def chunk_overlaps(spark, d):
 _WORDS3 = "list_sort(list_distinct(list_slice(string_split(lower(line), ' '), 1, 3)))"
 
 
-@query(f"""WITH {LINES}, c AS (SELECT file_path, line_no AS start_line, line_no AS end_line, {_WORDS3} AS f, list_slice({_WORDS3}, 1, 1) AS i FROM doc_lines WHERE file_path LIKE '%5'),
+@query(f"""WITH {LINES}, c AS (SELECT file_path, line_no AS start_line, line_no AS end_line, {_WORDS3} AS f, list_slice({_WORDS3}, 1, 1) AS i FROM doc_lines),
  p AS (SELECT a.file_path, a.start_line AS first, b.start_line AS second, len(list_intersect(a.f, b.f)) AS nf, len(list_intersect(a.i, b.i)) AS ni, abs(a.end_line - b.start_line) <= 5 AS seq FROM c a JOIN c b ON a.file_path = b.file_path AND a.start_line < b.start_line)
  SELECT file_path, first, second, round(least(1.0, 0.5::DOUBLE*nf + 0.3::DOUBLE*ni + CASE WHEN seq THEN 0.4::DOUBLE ELSE 0 END), 6) AS strength, CASE WHEN seq THEN 'sequential' WHEN nf > 0 THEN 'functional' ELSE 'related' END AS kind FROM p WHERE seq OR nf > 0 OR ni > 0""")
 def chunk_relationships(spark, d):
     words = F.array_sort(F.array_distinct(F.slice(F.split(F.lower("line"), " ", -1), 1, 3)))
-    c = b.source_lines(spark, d).where("file_path like '%5'").select("file_path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), words.alias("functions"), F.slice(words, 1, 1).alias("imports"))
+    c = b.source_lines(spark, d).select("file_path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), words.alias("functions"), F.slice(words, 1, 1).alias("imports"))
     return fo.relationships(c).withColumn("strength", F.round("strength", 6))
 
 
@@ -290,30 +299,41 @@ def diff_lines(spark, d):
     return workflow.diff_lines(o)
 
 
-_REPORTS = [("bandit", '{"results": [{"a": 1}, {"a": 2}]}'), ("semgrep", '{"results": []}'), ("safety", '{"vulnerabilities": [{"b": 1}]}'), ("broken", '{"results": ['), ("blank", " ")]
-
-
-@query("SELECT * FROM (VALUES ('bandit', 2::BIGINT, 'read'), ('semgrep', 0, 'read'), ('safety', 1, 'read'), ('broken', 0, 'error'), ('blank', 0, 'empty')) AS t(tool, n, status)")
+@query("""SELECT concat('conv_', conv_id) AS tool, count(text) AS n, 'read' AS status FROM conversations GROUP BY conv_id
+ UNION ALL SELECT concat('doc_', doc_id), 0, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty' ELSE 'error' END FROM documents""")
 def report_counts(spark, d):
-    return workflow.report_counts(spark.createDataFrame(_REPORTS, "tool string, json string"))
+    """Reports made of conversations, each turn a result, and documents, which aren't JSON."""
+    turns = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list("text").alias("results"))).alias("json"))
+    texts = b.table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("tool"), F.coalesce("text", F.lit("")).alias("json"))
+    return workflow.report_counts(turns.select(F.concat(F.lit("conv_"), "conv_id").alias("tool"), "json").unionByName(texts))
 
 
-@query("SELECT 'hardcoded_credentials' AS file")
+@query("SELECT concat('part_', p_partkey) AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
 def template_catalog_anti(spark, d):
-    catalog = spark.createDataFrame([("sql_injection",), ("hardcoded_credentials",), ("xss",)], "file string")
-    return workflow.missing(catalog, spark.createDataFrame([("sql_injection",), ("xss",), ("other",)], "file string"))
+    catalog = b.table(spark, d, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("file"))
+    there = b.table(spark, d, "lineitem").where("l_quantity > 25").select(F.concat(F.lit("part_"), "l_partkey").alias("file"))
+    return workflow.missing(catalog, there)
 
 
 _JSON = {
-    "bandit": '{"results": [{"test_id": "B602", "test_name": "shell", "issue_text": "Shell use", "filename": "a.py", "line_number": 7, "issue_severity": "HIGH", "issue_confidence": "LOW"}, {"test_id": "B999"}]}',
     "semgrep": '{"results": [{"check_id": "x.security.sqli", "path": "b.py", "message": "bad", "start": {"line": 3, "col": 1}, "end": {"line": 5, "col": 2}, "extra": {"severity": "ERROR"}}, {"check_id": "plain", "message": "inject shell"}]}',
     "safety": '[{"package": "p", "installed_version": "1", "affected_versions": "<2", "advisory": "minor thing", "vulnerability_id": "7", "CVE": "CVE-1", "severity": "medium"}, {"package": "q", "advisory": "remote code execution"}]',
 }
+_GRADES = ["LOW", "MEDIUM", "HIGH"]
 
 
-@query("""SELECT * FROM (VALUES ('bandit','B602','command_injection','high',0.5::DOUBLE,'a.py',7,7), ('bandit','B999','other','medium',0.7,'Unknown',1,1), ('semgrep','x.security.sqli','sql_injection','high',0.85,'b.py',3,5), ('semgrep','plain','command_injection','medium',0.75,'',1,1), ('safety','7','vulnerable_dependency','high',0.95,'environment/installed_packages',1,1), ('safety',NULL,'vulnerable_dependency','critical',0.95,'environment/installed_packages',1,1)) AS t(source_tool, rule_id, vulnerability_type, severity, confidence, file_path, start_line, end_line)""")
+@query("""SELECT 'bandit' AS source_tool, CASE l_partkey % 2 WHEN 0 THEN 'B602' ELSE 'B999' END AS rule_id, CASE l_partkey % 2 WHEN 0 THEN 'command_injection' ELSE 'other' END AS vulnerability_type, CASE l_partkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity,
+ CASE l_suppkey % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.7 ELSE 0.9 END AS confidence, concat('f', l_suppkey, '.py') AS file_path, l_linenumber::INTEGER AS start_line, l_linenumber::INTEGER AS end_line FROM lineitem
+ UNION ALL SELECT * FROM (VALUES ('semgrep','x.security.sqli','sql_injection','high',0.85::DOUBLE,'b.py',3,5), ('semgrep','plain','command_injection','medium',0.75,'',1,1), ('safety','7','vulnerable_dependency','high',0.95,'environment/installed_packages',1,1), ('safety',NULL,'vulnerable_dependency','critical',0.95,'environment/installed_packages',1,1)) AS t""")
 def tool_json_ingest(spark, d):
-    parts = [tools.READERS[k](spark.createDataFrame([(v,), ("not json",)], "json string")) for k, v in _JSON.items()]
+    """One report of each order, its lines the results, and a small report of either other tool."""
+    one = F.struct(
+        F.element_at(F.array(F.lit("B602"), F.lit("B999")), (F.col("l_partkey") % 2 + 1).cast("int")).alias("test_id"), F.lit("t").alias("test_name"), F.lit("text").alias("issue_text"), F.concat(F.lit("f"), "l_suppkey", F.lit(".py")).alias("filename"),
+        F.col("l_linenumber").alias("line_number"), b._pick(_GRADES, F.col("l_partkey") % 3).alias("issue_severity"), b._pick(_GRADES, F.col("l_suppkey") % 3).alias("issue_confidence"),
+    )
+    reports = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(one).alias("results"))).alias("json")).select("json")
+    parts = [tools.bandit(reports.unionByName(spark.createDataFrame([("not json",)], "json string")))]
+    parts += [tools.READERS[k](spark.createDataFrame([(v,), ("not json",)], "json string")) for k, v in _JSON.items()]
     return fd.union_tools(*parts).select("source_tool", "rule_id", "vulnerability_type", "severity", "confidence", "file_path", "start_line", "end_line")
 
 
@@ -321,8 +341,7 @@ def tool_json_ingest(spark, d):
 
 
 def _folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(top, f"quarry-stream-{uuid.uuid4().hex}")
+    return f"{shared_top(spark)}/quarry-stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS kind, count(*) AS requests, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events GROUP BY 1, 2")

@@ -389,6 +389,6 @@ def graph_dependents(spark, d):
 
 
 @query("""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS suffix, count(*) AS n FROM pages GROUP BY 1, 2""")
-def language_detect(spark, d):
+def url_suffixes(spark, d):
     p = b.table(spark, d, "pages")
     return p.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), tx.suffix(F.col("url")).alias("suffix")).agg(F.count("*").alias("n"))

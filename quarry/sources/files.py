@@ -21,14 +21,15 @@ PATTERNS = {
 }
 
 
-def read(spark: SparkSession, path: str, extensions: list[str] | None = None, exclude: list[str] | None = None, most_mb: float = 50.0) -> DataFrame:
+def read(spark: SparkSession, path: str, extensions: list[str] | None = None, exclude: list[str] | None = None, most_mb: float | None = None) -> DataFrame:
     """file_path, content, size_bytes, mtime of the text files below ``path``.
 
     Extension, excluded part of the path (its stars taken off) and size are told from the file listing, so what they
-    rule out isn't read. Bytes that aren't UTF-8 are left out.
+    rule out isn't read; nothing is ruled out unless asked for. Bytes that aren't UTF-8 are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.where(F.col("length") <= int(most_mb * 1024 * 1024))
+    if most_mb is not None:
+        files = files.where(F.col("length") <= int(most_mb * 1024 * 1024))
     if extensions:
         files = files.where(suffix(F.col("path")).isin([x.lower() for x in extensions]))
     for pattern in exclude or []:

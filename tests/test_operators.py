@@ -201,3 +201,38 @@ def test_shortening_keeps_the_first_line(spark):
     out = one(spark, chunks.shortened_function(F.lit(text), 20))
     assert out.split("\n")[0] == text.split("\n")[0] and out.endswith(chunks.CUT_FUNCTION)
     assert one(spark, chunks.shortened_unit(F.lit("a\nb\nc\nd\ne\nf"))) == "a\nb\nc\n    # ... content truncated ...\ne\nf"
+
+
+def test_reports_hold_every_finding(spark, tmp_path):
+    from quarry.operators import render
+
+    n = 1300
+    rows = [(k, f"f{k % 7}.py", k, k, "bandit", ["low", "critical", "high"][k % 3], "xss", 0.5, "d") for k in range(n)]
+    data = spark.createDataFrame(rows, "seq int, file_path string, start_line int, end_line int, source_tool string, severity string, vulnerability_type string, confidence double, description string")
+    assert render.document(data, "markdown", ["seq"]).count("**") == 2 * n
+    assert render.document(data, "markdown", ["seq"], most=10).count("**") == 20
+    for form in ("json", "sarif", "csv", "table"):
+        render.files(data, form, ["seq"], str(tmp_path / form))
+        got = spark.read.option("header", form == "csv").format("csv" if form == "csv" else "text").load(str(tmp_path / form))
+        assert got.count() == n
+    assert "critical" in spark.read.text(str(tmp_path / "table")).first()[0]
+
+
+def test_chunk_pairs_against_all_pairs(spark):
+    import random
+
+    from quarry.operators import focus
+
+    r = random.Random(5)
+    rows = [(f"f{k % 3}", 3 * k, 3 * k + r.randint(0, 6), r.choices("abcdef", k=r.randint(0, 3)), r.choices("xy", k=r.randint(0, 2))) for k in range(40)] + [("g", 1, 2, None, None)]
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1]:
+                f, i, seq = len(set(a[3] or []) & set(b[3] or [])), len(set(a[4] or []) & set(b[4] or [])), abs(a[2] - b[1]) <= 5
+                strength = min(1.0, 0.5 * f + 0.3 * i + 0.4 * seq)
+                if strength >= 0.1:
+                    want.add((a[0], a[1], b[1], round(strength, 6), "sequential" if seq else "functional" if f else "related"))
+    data = spark.createDataFrame(rows, "file_path string, start_line int, end_line int, functions array<string>, imports array<string>")
+    got = focus.relationships(data).collect()
+    assert {(*x[:3], round(x[3], 6), x[4]) for x in got} == want and len(got) == len(want)
