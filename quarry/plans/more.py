@@ -118,13 +118,16 @@ def code_language(spark, d):
     return c.select("file_path", sf.language_by_suffix(F.col("file_path"), "unknown").alias("by_suffix"), sf.language_by_content(F.col("content")).alias("by_content"))
 
 
-_PLAIN = "s AS (SELECT doc_id, coalesce(text, '') AS content FROM documents)"
+#: A line of code behind each document's text.
+_TAILS = ["import os", "const x = 1", "import java.util;", "no code at all", "def f(a):", "function g() {"]
+_PLAIN = "s AS (SELECT doc_id, concat(coalesce(text, ''), chr(10), CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_TAILS)) + " END) AS content FROM documents)"
 
 
 @query(f"WITH {_PLAIN}, r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS language, {k} AS k, {_score(p)} AS n FROM s" for k, (name, p) in enumerate(sf.PATTERNS.items())) + ") SELECT language, count(*) AS files FROM (SELECT doc_id, arg_max(language, n * 10 - k) FILTER (n > 0) AS language FROM r GROUP BY 1) GROUP BY 1")
 def language_detect(spark, d):
-    """The documents by the language that their content tells."""
-    told = b.table(spark, d, "documents").select(sf.language_by_content(F.coalesce("text", F.lit(""))).alias("language"))
+    """The documents, a line of code behind each, by the language that their content tells."""
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), b._pick(_TAILS, F.col("doc_id") % 6))
+    told = b.table(spark, d, "documents").select(sf.language_by_content(content).alias("language"))
     return told.groupBy("language").agg(F.count("*").alias("files"))
 
 
@@ -308,10 +311,10 @@ def report_counts(spark, d):
     return workflow.report_counts(turns.select(F.concat(F.lit("conv_"), "conv_id").alias("tool"), "json").unionByName(texts))
 
 
-@query("SELECT concat('part_', p_partkey) AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@query("SELECT concat('part_', p_partkey) AS file FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def template_catalog_anti(spark, d):
     catalog = b.table(spark, d, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("file"))
-    there = b.table(spark, d, "lineitem").where("l_quantity > 25").select(F.concat(F.lit("part_"), "l_partkey").alias("file"))
+    there = b.table(spark, d, "lineitem").where("l_quantity = 50").select(F.concat(F.lit("part_"), "l_partkey").alias("file"))
     return workflow.missing(catalog, there)
 
 
