@@ -164,5 +164,7 @@ def predicted(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame) -> DataFrame:
     """The documents whose language is told with a score of ``DOUBT`` at least."""
-    tagged = identify(documents.select(F.col("text").alias("__text"), F.struct(*documents.columns).alias("__row")), learned(documents), "__text")
-    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT)).select("__row.*")
+    names = documents.columns
+    plain = documents.toDF(*[f"__{k}" for k in range(len(names))])  # no name clashes
+    tagged = identify(plain, learned(documents), f"__{names.index('text')}")
+    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT)).drop("lang_pred", "score").toDF(*names)

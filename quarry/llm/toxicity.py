@@ -386,5 +386,7 @@ def predicted(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic."""
-    tagged = scored(documents.select(F.col("text").alias("__text"), F.struct(*documents.columns).alias("__row")), learned(documents, labels), "__text")
-    return tagged.where("predicted = 0").select("__row.*")
+    names = documents.columns
+    plain = documents.toDF(*[f"__{k}" for k in range(len(names))])  # no name clashes
+    tagged = scored(plain, learned(documents, labels), f"__{names.index('text')}")
+    return tagged.where("predicted = 0").drop("score", "predicted").toDF(*names)
