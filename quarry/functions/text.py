@@ -24,16 +24,22 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def line_array(content: Column) -> Column:
-    """Lines without their ends; no empty last line behind a final line end. An empty content has no line."""
-    parts = F.split(F.coalesce(content, F.lit("")), "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+#: Fixed value: what ends a line where not the line feed alone does.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """A row for each line of each file: the files' other columns, line_no from 1, line. A narrow generator, no shuffle."""
+def line_array(content: Column, every_end: bool = False, last: bool = False) -> Column:
+    """Lines without their ends; no empty last line behind a final line end, and no line in an empty content, unless
+    ``last``. A line feed ends a line; with ``every_end`` so do all of ``LINE_ENDS``."""
+    parts = F.split(F.coalesce(content, F.lit("")), LINE_ENDS if every_end else "\n", -1)
+    return parts if last else F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def lines(files: DataFrame, content: str = "content", every_end: bool = False, last: bool = False) -> DataFrame:
+    """A row for each line of each file by the rule of ``line_array``: the files' other columns, line_no from 1, line. A
+    narrow generator, no shuffle."""
     rest = [x for x in files.columns if x != content]
-    told = files.select(*rest, F.posexplode(line_array(F.col(content))).alias("k", "line"))
+    told = files.select(*rest, F.posexplode(line_array(F.col(content), every_end, last)).alias("k", "line"))
     return told.select(*rest, (F.col("k") + 1).alias("line_no"), "line")
 
 

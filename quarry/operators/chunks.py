@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.budget import truncated
@@ -93,15 +93,44 @@ def heuristic_cuts(files: DataFrame) -> DataFrame:
 
 def decorator_start(units: DataFrame, lines: DataFrame) -> DataFrame:
     """``units`` with their start moved up to the first of the decorators above; blank and comment lines between count as
-    nothing. ``lines`` has file_path, line_no, line."""
+    nothing. ``lines`` has file_path, line_no, line. Units of files without lines stay as they are.
+
+    Two windows over a file's lines in one shuffle: the last line of code above, and the first decorator behind it.
+    """
     kind = F.when(F.col("line").rlike(r"^\s*@"), "d").when(F.col("line").rlike(r"^\s*(#|$)"), "s").otherwise("x")
-    l = lines.select("file_path", "line_no", kind.alias("c"))  # noqa: E741
-    above = units.select("file_path", "start_line").distinct().join(l, "file_path").where(F.col("line_no") < F.col("start_line"))
-    wall = above.where("c = 'x'").groupBy("file_path", "start_line").agg(F.max("line_no").alias("wall"))
-    top = above.where("c = 'd'").join(wall, ["file_path", "start_line"], "left").where(F.col("line_no") > F.coalesce("wall", F.lit(0))).groupBy("file_path", "start_line").agg(F.min("line_no").alias("top"))
+    # a row for each start stands before the line of its number, so its windows end at the line above
+    asked = units.select("file_path", F.col("start_line").alias("line_no"), F.lit(0).alias("o"), F.lit("u").alias("c")).distinct()
+    both = lines.select("file_path", "line_no", F.lit(1).alias("o"), kind.alias("c")).unionByName(asked)
+    above = Window.partitionBy("file_path").orderBy("line_no", "o").rowsBetween(Window.unboundedPreceding, -1)
+    told = both.withColumn("wall", F.max(F.when(F.col("c") == "x", F.col("line_no"))).over(above))
+    behind = Window.partitionBy("file_path", "wall").orderBy("line_no", "o").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("top", F.min(F.when(F.col("c") == "d", F.col("line_no"))).over(behind))
+    top = told.where("c = 'u'").select("file_path", F.col("line_no").alias("start_line"), "top")
     return units.join(top, ["file_path", "start_line"], "left").withColumn("start_line", F.coalesce("top", "start_line").cast("int")).drop("top")
 
 
+def logical_bounds(units: DataFrame, lines: DataFrame) -> DataFrame:
+    """``units`` with logical_start and logical_end.
+
+    The start goes back from the second line above (the line just above is passed over unseen, as ever) over decorators,
+    comments, doc strings and blank lines. The end goes forward over comments and blank lines, from the last line itself
+    and two lines further at most, never to the file's last line. Where no such line stands, the bounds stay.
+    """
+    w = Window.partitionBy("file_path").orderBy("line_no")
+    soft, blank = F.col("line").rlike(r"^\s*(@|#|\"\"\"|'''|$)"), F.col("line").rlike(r"^\s*(#|$)")
+    told = lines.select("file_path", "line_no", soft.alias("soft"), (blank & F.lead("line_no").over(w).isNotNull()).alias("b"))
+    wall = F.coalesce(F.max(F.when(~F.col("soft"), F.col("line_no"))).over(w), F.lit(0))
+    on = lambda k: F.coalesce(F.lead("b", k).over(w), F.lit(False))
+    more = F.when(F.col("b") & on(1) & on(2), 2).when(F.col("b") & on(1), 1).otherwise(0)
+    told = told.select("file_path", "line_no", F.when(F.col("soft"), wall + 1).alias("_s"), more.alias("_m"))
+    begin = told.select("file_path", (F.col("line_no") + 2).cast("int").alias("start_line"), "_s")
+    end = told.select("file_path", F.col("line_no").cast("int").alias("end_line"), "_m")
+    both = units.join(begin, ["file_path", "start_line"], "left").join(end, ["file_path", "end_line"], "left")
+    return both.withColumns({
+        "logical_start": F.coalesce("_s", "start_line").cast("int"), "logical_end": (F.col("end_line") + F.coalesce("_m", F.lit(0))).cast("int"),
+    }).drop("_s", "_m")
+
+
 def semantic_chunks(files: DataFrame) -> DataFrame:
     """file_path, chunk_type, start_line, end_line by five steps, each on lines that none before took: import blocks,
     classes at the margin, functions at the margin, blocks of assignments, what remains."""

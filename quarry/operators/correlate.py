@@ -14,8 +14,8 @@ def clusters(findings: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     worst = F.max_by("severity", severity_ordinal(F.col("severity")))
     primary = F.max_by("start_line", F.struct("severity", "confidence", *order))
     return findings.groupBy(*by).agg(
-        F.count("*").alias("n"), F.size(F.collect_set("vulnerability_type")).cast("long").alias("n_types"), F.approx_count_distinct("file_path").alias("_f"), worst.alias("severity"),
-        F.avg("confidence").alias("avg_confidence"), primary.alias("primary_line")).drop("_f")
+        F.count("*").alias("n"), F.size(F.collect_set("vulnerability_type")).cast("long").alias("n_types"), F.count_distinct("file_path").alias("n_files"), worst.alias("severity"),
+        F.avg("confidence").alias("avg_confidence"), primary.alias("primary_line"))
 
 
 def associations(pairs: DataFrame, correlations: DataFrame | None = None) -> DataFrame:

@@ -47,6 +47,9 @@ def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical
     that of the survivor), and also_detected_by, the others' tools in rank order. ``severity_order``: ``lexical`` ranks
     severities as words, as reports have always done; ``ordinal`` by weight.
 
+    Where findings have ``metadata`` (a map of texts), the survivor's gains an entry ``<tool>_metadata`` for each other
+    tool, as JSON: that of the tool's last finding in rank order. Tools without a priority give no entry.
+
     One hash aggregate with map-side combining: the survivor is the least of a struct, and of the others only a count
     for each tool is kept, so neither a hot signature nor its sort ever meets in one task's memory.
     """
@@ -57,9 +60,21 @@ def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical
     keep = [x for x in df.columns if x not in order]
     names = sorted(maps.TOOL_PRIORITY, key=lambda x: -maps.TOOL_PRIORITY[x])
     counts = [F.count_if(tool == x).alias(f"_{x}") for x in names]
+    merged = "metadata" in df.columns
+    if merged:
+        ranked = {x: F.when(tool == x, rank) for x in names}
+        counts += [F.max_by(F.to_json("metadata", {"ignoreNullFields": "false"}), ranked[x]).alias(f"_m_{x}") for x in names]
     best = df.groupBy(signature().alias("signature")).agg(F.min_by(F.struct(*keep), rank).alias("b"), F.count("*").alias("n"), *counts)
     others = F.concat(*[F.array_repeat(F.lit(x), (F.col(f"_{x}") - F.when(F.lower("b.source_tool") == x, 1).otherwise(0)).cast("int")) for x in names])
     boosted = F.least(F.lit(1.0), F.col("b.confidence") + F.least(0.1 * (F.col("n") - 1), F.lit(0.3)))
+    if merged:
+        # the last of the survivor's own tool is the survivor itself if it is the only one
+        alone = {x: F.col(f"_{x}") - F.when(F.lower("b.source_tool") == x, 1).otherwise(0) == 0 for x in names}
+        entries = F.filter(F.array(*[F.when(~alone[x], F.struct(F.lit(f"{x}_metadata").alias("k"), F.coalesce(f"_m_{x}", F.lit("{}")).alias("v"))) for x in names]), lambda e: e.isNotNull())
+        own = F.coalesce("b.metadata", F.create_map().cast("map<string,string>"))
+        theirs = F.map_from_entries(entries)
+        kept = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(theirs), k))
+        best = best.withColumn("b", F.col("b").withField("metadata", F.map_concat(kept, theirs)))
     out = best.select("signature", "b.*", "n", F.array_join(others, ", ").alias("also_detected_by"), boosted.alias("_boosted"))
     level_was = maps.confidence_level(F.col("confidence"))
     return out.withColumn("confidence_level", level_was).withColumn("confidence", F.col("_boosted")).drop("_boosted")

@@ -1,6 +1,7 @@
 """Ordered folds over a file's lines or chunks, where each step depends on what the step before has put out.
 
-They run as one aggregate over an array within a row, in the JVM; the array is a single file's.
+They run as one aggregate over an array within a row, in the JVM; the array is a single file's. Closed spans are put
+out in runs, so that a step copies a run of bounded length and not all that went before.
 """
 
 from __future__ import annotations
@@ -10,20 +11,30 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import line_array, tokens
 
-_SPAN = "array<struct<start_line:int,end_line:int,tokens:bigint>>"
+_SPAN = "struct<start_line:int,end_line:int,tokens:bigint>"
+#: Closed spans in a run.
+RUN = 512
 
 
 def _fold(items: Column, step) -> Column:
     """Array of spans: ``step(last, item)`` tells whether an item joins the last span."""
-    none = F.array().cast(_SPAN)
+    none = F.struct(F.array().cast(f"array<array<{_SPAN}>>").alias("runs"), F.array().cast(f"array<{_SPAN}>").alias("run"), F.lit(None).cast(_SPAN).alias("last"))
 
-    def merge(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
+    def state(runs: Column, run: Column, last: Column) -> Column:
+        return F.struct(runs.alias("runs"), run.alias("run"), last.cast(_SPAN).alias("last"))
+
+    def merge(a: Column, x: Column) -> Column:
+        last = a["last"]
         joined = F.struct(last["start_line"].alias("start_line"), F.greatest(last["end_line"], x["end_line"]).alias("end_line"), (last["tokens"] + x["tokens"]).alias("tokens"))
-        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))
-        return F.when(F.size(out) == 0, F.array(x)).when(step(last, x), grown).otherwise(F.concat(out, F.array(x)))
+        full, closed = F.size(a["run"]) >= RUN, F.array(last)
+        runs = F.when(full, F.concat(a["runs"], F.array(a["run"]))).otherwise(a["runs"])
+        run = F.when(full, closed).otherwise(F.concat(a["run"], closed))
+        return F.when(last.isNull(), state(a["runs"], a["run"], x)).when(step(last, x), state(a["runs"], a["run"], joined)).otherwise(state(runs, run, x))
+
+    def finish(a: Column) -> Column:
+        return F.when(a["last"].isNull(), a["run"]).otherwise(F.concat(F.flatten(a["runs"]), a["run"], F.array(a["last"])))
 
-    return F.aggregate(items, none, merge)
+    return F.aggregate(items, none, merge, finish)
 
 
 def _line_spans(content: Column) -> Column:
@@ -33,7 +44,7 @@ def _line_spans(content: Column) -> Column:
 def packed_lines(files: DataFrame, budget: int) -> DataFrame:
     """file_path, part (from 1), start_line, end_line, tokens: lines packed greedily, a new part where the budget would break.
 
-    One pass with a running state of three numbers: closed parts are told by the line that closes them.
+    A file without lines has no part.
     """
     spans = _fold(_line_spans(F.col("content")), lambda last, x: last["tokens"] + x["tokens"] <= budget)
     return files.select("file_path", F.posexplode(spans).alias("k", "s")).select("file_path", (F.col("k") + 1).alias("part"), "s.*")
@@ -65,20 +76,18 @@ def coalesced(chunks: DataFrame, share: float = 0.3) -> DataFrame:
 def logical_blocks(files: DataFrame, most: int = 100, reach: int = 10) -> DataFrame:
     """file_path, start_line, end_line: blocks of a third of the file, ``most`` lines at most, each drawn out by up to
     ``reach`` lines to end at a blank or comment line."""
-    lines = line_array(F.col("content"))
-    told = files.select("file_path", F.transform(lines, lambda x: x.rlike(r"^\s*(#|//|$)")).alias("soft")).where(F.size("soft") > 0)
+    soft = F.transform(line_array(F.col("content")), lambda x: x.rlike(r"^\s*(#|//|$)"))
+    told = files.select("file_path", soft.alias("soft")).where(F.size("soft") > 0)
     n = F.size("soft")
-    size = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / 3).cast("int")))
-    told = told.select("file_path", "soft", n.alias("n"), size.alias("size"))
-    none = F.struct(F.array().cast("array<struct<start_line:int,end_line:int>>").alias("out"), F.lit(1).alias("start"), F.lit(0).alias("skip"))
+    told = told.select("file_path", "soft", n.alias("n"), F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / 3).cast("int"))).alias("size"))
+    none = F.struct(F.array().cast("array<struct<start_line:int,end_line:int>>").alias("out"), F.lit(1).alias("start"))
 
     # a line closes its block if it is the last, or lies a block's size on and is soft, or the reach ends
     def merge(a: Column, x: Column) -> Column:
         far = x["k"] - a["start"] + 1
-        end = (x["k"] == x["n"]) | ((far >= x["size"]) & (x["soft"] | (far >= x["size"] + reach)))
+        end = (x["k"] == F.col("n")) | ((far >= F.col("size")) & (x["soft"] | (far >= F.col("size") + reach)))
         block = F.struct(a["start"].alias("start_line"), x["k"].alias("end_line"))
-        return F.when(end, F.struct(F.concat(a["out"], F.array(block)).alias("out"), (x["k"] + 1).alias("start"), F.lit(0).alias("skip"))).otherwise(a)
+        return F.when(end, F.struct(F.concat(a["out"], F.array(block)).alias("out"), (x["k"] + 1).alias("start"))).otherwise(a)
 
-    items = told.select("file_path", F.posexplode("soft").alias("k", "s"), "n", "size")
-    grouped = items.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct((F.col("k") + 1).cast("int").alias("k"), F.col("s").alias("soft"), "n", "size"))).alias("i"))
-    return grouped.select("file_path", F.explode(F.aggregate("i", none, merge)["out"]).alias("b")).select("file_path", "b.*")
+    items = F.transform("soft", lambda x, k: F.struct((k + 1).cast("int").alias("k"), x.alias("soft")))
+    return told.select("file_path", F.explode(F.aggregate(items, none, merge, lambda a: a["out"])).alias("b")).select("file_path", "b.*")

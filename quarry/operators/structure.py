@@ -25,9 +25,16 @@ def contained(chunks: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def mentioned(functions: DataFrame, findings: DataFrame) -> DataFrame:
-    """Functions whose name is a word of some finding's description. Words are joined by equality, not by search."""
-    words = findings.select(F.explode(F.array_distinct(F.split("description", r"[^A-Za-z_0-9]+"))).alias("name")).where("name <> ''").distinct()
-    return functions.join(words, "name", "left_semi")
+    """Functions whose name stands anywhere in some finding's description, within a longer word too.
+
+    A name without white space lies within one run of other characters, so only the distinct runs are searched: their
+    pieces as long as some name, joined by equality. Names that are null, empty or hold white space are not found.
+    """
+    words = findings.select(F.explode(F.array_distinct(F.split("description", r"\s+"))).alias("w")).where("w <> ''").distinct()
+    sizes = functions.where("name <> ''").agg(F.collect_set(F.length("name")).alias("sizes"))  # one row, as many as lengths
+    at = F.explode(F.expr("filter(sizes, k -> k <= length(w))"))
+    pieces = words.crossJoin(F.broadcast(sizes)).select("w", at.alias("k")).select(F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("name"))
+    return functions.join(pieces.distinct(), "name", "left_semi")
 
 
 def complexity_metrics(spans: DataFrame, lines: DataFrame) -> DataFrame:

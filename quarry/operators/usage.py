@@ -59,3 +59,26 @@ def usage_stats(events: DataFrame, seconds: int = 60) -> DataFrame:
     recent = F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) < seconds * 1_000_000
     told = events.join(newest, "key")
     return told.groupBy("key").agg(F.count_if(recent).alias("recent_requests"), F.sum(F.when(recent, F.col("tokens")).otherwise(0)).alias("recent_tokens"), F.count("*").alias("requests"), F.sum("tokens").alias("total_tokens"))
+
+
+def recent_errors(errors: DataFrame, by: str, order: list[str], kept: int = 100, shown: int = 10) -> DataFrame:
+    """The last ``kept`` errors of each ``by``, with rank (1: the last) and whether a report shows it. Ranked below a
+    limit for each group, which tasks apply before the shuffle, so a hot group never gathers."""
+    w = Window.partitionBy(by).orderBy(*[F.desc(x) for x in order])
+    return errors.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept).withColumn("shown", F.col("rank") <= shown)
+
+
+def cache_state(accesses: DataFrame, most: int, ttl: int) -> DataFrame:
+    """key, rank, tier: what a cache of ``most`` entries holds after these accesses (key, ts, stored: whether it wrote).
+
+    Entries last written over ``ttl`` seconds before the last access of all are gone, and so are keys never written. The
+    others rank by their last access (ties to the smaller key): a quarter of ``most`` in tier ``first``, the rest of
+    ``most`` in ``second``. Partial aggregates, then a bounded top-k: ``most`` rows are ranked in one task.
+    """
+    at = lambda x: F.unix_micros(x.cast("timestamp"))
+    told = accesses.groupBy("key").agg(F.max(at(F.col("ts"))).alias("used"), F.max(F.when(F.col("stored"), at(F.col("ts")))).alias("written"))
+    now = accesses.agg(F.max(at(F.col("ts"))).alias("now"))
+    alive = told.crossJoin(F.broadcast(now)).where(F.col("now") - F.col("written") <= ttl * 1_000_000)
+    keys = [F.desc("used"), F.asc("key")]
+    top = alive.orderBy(*keys).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    return top.select("key", "rank", F.when(F.col("rank") <= most // 4, "first").otherwise("second").alias("tier"))

@@ -77,3 +77,8 @@ def prompts(findings: DataFrame) -> DataFrame:
     """prompt: the question about each finding that a model is asked; replies come back as a table (``model_reply``)."""
     parts = [F.lit("Is this finding real? Reply as JSON with valid, remediation_advice and fix_suggestion.\nType: "), F.col("vulnerability_type"), F.lit("\nSeverity: "), F.col("severity"), F.lit("\nDescription: "), F.col("description")]
     return findings.withColumn("prompt", F.concat(*parts))
+
+
+def encoded(diff: Column) -> Column:
+    """A diff as workflows hand it on: base64 of its UTF-8 bytes in one line; null stays null."""
+    return F.replace(F.base64(F.encode(diff, "UTF-8")), F.lit("\r\n"), F.lit(""))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
-from quarry.operators import chunks, structure, units, workflow
+from quarry.functions import text as tx
+from quarry.operators import chunks, structure, units, usage, workflow
 from quarry.operators import findings as fd
 from quarry.operators import focus as fo
 from quarry.plans.more import _CONTENT, _PATH, CODE, UNITS, _blocks, _functions, _lines, _pick
-from quarry.plans.queries import COUNTS, LINES, ORDER, ORDINAL, SYN, query
+from quarry.plans.queries import COUNTS, DEDUP, LINES, ORDER, ORDINAL, SYN, query
 from quarry.sources import bindings as b
 from quarry.sources import code as cd
 
@@ -87,7 +88,7 @@ _ALL = f"{UNITS}, {_CONTENT}, scored AS (SELECT file_path, name, start_line, end
 
 
 @query(f"""WITH {_ALL} SELECT file_path, name, round(least(1.0, 0.5::DOUBLE + CASE WHEN starts_with(name, '_') THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN k > 15 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN calls > 5 THEN 0.1::DOUBLE ELSE 0 END), 6) AS priority,
- CASE WHEN name IN ('verify', 'load') THEN 0.8::DOUBLE WHEN regexp_matches(lower(name), '{"|".join(scores.FOCUS_NAMES)}') THEN 0.6::DOUBLE WHEN k > 15 THEN 0.4::DOUBLE ELSE 0::DOUBLE END AS focus FROM scored""")
+ CASE WHEN contains('call of verify() is weak; see load', name) THEN 0.8::DOUBLE WHEN regexp_matches(lower(name), '{"|".join(scores.FOCUS_NAMES)}') THEN 0.6::DOUBLE WHEN k > 15 THEN 0.4::DOUBLE ELSE 0::DOUBLE END AS focus FROM scored""")
 def function_scores(spark, d):
     f = _functions(spark).withColumns({"complexity": units.complexity_class(F.col("content")), "calls": F.size(units.call_names(F.col("content")))})
     findings = spark.createDataFrame([("call of verify() is weak; see load",), (None,)], "description string")
@@ -143,3 +144,55 @@ def chunk_density(spark, d):
 def scan_duration(spark, d):
     e = b.usage_events(spark, d).groupBy("key").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
     return e.select("key", F.round(scores.duration_seconds(F.col("a"), F.col("z")), 6).alias("seconds"))
+
+
+_SOFT = r"""^\s*(@|#|\"\"\"|''''''|$)"""
+
+
+@query(f"""WITH {_BLOCK}, {LINES}, k AS (SELECT file_path, line_no, regexp_matches(line, '{_SOFT}') AS soft, regexp_matches(line, '^\\s*(#|$)') AND line_no < max(line_no) OVER (PARTITION BY file_path) AS b FROM doc_lines),
+ w AS (SELECT *, coalesce(max(CASE WHEN NOT soft THEN line_no END) OVER f, 0) AS wall, coalesce(lead(b, 1) OVER f, false) AS b1, coalesce(lead(b, 2) OVER f, false) AS b2 FROM k WINDOW f AS (PARTITION BY file_path ORDER BY line_no))
+ SELECT u.file_path, u.start_line, u.end_line, CASE WHEN s.soft THEN s.wall + 1 ELSE u.start_line END::INTEGER AS logical_start, (u.end_line + CASE WHEN e.b AND e.b1 AND e.b2 THEN 2 WHEN e.b AND e.b1 THEN 1 ELSE 0 END)::INTEGER AS logical_end
+ FROM blocks u LEFT JOIN w s ON s.file_path = u.file_path AND s.line_no = u.start_line - 2 LEFT JOIN w e ON e.file_path = u.file_path AND e.line_no = u.end_line""")
+def logical_bounds(spark, d):
+    spans = _blocks(spark, d).select("file_path", "start_line", "end_line")
+    return chunks.logical_bounds(spans, b.source_lines(spark, d)).select("file_path", "start_line", "end_line", "logical_start", "logical_end")
+
+
+_ENDS = "replace(replace(text, '. ', chr(13) || chr(10)), ', ', chr(13))"
+_PARTS = f"string_split(replace(replace({_ENDS}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+
+
+@query(f"""SELECT doc_id, len(a)::INTEGER AS split_lines, (len(a) - CASE WHEN a[-1] = '' THEN 1 ELSE 0 END)::INTEGER AS lines, (len(e) - CASE WHEN e[-1] = '' THEN 1 ELSE 0 END)::INTEGER AS every_end
+ FROM (SELECT doc_id, string_split({_ENDS}, chr(10)) AS a, {_PARTS} AS e FROM documents)""")
+def line_rules(spark, d):
+    text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("\r\n")), F.lit(", "), F.lit("\r"))
+    told = b.table(spark, d, "documents").where("text is not null").select("doc_id", text.alias("t"))
+    size = lambda *rule: F.size(tx.line_array(F.col("t"), *rule))
+    return told.select("doc_id", size(False, True).alias("split_lines"), size().alias("lines"), size(True).alias("every_end"))
+
+
+@query("""SELECT user_id AS key, event_id, rank::INTEGER AS rank, rank <= 2 AS shown FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events WHERE event_type = 'error') WHERE rank <= 20""")
+def recent_errors(spark, d):
+    e = b.usage_events(spark, d).where("kind = 'error'")
+    return usage.recent_errors(e, "key", ["ts", "event_id"], 20, 2).select("key", "event_id", "rank", "shown")
+
+
+@query("""WITH k AS (SELECT user_id AS key, max(ts) AS used, max(ts) FILTER (event_type <> 'error') AS written FROM events GROUP BY 1), r AS (SELECT key, row_number() OVER (ORDER BY used DESC, key) AS rank FROM k WHERE date_diff('microsecond', written, (SELECT max(ts) FROM events)) <= 86400000000)
+ SELECT key, rank::INTEGER AS rank, CASE WHEN rank <= 16 THEN 'first' ELSE 'second' END AS tier FROM r WHERE rank <= 64""")
+def cache_state(spark, d):
+    return usage.cache_state(b.usage_events(spark, d).select("key", "ts", F.col("hit").alias("stored")), 64, 86_400)
+
+
+@query("SELECT doc_id, md5(base64(encode(text))) AS digest FROM documents WHERE text IS NOT NULL")
+def diff_base64(spark, d):
+    return b.table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(workflow.encoded(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {DEDUP}, m AS (SELECT signature AS s, source_tool AS t, arg_max(l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR, rn) AS pos FROM ranked WHERE rn > 1 GROUP BY 1, 2),
+ own AS (SELECT signature, l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR AS pos, n FROM ranked WHERE rn = 1)
+ SELECT signature, pos AS own, coalesce((SELECT string_agg(t || '_metadata={{"at":"' || m.pos || '"}}', ' ' ORDER BY t) FROM m WHERE s = signature), '') AS others FROM own""")
+def dedup_metadata(spark, d):
+    at = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    out = fd.deduplicated(b.findings_synth(spark, d).withColumn("metadata", F.create_map(F.lit("at"), at)), b.ORDER)
+    others = F.array_sort(F.filter(F.map_entries("metadata"), lambda e: e["key"] != "at"))
+    return out.select("signature", F.col("metadata")["at"].alias("own"), F.array_join(F.transform(others, lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ").alias("others"))

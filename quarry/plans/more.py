@@ -241,9 +241,9 @@ def finding_distribution(spark, d):
     return correlate.distribution(z, told).withColumns({x: F.round(x, 6) for x in ("coverage_percentage", "density")})
 
 
-@query(f"""WITH {SYN} SELECT file_path, count(*) AS n, count(DISTINCT vulnerability_type) AS n_types, arg_max(severity, {ORDINAL}) AS severity, round(avg(confidence), 6) AS avg_confidence, arg_max(start_line, (severity, confidence, {ORDER})) AS primary_line FROM syn GROUP BY 1""")
+@query(f"""WITH {SYN} SELECT vulnerability_type, count(*) AS n, count(DISTINCT vulnerability_type) AS n_types, count(DISTINCT file_path) AS n_files, arg_max(severity, {ORDINAL}) AS severity, round(avg(confidence), 6) AS avg_confidence, arg_max(start_line, (severity, confidence, {ORDER})) AS primary_line FROM syn GROUP BY 1""")
 def finding_clusters(spark, d):
-    return correlate.clusters(b.findings_synth(spark, d), ["file_path"], b.ORDER).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return correlate.clusters(b.findings_synth(spark, d), ["vulnerability_type"], b.ORDER).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 @query(f"""WITH {LINES}, {SYN}, blocks AS (SELECT file_path, (line_no - 1) // 5 AS k, string_agg(line, chr(10) ORDER BY line_no) AS c, count(*) AS lines FROM doc_lines GROUP BY 1, 2), p AS (SELECT concat('doc_', doc_id) AS file_path, source AS project FROM documents)
