@@ -51,11 +51,11 @@ def gaps(zone: DataFrame, line_counts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def sliced(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """``spans`` with content, token_count, character_count and line_count of their lines."""
-    lines = F.slice(line_array(F.col("content")), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    """``spans`` with content, token_count, character_count and line_count of their lines; none beyond the file's end."""
+    lines = F.slice(line_array(F.col("content")), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
     told = spans.join(files.select("file_path", "content"), "file_path").withColumn("content", F.array_join(lines, "\n"))
     return told.withColumns({
-        "token_count": tokens(F.col("content")), "character_count": F.length("content").cast("long"), "line_count": (F.col("end_line") - F.col("start_line") + 1).cast("long"),
+        "token_count": tokens(F.col("content")), "character_count": F.length("content").cast("long"), "line_count": F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)).cast("long"),
     })
 
 
@@ -77,13 +77,38 @@ def chunk_id(*parts: str) -> Column:
 
 
 def focus_chunks(files: DataFrame, findings: DataFrame, context: int = CONTEXT, order: list[str] | None = None) -> DataFrame:
-    """The focus strategy: zones of findings as chunks, with their findings' scores. Chunks of one file never overlap
-    where its findings' ends never decrease."""
-    counts = line_counts(files)
-    zone = zones(islands(findings, 2 * context, order), counts, context)
-    chunk = sliced(zone.withColumn("chunk_id", chunk_id("file_path", "start_line", "end_line")), files)
-    scores = chunk_scores(associated(zone.withColumn("chunk_id", chunk_id("file_path", "start_line", "end_line")), findings))
-    return chunk.join(scores, "chunk_id", "left")
+    """The focus strategy: zones of findings as chunks with chunk_id, content, its counts, and the scores of the findings
+    that start within (as ``chunk_scores``; null where none does). Chunks of one file never overlap where its findings'
+    ends never decrease. Findings of no known file are left out.
+
+    Findings are shuffled once, by file; a file's zones and findings then meet its text in one join, and its lines are
+    split once.
+    """
+    end = F.coalesce("end_line", "start_line")
+    marked = islands(findings, 2 * context, order)
+    told = marked.groupBy("file_path", "island").agg(
+        F.min("start_line").alias("a"), F.max(end).alias("b"), F.count("*").alias("n"), F.least(F.avg(weighted(marked)), F.lit(1.0)).alias("p"), F.collect_list(F.struct("start_line", severity_weight(F.col("severity")).alias("w"), "confidence", "severity")).alias("f"))
+    own = told.groupBy("file_path").agg(F.collect_list(F.struct("island", "a", "b", "n", "p")).alias("_z"), F.flatten(F.collect_list("f")).alias("_f"))
+    first = lambda z: F.greatest(F.lit(1), z["a"] - context).cast("int")
+    last = lambda z, lines: F.least(z["b"] + context, F.size(lines)).cast("int")
+
+    def cut(z: Column, lines: Column) -> Column:
+        text = F.array_join(F.slice(lines, first(z), F.greatest(last(z, lines) - first(z) + 1, F.lit(0))), "\n")
+        within = F.filter("_f", lambda f: f["start_line"].between(first(z), last(z, lines)))
+        return F.struct(
+            z["island"].alias("island"), first(z).alias("start_line"), last(z, lines).alias("end_line"), z["n"].alias("n_findings"), z["p"].alias("priority"), text.alias("content"), within.alias("_in"))
+
+    # the lines are bound as an argument, lest each zone split the text again
+    spans = F.flatten(F.transform(F.array(line_array(F.col("content"))), lambda lines: F.transform("_z", lambda z: cut(z, lines))))
+    chunk = files.select("file_path", "content").join(own, "file_path").select("file_path", F.inline(spans))
+    sure = F.filter(F.transform("_in", lambda f: f["w"] * f["confidence"]), lambda x: x.isNotNull())
+    total = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda x, y: x + y))
+    some = F.size("_in") > 0
+    return chunk.withColumns({
+        "chunk_id": chunk_id("file_path", "start_line", "end_line"), "token_count": tokens(F.col("content")), "character_count": F.length("content").cast("long"), "line_count": F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)).cast("long"),
+        "finding_count": F.when(some, F.size("_in").cast("long")), "severity_score": F.array_max(F.transform("_in", lambda f: f["w"])), "focus_score": F.when(some, F.least(total, F.lit(1.0))),
+        "has_critical": F.when(some, F.exists("_in", lambda f: F.coalesce(f["severity"] == "critical", F.lit(False)))),
+    }).drop("_in")
 
 
 def overlaps(chunks: DataFrame, most: int = 5) -> DataFrame:

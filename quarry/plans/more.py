@@ -147,10 +147,8 @@ def _blocks(spark, d):
  SELECT coalesce(b.file_path, f.file_path) AS file_path, coalesce(b.start_line, f.start_line) AS start_line, coalesce(b.end_line, f.end_line) AS end_line, CASE WHEN f.file_path IS NULL THEN 'structural' WHEN b.file_path IS NULL THEN 'focused' ELSE 'both' END AS origin,
  round(CASE WHEN f.file_path IS NULL THEN 0.7::DOUBLE * 0.6 WHEN b.file_path IS NULL THEN f.priority * 0.4 ELSE least(1.0, f.priority * 0.6 + 0.7::DOUBLE * 0.4 + 0.2) END, 6) AS priority, CASE WHEN f.file_path IS NULL THEN 'block' ELSE 'focused' END AS chunk_type FROM blocks b FULL JOIN f ON b.file_path = f.file_path AND b.start_line = f.start_line AND b.end_line = f.end_line""")
 def hybrid_merge(spark, d):
-    z = _zones(spark, d)
-    keyed = z.withColumn("chunk_id", fo.chunk_id("file_path", "start_line", "end_line"))
-    scores = fo.chunk_scores(fo.associated(keyed, b.findings_docs(spark, d)))
-    focused = keyed.join(scores, "chunk_id").select("file_path", "start_line", "end_line", "priority", F.col("focus_score").alias("focus"), F.lit(True).alias("has_findings"), F.lit("focused").alias("chunk_type"))
+    found = fo.focus_chunks(b.source_files(spark, d), b.findings_docs(spark, d), order=["rule_id"]).where("finding_count is not null")
+    focused = found.select("file_path", "start_line", "end_line", "priority", F.col("focus_score").alias("focus"), F.lit(True).alias("has_findings"), F.lit("focused").alias("chunk_type"))
     plain = _blocks(spark, d).select("file_path", "start_line", "end_line", F.lit(0.7).alias("priority"), F.lit(0.0).alias("focus"), F.lit(False).alias("has_findings"), F.lit("block").alias("chunk_type"))
     return strategies.hybrid_merge(plain, focused, ["start_line"]).select("file_path", "start_line", "end_line", "origin", F.round("priority", 6).alias("priority"), "chunk_type")
 

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chunks, correlate, folds, structure, usage, workflow
+from quarry.operators import chunks, correlate, focus, folds, structure, usage, workflow
 from quarry.operators import findings as fd
 
 SOFT = ["@d", "  # c", '"""doc', "", "x = 1", "def f():"]
@@ -127,3 +127,18 @@ def test_encoded_diff_and_file_count(spark):
     df = spark.createDataFrame([("a", "x", 1, "low", 0.5), ("b", "x", 2, "high", 0.5), ("b", "x", 3, "low", 0.5)], "file_path string, vulnerability_type string, start_line int, severity string, confidence double")
     row = correlate.clusters(df, ["vulnerability_type"], ["file_path"]).first()
     assert (row["n"], row["n_files"], row["severity"]) == (3, 2, "high")
+
+
+def test_focus_chunks_agree_with_their_parts(spark):
+    pick = random.Random(9)
+    files = spark.createDataFrame([(f"f{k}", "\n".join(f"line {i}" for i in range(pick.randrange(1, 200)))) for k in range(6)] + [("none", None)], "file_path string, content string")
+    found = [(f"f{pick.randrange(7)}", a := pick.randrange(1, 200), pick.choice([None, a, a + pick.randrange(60)]), pick.choice(["low", "high", "critical"]), pick.choice([0.2, 0.5, 0.9]), i) for i in range(60)] + [("none", 1, 1, "low", 0.5, 99)]
+    findings = spark.createDataFrame(found, "file_path string, start_line int, end_line int, severity string, confidence double, seq int")
+    out = focus.focus_chunks(files, findings, 5, ["seq"])
+    counts = focus.line_counts(files)
+    zone = focus.zones(focus.islands(findings, 10, ["seq"]), counts, 5).withColumn("chunk_id", focus.chunk_id("file_path", "start_line", "end_line"))
+    want = focus.sliced(zone, files).join(focus.chunk_scores(focus.associated(zone.dropDuplicates(["chunk_id"]), findings)), "chunk_id", "left")
+    columns = ["file_path", "island", "start_line", "end_line", "n_findings", "content", "token_count", "character_count", "line_count", "finding_count", "severity_score", "has_critical"]
+    key = lambda df: sorted((repr(tuple(r[c] for c in columns)), round(r["priority"], 6), r["focus_score"] is None or round(r["focus_score"], 6)) for r in df.collect())
+    assert key(out) == key(want)
+    assert focus.focus_chunks(files, findings.limit(0)).count() == 0 and focus.focus_chunks(files.limit(0), findings).count() == 0
