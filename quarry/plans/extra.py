@@ -149,13 +149,20 @@ def scan_duration(spark, d):
 _SOFT = r"""^\s*(@|#|\"\"\"|''''''|$)"""
 
 
-@query(f"""WITH {_BLOCK}, {LINES}, k AS (SELECT file_path, line_no, regexp_matches(line, '{_SOFT}') AS soft, regexp_matches(line, '^\\s*(#|$)') AND line_no < max(line_no) OVER (PARTITION BY file_path) AS b FROM doc_lines),
- w AS (SELECT *, coalesce(max(CASE WHEN NOT soft THEN line_no END) OVER f, 0) AS wall, coalesce(lead(b, 1) OVER f, false) AS b1, coalesce(lead(b, 2) OVER f, false) AS b2 FROM k WINDOW f AS (PARTITION BY file_path ORDER BY line_no))
+_COMMENTED = "replace(replace(text, '. ', chr(10) || '# '), ', ', chr(10) || chr(10) || '@')"
+
+
+@query(f"""WITH commented AS (SELECT concat('doc_', doc_id) AS file_path, string_split({_COMMENTED}, chr(10)) AS l FROM documents), k AS (SELECT file_path, i::INTEGER AS line_no, len(l)::INTEGER AS n, regexp_matches(l[i], '{_SOFT}') AS soft, regexp_matches(l[i], '^\\s*(#|$)') AND i < len(l) AS b FROM commented, unnest(range(1, len(l)+1)) AS t(i)),
+ w AS (SELECT *, coalesce(max(CASE WHEN NOT soft THEN line_no END) OVER f, 0) AS wall, coalesce(lead(b, 1) OVER f, false) AS b1, coalesce(lead(b, 2) OVER f, false) AS b2 FROM k WINDOW f AS (PARTITION BY file_path ORDER BY line_no)),
+ spans AS (SELECT file_path, line_no AS start_line, least(line_no + 2, n) AS end_line FROM k WHERE line_no % 3 = 1)
  SELECT u.file_path, u.start_line, u.end_line, CASE WHEN s.soft THEN s.wall + 1 ELSE u.start_line END::INTEGER AS logical_start, (u.end_line + CASE WHEN e.b AND e.b1 AND e.b2 THEN 2 WHEN e.b AND e.b1 THEN 1 ELSE 0 END)::INTEGER AS logical_end
- FROM blocks u LEFT JOIN w s ON s.file_path = u.file_path AND s.line_no = u.start_line - 2 LEFT JOIN w e ON e.file_path = u.file_path AND e.line_no = u.end_line""")
+ FROM spans u LEFT JOIN w s ON s.file_path = u.file_path AND s.line_no = u.start_line - 2 LEFT JOIN w e ON e.file_path = u.file_path AND e.line_no = u.end_line""")
 def logical_bounds(spark, d):
-    spans = _blocks(spark, d).select("file_path", "start_line", "end_line")
-    return chunks.logical_bounds(spans, b.source_lines(spark, d)).select("file_path", "start_line", "end_line", "logical_start", "logical_end")
+    commented = F.replace(F.replace(F.col("content"), F.lit(". "), F.lit("\n# ")), F.lit(", "), F.lit("\n\n@"))
+    lines = tx.lines(b.source_files(spark, d).select("file_path", commented.alias("content")), last=True)
+    spans = lines.groupBy("file_path").agg(F.max("line_no").alias("n")).select("file_path", "n", F.explode(F.expr("sequence(1, n, 3)")).alias("start_line"))
+    spans = spans.select("file_path", "start_line", F.least(F.col("start_line") + 2, F.col("n")).cast("int").alias("end_line"))
+    return chunks.logical_bounds(spans, lines).select("file_path", "start_line", "end_line", "logical_start", "logical_end")
 
 
 _ENDS = "replace(replace(text, '. ', chr(13) || chr(10)), ', ', chr(13))"
