@@ -9,10 +9,9 @@ from quarry.functions import text as tx
 from quarry.operators import chunks, structure, units, usage, workflow
 from quarry.operators import findings as fd
 from quarry.operators import focus as fo
-from quarry.plans.more import _CONTENT, _PATH, CODE, UNITS, _blocks, _functions, _lines, _pick
+from quarry.plans.more import _CONTENT, _PATH, CODE, UNITS, _blocks, _corpus, _functions, _lines, _pick
 from quarry.plans.queries import COUNTS, DEDUP, LINES, ORDER, ORDINAL, SYN, query
 from quarry.sources import bindings as b
-from quarry.sources import code as cd
 
 _BLOCK = f"{COUNTS}, blocks AS (SELECT concat('doc_', doc_id) AS file_path, s::INTEGER AS start_line, least(s + 4, n_lines)::INTEGER AS end_line, array_to_string(list_slice(string_split(text, chr(10)), s, least(s + 4, n_lines)), chr(10)) AS c FROM documents JOIN counts ON counts.file_path = concat('doc_', doc_id), unnest(range(1, n_lines + 1, 5)) AS t(s))"
 _FIRST = " OR ".join(f"contains(f, '{x}')" for x in chunks.FIRST_LINE)
@@ -44,31 +43,31 @@ _START = " OR ".join(f"contains(line, '{x}')" for x in chunks.STARTS)
  m AS (SELECT file_path, start_line, end_line, any_value(c) AS c, any_value(n) AS n, coalesce(min(k) FILTER (NOT regexp_matches(line, '^\\s*(#|$)') AND ({_START})), 0) AS a, coalesce(max(k) FILTER (NOT regexp_matches(line, '^\\s*(#|$)')) + 1, any_value(n)) AS z FROM l GROUP BY 1, 2, 3)
  SELECT file_path, (start_line + a)::INTEGER AS start_line, (CASE WHEN a > 0 OR z < n THEN start_line + z ELSE end_line END)::INTEGER AS end_line, md5(array_to_string(list_slice(string_split(c, chr(10)), a + 1, z), chr(10))) AS digest FROM m""")
 def boundary_trimming(spark, d):
-    return chunks.trimmed(_functions(spark)).select("file_path", "start_line", "end_line", F.md5("content").alias("digest"))
+    return chunks.trimmed(_functions(spark, d)).select("file_path", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 @query(f"""WITH {UNITS}, {_CONTENT}, l AS (SELECT file_path, start_line, c, i, p[i] AS line, sum(length(p[i])//4) OVER (PARTITION BY file_path, start_line ORDER BY i) AS s FROM (SELECT *, string_split(c, chr(10)) AS p FROM fc), unnest(range(1, len(p)+1)) AS t(i)),
  cut AS (SELECT file_path, start_line, min(i) AS cutoff FROM l WHERE i > 1 AND s > 27 GROUP BY 1, 2) SELECT fc.file_path, fc.start_line, md5(CASE WHEN length(c)//4 <= 30 THEN c WHEN cutoff IS NULL THEN c ELSE array_to_string(list_slice(string_split(c, chr(10)), 1, cutoff - 1), chr(10)) || chr(10) || '{chunks.CUT_FUNCTION}' END) AS digest FROM fc LEFT JOIN cut ON fc.file_path = cut.file_path AND fc.start_line = cut.start_line""")
 def function_shortening(spark, d):
-    return _functions(spark).select("file_path", "start_line", F.md5(chunks.shortened_function(F.col("content"), 30)).alias("digest"))
+    return _functions(spark, d).select("file_path", "start_line", F.md5(chunks.shortened_function(F.col("content"), 30)).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {CODE}, l AS (SELECT file_path, i::INTEGER AS k, regexp_matches(p[i], '^\\s*(class |def |async def )') AS d, len(p)::INTEGER AS n FROM (SELECT file_path, string_split(content, chr(10)) AS p FROM code), unnest(range(1, len(p)+1)) AS t(i)),
  f AS (SELECT file_path, k, 1 AS s, n FROM l WHERE k = 1 UNION ALL SELECT l.file_path, l.k, CASE WHEN l.d AND l.k - f.s > 3 THEN l.k ELSE f.s END, l.n FROM f JOIN l ON l.file_path = f.file_path AND l.k = f.k + 1) SELECT file_path, s AS start_line, max(k) AS end_line FROM f GROUP BY 1, 2""")
 def heuristic_cuts(spark, d):
-    return chunks.heuristic_cuts(cd.corpus(spark))
+    return chunks.heuristic_cuts(_corpus(spark, d))
 
 
 @query(f"""WITH {UNITS}, k AS (SELECT file_path, line_no, CASE WHEN regexp_matches(line, '^\\s*@') THEN 'd' WHEN regexp_matches(line, '^\\s*(#|$)') THEN 's' ELSE 'x' END AS c FROM code_lines)
  SELECT u.file_path, name, coalesce((SELECT min(k.line_no) FROM k WHERE k.file_path = u.file_path AND c = 'd' AND k.line_no < u.start_line AND k.line_no > coalesce((SELECT max(w.line_no) FROM k w WHERE w.file_path = u.file_path AND w.c = 'x' AND w.line_no < u.start_line), 0)), start_line)::INTEGER AS start_line, end_line FROM units u""")
 def decorator_starts(spark, d):
-    lines = _lines(spark)
+    lines = _lines(spark, d)
     return chunks.decorator_start(units.heuristic_units(lines), lines).select("file_path", "name", "start_line", "end_line")
 
 
 @query()
 def semantic_chunks(spark, d):
-    return chunks.semantic_chunks(cd.corpus(spark))
+    return chunks.semantic_chunks(_corpus(spark, d))
 
 
 @query("SELECT concat('doc_', d.doc_id) AS file_path, md5(text) AS digest FROM documents d WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 AND doc_id % 5 <> 0")
@@ -90,7 +89,7 @@ _ALL = f"{UNITS}, {_CONTENT}, scored AS (SELECT file_path, name, start_line, end
 @query(f"""WITH {_ALL} SELECT file_path, name, round(least(1.0, 0.5::DOUBLE + CASE WHEN starts_with(name, '_') THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN k > 15 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN calls > 5 THEN 0.1::DOUBLE ELSE 0 END), 6) AS priority,
  CASE WHEN contains('call of verify() is weak; see load', name) THEN 0.8::DOUBLE WHEN regexp_matches(lower(name), '{"|".join(scores.FOCUS_NAMES)}') THEN 0.6::DOUBLE WHEN k > 15 THEN 0.4::DOUBLE ELSE 0::DOUBLE END AS focus FROM scored""")
 def function_scores(spark, d):
-    f = _functions(spark).withColumns({"complexity": units.complexity_class(F.col("content")), "calls": F.size(units.call_names(F.col("content")))})
+    f = _functions(spark, d).withColumns({"complexity": units.complexity_class(F.col("content")), "calls": F.size(units.call_names(F.col("content")))})
     findings = spark.createDataFrame([("call of verify() is weak; see load",), (None,)], "description string")
     told = f.join(structure.mentioned(f.select("name").distinct(), findings).withColumn("m", F.lit(True)), "name", "left")
     return told.select("file_path", "name", F.round(scores.function_priority(F.col("name"), F.col("complexity"), F.col("calls")), 6).alias("priority"), scores.function_focus(F.col("name"), F.col("complexity"), F.coalesce("m", F.lit(False))).alias("focus"))
@@ -98,19 +97,19 @@ def function_scores(spark, d):
 
 @query(f"WITH {UNITS} SELECT u.file_path, kind, name, start_line, end_line, md5(array_to_string(list_slice(string_split(content, chr(10)), start_line, end_line), chr(10))) AS digest FROM units u JOIN code USING (file_path) WHERE end_line - start_line >= 5")
 def structural_chunks(spark, d):
-    c = cd.corpus(spark)
-    return structure.structural_chunks(c, units.heuristic_units(_lines(spark)), 5).select("file_path", "kind", "name", "start_line", "end_line", F.md5("content").alias("digest"))
+    c = _corpus(spark, d)
+    return structure.structural_chunks(c, units.heuristic_units(_lines(spark, d)), 5).select("file_path", "kind", "name", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 @query(f"WITH {UNITS} SELECT c.file_path, c.start_line, c.end_line, array_to_string(list_sort(list(DISTINCT u.name)), ',') AS names FROM units c JOIN units u ON c.file_path = u.file_path AND u.start_line >= c.start_line AND u.end_line <= c.end_line WHERE c.kind = 'class' GROUP BY 1, 2, 3")
 def units_in_chunks(spark, d):
-    u = units.heuristic_units(_lines(spark))
+    u = units.heuristic_units(_lines(spark, d))
     return structure.contained(u.where("kind = 'class'"), u).withColumn("names", F.array_join("names", ","))
 
 
 @query(f"WITH {UNITS}, n AS (SELECT file_path, count(*) AS lines FROM code_lines GROUP BY 1) SELECT file_path, lines, count(name) FILTER (kind = 'function') AS functions, count(name) FILTER (kind = 'class') AS classes, round(count(name) / lines::DOUBLE, 6) AS units_per_line FROM n LEFT JOIN units USING (file_path) GROUP BY 1, 2")
 def complexity_metrics(spark, d):
-    lines = _lines(spark)
+    lines = _lines(spark, d)
     return structure.complexity_metrics(units.heuristic_units(lines), lines).withColumn("units_per_line", F.round("units_per_line", 6))
 
 

@@ -18,15 +18,39 @@ from quarry.sources import code as cd
 from quarry.sources import files as sf
 from quarry.sources import tools
 
-CODE = cd.values_sql()
+_STEPS = [(". ", "()\n\n@mark\ndef "), (", ", ":\n    if "), (" and ", "\n    call(")]
+_HEAD = "import os\nLIMIT = 3\n\ndef "
+
+
+def _sql(text: str) -> str:
+    return "concat(" + ", chr(10), ".join(f"'{x}'" for x in text.split("\n")) + ")"
+
+
+def _coded_sql() -> str:
+    out = "text"
+    for old, new in _STEPS:
+        out = f"replace({out}, '{old}', {_sql(new)})"
+    return f"concat({_sql(_HEAD)}, {out})"
+
+
+# the typed-in corpus, and every document with its sentences written as functions
+CODE = cd.values_sql().replace("code(", "typed(", 1) + f", code AS (SELECT * FROM typed UNION ALL SELECT concat('src/doc_', doc_id, '.py'), {_coded_sql()} FROM documents WHERE text IS NOT NULL)"
 CODE_LINES = f"{CODE}, code_lines AS (SELECT file_path, i::INTEGER AS line_no, l[i] AS line FROM (SELECT file_path, string_split(content, chr(10)) AS l FROM code), unnest(range(1, len(l)+1)) AS t(i) WHERE NOT (i = len(l) AND l[i] = ''))"
 _OPEN = r"^\s*(class|def|async def)\s+([A-Za-z_0-9]+)"
 UNITS = rf"""{CODE_LINES}, marked AS (SELECT *, length(regexp_extract(line, '^[ \t]*')) AS depth FROM code_lines), opened AS (SELECT *, regexp_extract(line, '{_OPEN}', 1) AS word, regexp_extract(line, '{_OPEN}', 2) AS name FROM marked WHERE regexp_matches(line, '{_OPEN}')),
  units AS (SELECT o.file_path, CASE WHEN word = 'class' THEN 'class' ELSE 'function' END AS kind, name, o.line_no AS start_line, coalesce((SELECT min(m.line_no) - 1 FROM marked m WHERE m.file_path = o.file_path AND m.line_no > o.line_no AND m.depth <= o.depth AND NOT regexp_matches(m.line, '^\s*(#|$)')), (SELECT max(m.line_no) FROM marked m WHERE m.file_path = o.file_path))::INTEGER AS end_line FROM opened o)"""
 
 
-def _lines(spark):
-    return tx.lines(cd.corpus(spark))
+def _corpus(spark, d):
+    text = F.col("text")
+    for old, new in _STEPS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    docs = b.table(spark, d, "documents").where("text is not null")
+    return cd.corpus(spark).union(docs.select(F.concat(F.lit("src/doc_"), "doc_id", F.lit(".py")), F.concat(F.lit(_HEAD), text)))
+
+
+def _lines(spark, d):
+    return tx.lines(_corpus(spark, d))
 
 
 def _runs(pattern: str, reach: int) -> str:
@@ -36,28 +60,28 @@ def _runs(pattern: str, reach: int) -> str:
 
 @query()
 def code_units_python(spark, d):
-    return units.python_units(cd.corpus(spark).where(tx.suffix(F.col("file_path")) == ".py")).drop("docstring", "parameters")
+    return units.python_units(_corpus(spark, d).where(tx.suffix(F.col("file_path")) == ".py")).drop("docstring", "parameters")
 
 
 @query(f"WITH {UNITS} SELECT * FROM units")
 def heuristic_units(spark, d):
-    return units.heuristic_units(_lines(spark))
+    return units.heuristic_units(_lines(spark, d))
 
 
 @query(_runs(r"^(import|from)\s", 2))
 def import_blocks(spark, d):
-    return units.import_blocks(_lines(spark))
+    return units.import_blocks(_lines(spark, d))
 
 
 @query(_runs(r"^[A-Za-z_][A-Za-z_0-9]*\s*=[^=]", 3))
 def global_blocks(spark, d):
-    return units.global_blocks(_lines(spark))
+    return units.global_blocks(_lines(spark, d))
 
 
 @query(rf"""WITH {UNITS}, taken AS (SELECT DISTINCT file_path, unnest(range(start_line, end_line + 1)) AS line_no FROM units), m AS (SELECT l.*, t.line_no AS t, count(t.line_no) OVER (PARTITION BY l.file_path ORDER BY l.line_no) AS g FROM code_lines l LEFT JOIN taken t ON l.file_path = t.file_path AND l.line_no = t.line_no)
  SELECT file_path, min(line_no)::INTEGER AS start_line, max(line_no)::INTEGER AS end_line FROM m WHERE t IS NULL AND NOT regexp_matches(line, '^\s*(#|$)') GROUP BY file_path, g HAVING max(line_no) - min(line_no) >= 2""")
 def remaining_blocks(spark, d):
-    lines = _lines(spark)
+    lines = _lines(spark, d)
     return units.remaining_blocks(lines, units.heuristic_units(lines))
 
 
@@ -66,20 +90,20 @@ _CLASS = "len(list_filter(string_split(c, chr(10)), lambda x: NOT regexp_matches
 _SAFE = "|".join(x.replace(".", r"\.") for x in units.SECURITY_WORDS)
 
 
-def _functions(spark):
-    u = units.heuristic_units(_lines(spark)).where("kind = 'function'")
-    return fo.sliced(u, cd.corpus(spark))
+def _functions(spark, d):
+    u = units.heuristic_units(_lines(spark, d)).where("kind = 'function'")
+    return fo.sliced(u, _corpus(spark, d))
 
 
 @query(f"""WITH {UNITS}, {_CONTENT} SELECT file_path, name, start_line, end_line, length(c)//4 AS token_count, CASE WHEN {_CLASS} <= 5 THEN 'simple' WHEN {_CLASS} <= 15 THEN 'moderate' WHEN {_CLASS} <= 30 THEN 'complex' ELSE 'very_complex' END AS complexity, regexp_matches(lower(c), '{_SAFE}') AS sensitive, name LIKE '\\_%' ESCAPE '\\' AS private FROM fc""")
 def function_chunks(spark, d):
-    f = _functions(spark)
+    f = _functions(spark, d)
     return f.select("file_path", "name", "start_line", "end_line", "token_count", units.complexity_class(F.col("content")).alias("complexity"), units.security_relevant(F.col("content")).alias("sensitive"), F.col("name").startswith("_").alias("private"))
 
 
 @query(f"""WITH {UNITS}, first AS (SELECT file_path, min(start_line) AS s FROM units WHERE kind = 'function' GROUP BY 1) SELECT file_path, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\\s+$', '') AS header FROM code_lines JOIN first USING (file_path) WHERE line_no < s GROUP BY 1""")
 def file_header(spark, d):
-    lines = _lines(spark)
+    lines = _lines(spark, d)
     first = units.heuristic_units(lines).where("kind = 'function'").groupBy("file_path").agg(F.min("start_line").alias("s"))
     head = lines.join(first, "file_path").where("line_no < s").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return head.select("file_path", F.regexp_replace(F.array_join("l.line", "\n"), r"\s+$", "").alias("header"))
@@ -87,13 +111,13 @@ def file_header(spark, d):
 
 @query(f"""WITH {UNITS}, {_CONTENT}, calls AS (SELECT DISTINCT file_path, name AS caller, unnest(regexp_extract_all(c, '([A-Za-z_0-9]+)\\s*\\(', 1)) AS callee FROM fc) SELECT DISTINCT c.file_path, caller, callee FROM calls c JOIN fc f ON c.file_path = f.file_path AND callee = f.name WHERE caller <> callee""")
 def call_edges(spark, d):
-    return units.call_edges(_functions(spark))
+    return units.call_edges(_functions(spark, d))
 
 
 @query(f"""WITH {UNITS}, {_CONTENT}, a AS (SELECT DISTINCT file_path, start_line, unnest(regexp_extract_all(c, '([A-Za-z_0-9]+)\\s*\\(', 1)) AS x FROM fc), n AS (SELECT file_path, start_line, count(*) AS k FROM a GROUP BY 1, 2), s AS (SELECT p.file_path, p.start_line AS i, q.start_line AS j, count(*) AS m FROM a p JOIN a q ON p.file_path = q.file_path AND p.x = q.x AND p.start_line < q.start_line GROUP BY 1, 2, 3)
  SELECT s.file_path, i AS first, j AS second, round(m / (u.k + v.k - m)::DOUBLE, 6) AS strength FROM s JOIN n u ON u.file_path = s.file_path AND u.start_line = i JOIN n v ON v.file_path = s.file_path AND v.start_line = j""")
 def semantic_edges(spark, d):
-    f = _functions(spark).select("file_path", "start_line", units.call_names(F.col("content")).alias("names"))
+    f = _functions(spark, d).select("file_path", "start_line", units.call_names(F.col("content")).alias("names"))
     flat = f.select("file_path", "start_line", F.size("names").alias("k"), F.explode("names").alias("x"))
     p, q = flat.alias("p"), flat.alias("q")
     both = p.join(q, (F.col("p.file_path") == F.col("q.file_path")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.start_line") < F.col("q.start_line")))
@@ -114,7 +138,7 @@ def _score(patterns: list[str]) -> str:
 
 @query(f"WITH {CODE}, s AS (" + " UNION ALL ".join(f"SELECT file_path, '{name}' AS language, {k} AS k, {_score(p)} AS n FROM code" for k, (name, p) in enumerate(sf.PATTERNS.items())) + f") SELECT file_path, {_map('suffix', sf.EXTENSIONS, repr('unknown'))} AS by_suffix, by_content FROM (SELECT file_path, lower(regexp_extract(file_path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM code) LEFT JOIN (SELECT file_path, arg_max(language, n * 10 - k) AS by_content FROM s WHERE n > 0 GROUP BY 1) USING (file_path)")
 def code_language(spark, d):
-    c = cd.corpus(spark)
+    c = _corpus(spark, d)
     return c.select("file_path", sf.language_by_suffix(F.col("file_path"), "unknown").alias("by_suffix"), sf.language_by_content(F.col("content")).alias("by_content"))
 
 
@@ -213,7 +237,7 @@ _ST = "list_sum(list_transform(string_split(content, chr(10)), lambda x: " + " +
  UNION ALL SELECT file_path, 3, 'function', CASE WHEN NOT cf THEN 0 WHEN fc = 0 THEN 0.1 WHEN fc >= 5 THEN 0.85 WHEN fc >= 3 THEN 0.75 ELSE 0.65 END, cf FROM y UNION ALL SELECT file_path, 4, 'semantic', CASE WHEN NOT cs THEN 0 WHEN sc >= 0.8 THEN 0.9 WHEN sc >= 0.6 THEN 0.75 WHEN sc >= 0.4 THEN 0.6 ELSE 0.4 END, cs FROM y)
  SELECT file_path, strategy, round(p::DOUBLE, 6) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY p DESC, o) AS rn FROM r WHERE c) WHERE rn = 1""")
 def strategy_select(spark, d):
-    files = b.source_files(spark, d).select("file_path", "content").union(cd.corpus(spark))
+    files = b.source_files(spark, d).select("file_path", "content").union(_corpus(spark, d))
     return strategies.selected(strategies.priorities(files, b.findings_docs(spark, d))).withColumn("priority", F.round("priority", 6))
 
 
