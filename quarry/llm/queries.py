@@ -77,8 +77,31 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import periodic
+
+    return periodic.digests(_table(spark, sf_dir, "documents"), _stuttered)
+
+
+def _stuttered(doc_id: int | None, n: int):
+    """Where crc32(doc_id) is divisible by 10, the words from a on read the p words from a again and again."""
+    import zlib
+
+    import numpy as np
+
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op6_nearest_neighbours, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op6_nearest_neighbours, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups, op13_periodic_runs)}
 
 
 _CUT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
