@@ -77,6 +77,12 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import sharding
+
+    return sharding.assigned(_table(spark, sf_dir, "documents"), 24)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -112,7 +118,7 @@ def _stuttered(doc_id: int | None, n: int):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op6_nearest_neighbours, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups, op12_merkle_manifest, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_lm_scores, op4_language_id, op5_toxicity, op6_nearest_neighbours, op7_html_text, op8_decontamination, op9_quality, op10_simhash_groups, op11_shards, op12_merkle_manifest, op13_periodic_runs)}
 
 
 _CUT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
