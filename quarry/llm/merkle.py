@@ -6,8 +6,8 @@ run becomes its H, the last one with fewer nodes too, even one; the level with a
 Leaves are sorted by range over tasks, so each task holds a stretch of known first index of some trees. It pushes leaves on
 a stack (a mountain range): when a node is the last of its run and the whole run lies on the stack, the run is carried to
 its parent. What stays are the stretch's peaks: a logarithmic number, at both ends also unaligned ones, whose runs lie in
-two stretches. Peaks of a block of 2^20 leaves are merged in one group, the blocks' nodes of a tree in another, and short
-runs are hashed there, without padding. The way up from a peak is sent back to its stretch, where each leaf adds its own
+two stretches. Peaks of a block of 2^14 leaves are merged in one group, 2^14 blocks in another, and these of a tree in one
+more; short runs are hashed there, without padding. The way up from a peak is sent back to its stretch, where each leaf adds its own
 way to the peak. Only peaks and counts are shuffled besides the leaves' digests: no text, and nothing passes the driver.
 
 Nulls: a null field is ``-``; a null doc_id stands first and a null lang's tree too. Rows of equal doc_id stand by their
@@ -28,7 +28,7 @@ from quarry.llm._shared import removed, written
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: Leaves in a stretch, and leaves whose peaks are merged in one group.
-STRETCH, BLOCK = 1 << 16, 1 << 20
+STRETCH, BLOCK = 1 << 16, 1 << 14
 
 
 def _h(text: str) -> str:
@@ -150,8 +150,9 @@ def _merge(nodes: DataFrame, keys: list[str], low: int, high: int, fanout: int)
     return nodes.groupBy(*keys).applyInArrow(run, f"{schema}, node string, steps array<string>, made {_MADE}")
 
 
-def _grown(leaves: DataFrame, order: list[str], fanout: int, stretch: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Sorted leaves with pid and at, their counts, peaks merged in blocks, blocks merged in trees, and the blocks' level."""
+def _grown(leaves: DataFrame, order: list[str], fanout: int, stretch: int, block: int) -> tuple[DataFrame, DataFrame, list[DataFrame], int]:
+    """Sorted leaves with pid and at, their counts, peaks merged in blocks, blocks in blocks of blocks, these in trees, and
+    the first blocks' level."""
     top = max(1, math.ceil(math.log(block, fanout) - 1e-9))
     first = written(leaves)
     tasks = max(1, -(-first.count() // stretch))
@@ -165,11 +166,12 @@ def _grown(leaves: DataFrame, order: list[str], fanout: int, stretch: int, block
     counts = written(sorted_.groupBy("pid", "k").agg(F.count("*").alias("m")).select("pid", "k", before.alias("first"), F.sum("m").over(of_tree).alias("n")))
     # a peak of the blocks' level is a block; lower ones lie within one
     place = F.expr("index div cast(round(power({}, {} - level)) as bigint)".format(fanout, top))
-    peaks = _peaks(sorted_, counts, fanout, top).withColumn("block", place)
-    low = written(_merge(peaks, ["k", "block"], 0, top, fanout))
-    whole = low.groupBy("k", "block").agg(F.first("node").alias("digest"), F.first("n").alias("n"))
-    blocks = whole.select("k", "n", F.lit(top).alias("level"), F.col("block").alias("index"), "digest")
-    return sorted_, counts, low, written(_merge(blocks, ["k"], top, 64, fanout)), top
+    rounds = [written(_merge(_peaks(sorted_, counts, fanout, top).withColumn("block", place), ["k", "block"], 0, top, fanout))]
+    for low, high in ((top, 2 * top), (2 * top, 64)):
+        nodes = rounds[-1].groupBy("k", "block").agg(F.first("n").alias("n"), F.first("node").alias("digest")).withColumns({"level": F.lit(low), "index": F.col("block")})
+        above = F.expr(f"index div {fanout**top}") if high < 64 else F.lit(0).cast("long")
+        rounds.append(written(_merge(nodes.withColumn("block", above), ["k", "block"], low, high, fanout)))
+    return sorted_, counts, rounds, top
 
 
 def _proved(leaves: DataFrame, order: list[str], above: Callable, each: Callable, schema: str, fanout: int, stretch: int, block: int) -> DataFrame:
@@ -178,11 +180,14 @@ def _proved(leaves: DataFrame, order: list[str], above: Callable, each: Callable
     ``leaves``: k (the tree), digest (binary), the columns of ``order`` and more. ``above``: from k, subroot of each tree to
     k, rest (steps from there on) and root.
     """
-    sorted_, _, low, high, top = _grown(leaves, order, fanout, stretch, block)
-    trees = high.select("k", F.col("index").alias("block"), F.col("node").alias("subroot"), F.col("steps").alias("more"))
-    ends = above(trees.select("k", "subroot").distinct())
-    ways = low.select("pid", "k", "first", "level", "index", "block", "steps").join(trees, ["k", "block"]).join(ends, "k")
-    ways = ways.select("pid", "k", "first", "level", "index", F.concat("steps", "more", "rest").alias("steps"), "subroot", "root")
+    sorted_, _, rounds, top = _grown(leaves, order, fanout, stretch, block)
+    ends = above(rounds[-1].select("k", F.col("node").alias("subroot")).distinct())
+    ways = rounds[0].select("pid", "k", "first", "level", "index", "block", "steps")
+    for table in rounds[1:]:
+        further = table.select("k", F.col("index").alias("block"), F.col("block").alias("next"), F.col("steps").alias("more"), F.col("node").alias("subroot"))
+        ways = ways.drop("subroot").join(further, ["k", "block"]).withColumns({"block": F.col("next"), "steps": F.concat("steps", "more")}).drop("next", "more")
+    ways = ways.join(ends, "k").withColumn("steps", F.concat("steps", "rest"))
+    ways = ways.select("pid", "k", "first", "level", "index", "steps", "subroot", "root")
 
     def run(own: pa.Table, peaks: pa.Table) -> pa.Table:
         told = peaks.to_pylist()
@@ -250,7 +255,7 @@ def manifest(documents: DataFrame, tampered: Column | None = None, fanout: int =
 
 def nodes(documents: DataFrame, fanout: int = 2, stretch: int = STRETCH, block: int = BLOCK) -> DataFrame:
     """lang, level, index, digest of every node of the languages' trees; the leaves are level 0."""
-    sorted_, counts, low, high, top = _grown(_leaves(documents), ["doc_id"], fanout, stretch, block)
+    sorted_, counts, rounds, top = _grown(_leaves(documents), ["doc_id"], fanout, stretch, block)
 
     def run(leaves: pa.Table, count: pa.Table) -> pa.Table:
         told = count.to_pylist()[0]
@@ -260,6 +265,7 @@ def nodes(documents: DataFrame, fanout: int = 2, stretch: int = STRETCH, block:
         return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["k", "level", "index", "digest"])
 
     own = sorted_.select("pid", "k", "at", "digest").groupBy("pid", "k").cogroup(counts.groupBy("pid", "k")).applyInArrow(run, "k string, level int, index long, digest string")
-    made = low.select("k", F.inline("made")).unionByName(high.select("k", F.inline("made")))
+    for table in rounds:
+        own = own.unionByName(table.select("k", F.inline("made")))
     lang = F.when(F.col("k") != "0", F.substring("k", 2, 1 << 30))
-    return own.unionByName(made).select(lang.alias("lang"), "level", "index", "digest")
+    return own.select(lang.alias("lang"), "level", "index", "digest")
