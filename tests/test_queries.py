@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import extra, more  # noqa: F401
+from quarry.plans import braced, extra, more  # noqa: F401
 from quarry.plans import queries as q
 
 DATA = "/root/testdata/sf0.001"
