@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.budget import truncated
@@ -39,6 +39,14 @@ def fitted(chunks: DataFrame, least: int, most: int) -> DataFrame:
     return kept.withColumn("content", F.when(tokens(F.col("content")) > most, truncated(F.col("content"), most)).otherwise(F.col("content")))
 
 
+def fitted_counted(chunks: DataFrame, least: int, most: int, seen: Observation) -> DataFrame:
+    """``fitted``; the action that runs it also fills ``seen`` with chunks, dropped and tokens_dropped, counted in passing,
+    without another scan. ``seen`` serves one action; chunks of null content count as dropped, of no tokens."""
+    small = F.coalesce(tokens(F.col("content")) < least, F.lit(True))
+    lost = F.coalesce(F.sum(F.when(small, tokens(F.col("content")))), F.lit(0))
+    return fitted(chunks.observe(seen, F.count("*").alias("chunks"), F.count_if(small).alias("dropped"), lost.alias("tokens_dropped")), least, most)
+
+
 def trimmed(chunks: DataFrame) -> DataFrame:
     """Chunks from their first line that begins a unit to their last that is neither blank nor comment; start_line and
     end_line (past the last line) follow. Chunks that need no trimming keep theirs."""

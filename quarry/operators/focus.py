@@ -60,9 +60,11 @@ def sliced(spans: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def associated(chunks: DataFrame, findings: DataFrame) -> DataFrame:
-    """Pairs of chunks (with chunk_id) and the findings that start within them: a band join inside each file."""
+    """Pairs of chunks (with chunk_id) and the findings that start within them: a join by bands of lines."""
+    from quarry.operators.bands import lines_within
+
     c = chunks.select("chunk_id", "file_path", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    return c.join(findings, "file_path").where(F.col("start_line").between(F.col("c_start"), F.col("c_end")))
+    return lines_within(c, findings, "start_line", "c_start", "c_end")
 
 
 def chunk_scores(pairs: DataFrame) -> DataFrame:

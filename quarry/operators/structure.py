@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import focus, units
 
+#: Characters of a gram by which names are looked up.
+GRAM = 3
+
 
 def structural_chunks(files: DataFrame, spans: DataFrame, least: int = 50, check: bool = False) -> DataFrame:
     """Units (file_path, kind, name, start_line, end_line) of ``least`` lines or more as chunks with content; with
@@ -27,14 +30,26 @@ def contained(chunks: DataFrame, inner: DataFrame) -> DataFrame:
 def mentioned(functions: DataFrame, findings: DataFrame) -> DataFrame:
     """Functions whose name stands anywhere in some finding's description, within a longer word too.
 
-    A name without white space lies within one run of other characters, so only the distinct runs are searched: their
-    pieces as long as some name, joined by equality. Names that are null, empty or hold white space are not found.
+    A name without white space lies within one run of other characters, so only the distinct runs are searched. Each name
+    is looked up by one of its grams of ``GRAM`` characters (a shorter name is its own), the one that the fewest runs hold,
+    and what that finds is verified; a semi join stops at a name's first. Runs are told once for each of their grams, a
+    number that follows their length. Names that are null, empty or hold white space are not found.
     """
     words = findings.select(F.explode(F.array_distinct(F.split("description", r"\s+"))).alias("w")).where("w <> ''").distinct()
-    sizes = functions.where("name <> ''").agg(F.collect_set(F.length("name")).alias("sizes"))  # one row, as many as lengths
-    at = F.explode(F.expr("filter(sizes, k -> k <= length(w))"))
-    pieces = words.crossJoin(F.broadcast(sizes)).select("w", at.alias("k")).select(F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("name"))
-    return functions.join(pieces.distinct(), "name", "left_semi")
+    names = functions.where(r"name <> '' and not name rlike '\\s'").select("name").distinct()
+    sizes = names.agg(F.array_sort(F.collect_set(F.least(F.length("name"), F.lit(GRAM)))).alias("sizes"))  # one row, GRAM numbers at most
+
+    def grams(text: str, sizes: Column) -> Column:
+        fit = F.filter(sizes, lambda k: k <= F.length(text))
+        return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k)))))
+
+    held = words.crossJoin(F.broadcast(sizes)).select("w", F.explode(grams("w", F.col("sizes"))).alias("gram"))
+    asked = names.select("name", F.explode(grams("name", F.array(F.least(F.length("name"), F.lit(GRAM))))).alias("gram"))
+    # a gram that no run holds rules its name out
+    counted = asked.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    keyed = counted.where("m.n > 0").select("name", F.col("m.gram").alias("gram"))
+    found = keyed.join(held, (keyed["gram"] == held["gram"]) & F.contains("w", "name"), "left_semi")
+    return functions.join(found.select("name"), "name", "left_semi")
 
 
 def complexity_metrics(spans: DataFrame, lines: DataFrame) -> DataFrame:

@@ -136,6 +136,22 @@ def call_edges(units: DataFrame) -> DataFrame:
     return calls.join(names, ["file_path", "callee"]).where("caller <> callee").select("file_path", "caller", "callee").distinct()
 
 
+def chunk_calls(chunks: DataFrame, calls: DataFrame) -> DataFrame:
+    """file_path, source, target, function_name: for each call the first chunk of its file that holds the caller and the
+    first that holds the callee.
+
+    ``chunks``: file_path, chunk_id, place (the order of a file's chunks) and names (of functions it holds); ``calls``:
+    file_path, caller, callee. A name's first chunk is one aggregate with map-side combining, so its chunks are never
+    paired. Calls of names that no chunk holds, and null names, are left out; equal calls are told once.
+    """
+    held = chunks.select("file_path", F.explode("names").alias("name"), F.struct("place", "chunk_id").alias("c"))
+    first = held.groupBy("file_path", "name").agg(F.min("c")["chunk_id"].alias("chunk"))
+    told = calls.select("file_path", "caller", "callee").distinct()
+    told = told.join(first.select("file_path", F.col("name").alias("caller"), F.col("chunk").alias("source")), ["file_path", "caller"])
+    told = told.join(first.select("file_path", F.col("name").alias("callee"), F.col("chunk").alias("target")), ["file_path", "callee"])
+    return told.select("file_path", "source", "target", F.col("callee").alias("function_name")).distinct()
+
+
 def complexity_class(code: Column) -> Column:
     """simple, moderate, complex or very_complex: lines that aren't blank, and twice each branching word."""
     lines = F.size(F.filter(F.split(code, "\n"), lambda x: ~x.rlike(r"^\s*$")))
