@@ -91,3 +91,30 @@ def logical_blocks(files: DataFrame, most: int = 100, reach: int = 10) -> DataFr
 
     items = F.transform("soft", lambda x, k: F.struct((k + 1).cast("int").alias("k"), x.alias("soft")))
     return told.select("file_path", F.explode(F.aggregate(items, none, merge, lambda a: a["out"])).alias("b")).select("file_path", "b.*")
+
+
+def merged_related(chunks: DataFrame, gap: int = 3, shared: int = 2) -> DataFrame:
+    """file_path, start_line, end_line, members, deps (sorted): a file's chunks merged by nearness or by what they depend on.
+
+    ``chunks``: file_path, start_line, end_line, deps (array of names; null counts as empty). In the order of their lines,
+    each chunk joins the first group so far whose end lies at most ``gap`` lines from its start, or that shares ``shared``
+    names with it at least; a group grows by the chunk's lines and names. Groups thus need not be of neighbours. One fold
+    for each file; its state holds the file's groups.
+    """
+    none = F.array().cast("array<string>")
+    deps = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col("deps"), none), lambda x: x.isNotNull())))
+    item = F.struct(F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), deps.alias("deps"))
+    start = F.array().cast("array<struct<start_line:int,end_line:int,deps:array<string>,members:int>>")
+
+    def group(a: Column, b: Column, names: Column, n: Column) -> Column:
+        return F.struct(a.alias("start_line"), b.alias("end_line"), names.alias("deps"), n.cast("int").alias("members"))
+
+    def step(groups: Column, x: Column) -> Column:
+        related = lambda g: (F.abs(g["end_line"] - x["start_line"]) <= gap) | (F.size(F.array_intersect(g["deps"], x["deps"])) >= shared)
+        at = F.array_position(F.transform(groups, related), F.lit(True))
+        grown = lambda g: group(F.least(g["start_line"], x["start_line"]), F.greatest(g["end_line"], x["end_line"]), F.array_sort(F.array_union(g["deps"], x["deps"])), g["members"] + 1)
+        joined = F.transform(groups, lambda g, k: F.when(k == at - 1, grown(g)).otherwise(g))
+        return F.when(at > 0, joined).otherwise(F.concat(groups, F.array(group(x["start_line"], x["end_line"], x["deps"], F.lit(1)))))
+
+    own = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return own.select("file_path", F.explode(F.aggregate("i", start, step)).alias("g")).select("file_path", "g.start_line", "g.end_line", "g.members", "g.deps")

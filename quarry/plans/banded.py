@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from quarry.functions.durable import written
-from quarry.operators import bands, chunks, structure, units
+from quarry.functions import maps
+from quarry.functions.durable import shared_top, written
+from quarry.operators import bands, chunks, folds, structure, units
 from quarry.plans.extra import _BLOCK, _sliced
 from quarry.plans.more import _CONTENT, CODE_LINES, UNITS, _corpus, _functions, _lines
-from quarry.plans.queries import ORACLES, query
+from quarry.plans.queries import DOCS, LINES, ORACLES, _map, query
 from quarry.sources import bindings as b
+from quarry.sources import sarif
 
 
 @query(ORACLES["focus_chunks"])
@@ -65,3 +69,26 @@ def dropped_in_passing(spark, d):
     told = seen.get
     row = {x: F.lit(told[x]).cast("long").alias(x) for x in ("chunks", "dropped", "tokens_dropped")}
     return spark.range(1).select(*row.values(), F.lit(kept).cast("long").alias("kept"))
+
+
+_DEPS = "list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda x: length(x) > 7)))"
+
+
+@query(f"""WITH RECURSIVE {LINES}, items AS (SELECT file_path, start_line, start_line AS end_line, deps, row_number() OVER (PARTITION BY file_path ORDER BY start_line) AS k FROM (SELECT file_path, line_no AS start_line, {_DEPS} AS deps FROM doc_lines WHERE line_no % 5 = 0)),
+ f AS (SELECT file_path, k, [{{'a': start_line, 'z': end_line, 'd': deps, 'n': 1}}] AS g FROM items WHERE k = 1
+  UNION ALL SELECT file_path, k, CASE WHEN p IS NULL THEN list_append(g, {{'a': start_line, 'z': end_line, 'd': deps, 'n': 1}}) ELSE list_concat(list_append(g[:p - 1], {{'a': least(g[p].a, start_line), 'z': greatest(g[p].z, end_line), 'd': list_sort(list_distinct(list_concat(g[p].d, deps))), 'n': g[p].n + 1}}), g[p + 1:]) END
+  FROM (SELECT i.file_path, i.k, i.start_line, i.end_line, i.deps, f.g, nullif(list_position(list_transform(f.g, lambda x: abs(x.z - i.start_line) <= 3 OR len(list_intersect(x.d, i.deps)) >= 2), true), 0) AS p FROM f JOIN items i ON i.file_path = f.file_path AND i.k = f.k + 1))
+ SELECT file_path, x.a::INTEGER AS start_line, x.z::INTEGER AS end_line, x.n AS members, array_to_string(x.d, ' ') AS deps FROM (SELECT file_path, unnest(arg_max(g, k)) AS x FROM f GROUP BY 1)""")
+def merge_related_chunks(spark, d):
+    """Every fifth line of a document as a chunk that depends on its long words."""
+    deps = F.filter(F.split(F.lower("line"), " ", -1), lambda x: F.length(x) > 7)
+    c = b.source_lines(spark, d).where("line_no % 5 = 0").select("file_path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), deps.alias("deps"))
+    return folds.merged_related(c).withColumn("deps", F.array_join("deps", " "))
+
+
+@query(f"WITH {DOCS} SELECT vulnerability_type AS rule_id, {_map('severity', maps.SARIF_LEVEL, repr('warning'))} AS level, file_path AS uri, start_line, end_line, count(*) AS n FROM docs GROUP BY ALL")
+def sarif_log(spark, d):
+    """All findings written as one SARIF log of many files, and read back by what its root file names."""
+    path = f"{shared_top(spark)}/quarry-sarif-{uuid.uuid4().hex}"
+    sarif.write(b.findings_docs(spark, d).withColumn("description", F.concat("rule_id", F.lit(' "found"'))), path)
+    return sarif.read(spark, path).groupBy("rule_id", "level", "uri", "start_line", "end_line").agg(F.count("*").alias("n"))
