@@ -1,13 +1,15 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is a row of words and tags. A word scores 1, a tag less than 0, by a weight learned from labelled pages: the
-log-odds of standing outside the article, of its name or of the known names in its class, id and role on average,
-whichever is more. The
-contiguous run with the greatest sum is the article's region; a linear scan finds it. One region can't leave out what
+log-odds of standing outside the article, of its name or of the names in its class, id and role on average, whichever is
+more. A name is worth the average of its parts (``related-work``: of two); a part that no labelled page holds is worth 0,
+words of layout (``FRAME``) and names of unknown parts alone count for nothing, and one seen in fewer than ``SUPPORT`` parts
+beside articles never speaks against an element. The contiguous run with the greatest sum is the article's region; a linear scan finds it. One region can't leave out what
 stands within it, so an element whose odds pass ``CUT`` (a comment box, an advert) scores nothing, tags and all, and
 isn't part of the text, wherever it stands: what follows it is reached for nothing. If the region holds a third of the words of an
 element around it whose names tell that it holds an article (log-odds over ``CUT``), it is widened to that element. A form that holds over half of the
-page's words is a wrapper and isn't cut. A header within an article element is the article's own and stays.
+page's words is a wrapper and isn't cut, nor is an element that holds a third of them with the page's main element or its
+only article. A button between words of a sentence is read. A header within an article element is the article's own and stays.
 
 Markup is read by the rules of html, in time linear in the page: quoted and unquoted attribute values, comments, script
 and style to their end tags (or the page's end), a paragraph to the next tag that isn't inline. Lenient beyond them: a quote that is never closed ends with its tag's
@@ -42,6 +44,10 @@ from quarry.llm.html_labels import pages
 
 #: Log-odds over which names cut an element out, and those of a tag that no labelled page holds.
 CUT, UNSEEN = 3.0, -0.9
+#: Parts beside articles that must bear a name before it can speak against one.
+SUPPORT = 8
+#: Words of layout in names, which tell nothing of what an element holds.
+FRAME = set("area bar block bottom box center clear col cell fixed fluid frame full grid group hidden holder inner item items js layer layout left lg line link links list md middle outer panel pane region right root row section shell site slot sm sticky strip table top unit view wrap wrapper zone".split())
 #: Elements of raw text that isn't shown, void elements, and elements that don't part blocks.
 RAW = "script style title iframe noembed noframes".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,14 +65,20 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
-def _named(attributes: str) -> tuple[str, ...]:
-    return tuple(sorted({f".{x.lower()}" for m in _NAMED.finditer(attributes) if m[1] for x in _PART.findall(m[2])}))
+def _named(attributes: str) -> tuple[tuple[str, ...], ...]:
+    """The names in class, id and role, each as its parts, sorted."""
+    names = {tuple(f".{x.lower()}" for x in _PART.findall(name)) for m in _NAMED.finditer(attributes) if m[1] for name in m[2].strip("\"'").split()}
+    return tuple(sorted(x for x in names if x))
+
+
+def _flat(names: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
+    return tuple(sorted({part for name in names for part in name}))
 
 
 _names = lru_cache(maxsize=20_000)(_named)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+def tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
     """(kind, tag or text, names): kind is ``<`` for a start tag, ``/`` for an end tag, ``.`` for an element that closes
     itself, ``r`` for a whole element of raw text, ``t`` for text."""
     at, size, foreign = 0, len(page), 0
@@ -117,7 +129,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                 at = page.find(">", end.end()) + 1 or size
 
 
-def _ends(rows: list[tuple[str, str, tuple[str, ...]]]) -> list[int]:
+def _ends(rows: list[tuple[str, str, tuple]]) -> list[int]:
     """For each start tag the last token of its element; of one that is never closed, the last of the page or of what it
     stands in. A paragraph also ends before a tag that isn't inline, a list item or a cell before the next of its kind."""
     ends, many = [len(rows) - 1] * len(rows), Counter()
@@ -172,12 +184,16 @@ class PageModel:
     cost: float
     holders: frozenset[str] = frozenset()
 
-    def price(self, keys: tuple[str, ...]) -> tuple[float, bool]:
-        """The score of a tag of this name and these names, and whether it cuts its element out."""
-        named = [self.odds[k] for k in keys[1:] if k in self.odds]
-        odds = self.odds.get(keys[0], UNSEEN)
-        odds = max(odds, sum(named) / len(named)) if named else odds
-        return -self.cost * max(0.1, 1 + odds), odds > CUT and keys[0] not in ("html", "head", "body")
+    def price(self, tag: str, names: tuple[tuple[str, ...], ...]) -> tuple[float, bool]:
+        """The score of a tag with these names, and whether it cuts its element out."""
+        worth = []
+        for name in names:
+            known = [self.odds[x] for x in name if x in self.odds]
+            if known:
+                worth.append(sum(known) / sum(x in self.odds or x[1:] not in FRAME for x in name))
+        odds = self.odds.get(tag, UNSEEN)
+        odds = max(odds, sum(worth) / len(worth)) if worth else odds
+        return -self.cost * max(0.1, 1 + odds), odds > CUT and tag not in ("html", "head", "body")
 
     def widened(self, rows: list, ends: list[int], places: list[int], score: list[float], low: int, high: int) -> tuple[int, int]:
         """The run, or the least element around it whose name or names tell that it holds an article, if the run holds a
@@ -187,7 +203,7 @@ class PageModel:
         for x in range(low, -1, -1):
             kind, value, names = rows[places[x]]
             if kind == "<" and ends[places[x]] > places[high - 1] - (x == low):
-                if any(k in self.holders for k in (value, *names)) and value not in ("html", "body"):
+                if any(k in self.holders for k in (value, *_flat(names))) and value not in ("html", "body"):
                     end = int(np.searchsorted(places, ends[places[x]], side="right"))
                     words = [sum(y for y in score[a:b] if y > 0) for a, b in ((low, high), (x, end))]
                     return (x, end) if 3 * words[0] >= words[1] else (low, high)
@@ -202,8 +218,19 @@ class PageModel:
         score: list[float] = []
         places: list[int] = []  # of each score, the token it stands for
         runs: list[str | None] = []  # text, or None where a block ends
-        article, skip = 0, 0
-        known: dict[tuple[str, ...], tuple[float, bool]] = {}
+        article, skip, spoken = 0, 0, 0
+        known: dict[tuple, tuple[float, bool]] = {}
+        at = {tag: [k for k, x in enumerate(rows) if x[0] == "<" and x[1] == tag] for tag in ("main", "article")}
+        wanted = at["main"] or (at["article"] if len(at["article"]) == 1 else [])
+
+        def wraps(k: int, value: str) -> bool:
+            share = (held[ends[k]] - held[k]) / held[-1] if held[-1] else 0.0
+            return value == "form" and share > 0.5 or share > 1 / 3 and any(k < x <= ends[k] for x in wanted)
+
+        def said(k: int) -> bool:
+            near = [rows[x] for x in (k - 1, ends[k] + 1) if 0 <= x < len(rows)]
+            return any(kind == "t" and value.strip() for kind, value, _ in near)
+
         for k, (kind, value, names) in enumerate(rows):
             if k < skip:
                 continue
@@ -217,11 +244,17 @@ class PageModel:
                 score.append(0.0)
                 places.append(k)
                 continue
-            keys = ("own header" if value == "header" and article > k else value, *names)
+            keys = ("own header" if value == "header" and article > k else value, names)
             if keys not in known:
-                known[keys] = self.price(keys)
+                known[keys] = self.price(*keys)
             price, gone = known[keys]
-            if kind == "<" and (value == "template" or gone and not (value == "form" and 2 * (held[ends[k]] - held[k]) > held[-1])):
+            if value == "button" and kind != "." and (k < spoken or kind == "<" and said(k)):
+                spoken = max(spoken, ends[k] + 1)
+                runs.append("")
+                score.append(0.0)
+                places.append(k)
+                continue
+            if kind == "<" and (value == "template" or gone and not wraps(k, value)):
                 runs.append(None)
                 score.append(0.0)
                 places.append(k)
@@ -265,7 +298,7 @@ def _keys(page: list[tuple[str, int]]) -> Iterator[tuple[str, int, tuple[str, ..
             if kind in "<./":
                 own = value == "header" and article
                 article += (kind == "<") - (kind == "/") if value == "article" else 0
-                yield kind, label, (f"own {value}" if own else value, *names)
+                yield kind, label, (f"own {value}" if own else value, *_flat(names))
 
 
 def fit(labelled: list[list[tuple[str, int]]]) -> PageModel:
@@ -288,6 +321,7 @@ def fit(labelled: list[list[tuple[str, int]]]) -> PageModel:
                 while held and held.pop()[0].split()[-1] != keys[0].split()[-1]:
                     pass
     odds = {key: float(np.log((outside[key] + 0.5) / (within[key] + around[key] + 0.5))) for key in {*within, *outside}}
+    odds = {key: x for key, x in odds.items() if key[0] != "." or outside[key] >= SUPPORT or x <= 0}
     # the scan doesn't see what stands in a cut element: tags there don't count in its weights
     rough, seen = PageModel(odds, 0.0), Counter()
     for page in labelled:
@@ -298,7 +332,7 @@ def fit(labelled: list[list[tuple[str, int]]]) -> PageModel:
                     deep -= kind == "/" and deep > 0
                     if not deep and kind != "/":
                         seen.update(set(keys))
-                    deep += kind == "<" and (deep > 0 or rough.price(keys)[1])
+                    deep += kind == "<" and (deep > 0 or rough.price(keys[0], tuple((x,) for x in keys[1:]))[1])
     odds = {key: x if x > CUT else float(np.log((seen[key] + 0.5) / (within[key] + around[key] + 0.5))) for key, x in odds.items()}
     holders = frozenset(k for k, n in first.items() if np.log((n + 0.5) / (max(0, outside[k] - n) + 0.5)) > CUT)
     sample = labelled[:: max(1, len(labelled) // 60)]

@@ -7,7 +7,7 @@ import time
 import pyarrow.parquet as pq
 import pytest
 
-from quarry.llm import html_text
+from quarry.llm import html_labels, html_text
 
 
 def test_best_run_against_brute_force():
@@ -62,6 +62,34 @@ def test_pages_by_hand(page, want):
     assert html_text.model().text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f'<article class="en"><h1>T</h1><p>{A}</p></article>', f"T {A}"),
+    (f'<article><div class="lang en"><p>{A}</p></div><div class="lang fr"><p>{B}</p></div></article>', f"{A} {B}"),
+    (f'<article><p>{A}</p><section id="related-work"><p>{B}</p></section></article>', f"{A} {B}"),
+    (f'<article><p>{A}</p><section id="search-algorithms"><p>{B}</p></section></article>', f"{A} {B}"),
+    (f'<article><p>{A}</p><div class="author-interview"><p>{B}</p></div></article>', f"{A} {B}"),
+    (f"<article><p>{A}</p><p>Press the <button>Send</button> key to go on.</p></article>", f"{A} Press the Send key to go on."),
+    (f'<div class="sidebar-layout"><article><p>{A}</p></article></div>', A),
+    (f'<div class="sidebar"><main><p>{A}</p></main></div>', A),
+    (f'<main><p>{A}</p><ol class="comment-list"><li>{B} {B} {B}</li></ol></main>', A),
+    (f'<main><p>{A}</p><div class="comments x7fa"><p>{B} {B}</p></div></main>', A),
+    (f'<main><p>{A}</p><button>Share</button><p>{B}</p></main>', f"{A} {B}"),
+    (f'<main><p>{A}</p><div class="social-links"><a>{B}</a></div></main>', A),
+])
+def test_names_that_only_seem_to_tell(page, want):
+    assert html_text.model().text(page) == want
+
+
+def test_no_chance_name_cuts_an_article():
+    """Every word of the training pages' text as the name of an article."""
+    model = html_text.model()
+    words = {w for page in html_labels.pages(60) for markup, _ in page for w in re.sub("<[^>]*>", " ", markup).lower().split() if w.isalpha()}
+    words -= set(" ".join(html_labels.BESIDE.values()).split())  # names that pages do give to menus and the like
+    assert len(words) > 2000
+    for w in words:
+        assert model.text(f'<body><div class="{w}"><h1>T</h1><p>{A}</p></div></body>') == f"T {A}"
+
+
 @pytest.mark.parametrize("name", HOSTILE)
 def test_hostile_pages_take_linear_time(name):
     model, page = html_text.model(), HOSTILE[name]
