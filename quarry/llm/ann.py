@@ -8,13 +8,11 @@ neighbours chosen so that none is nearer to another chosen one than to the new r
 links go both ways, and a full list is chosen anew. While the graph so far has ``SCANNED`` nodes at most, a row's nearest
 come from a scan of them, which is both quicker there and exact. Levels are drawn from a hash of the id. Searches walk
 with a beam of ``BEAM`` candidates or more: each graph measures its recall, on ``TRIED`` of its own nodes against a scan,
-and doubles the beam until it finds ``GOAL`` of the nearest. Vectors so evenly spread that the beam comes to a quarter
-of the shard (nothing is gained by walking then) are scanned in blocks: the exact way, which ``exact`` asks of all
-shards. Scores are inner products of the original vectors in double precision.
+and doubles the beam until it finds ``GOAL`` of the nearest, up to all of the shard. Searches walk the graph at every
+size; ``exact`` asks all shards to scan in blocks instead. Scores are inner products of the original vectors in double precision.
 
-Shards: by a hash of vec_id, one for each ``SHARD_ROWS`` rows, ``SHARDS`` at least, so a shard's memory doesn't grow with
-the table (time grows as its logarithm, so shards are as large as a task's memory allows), and by dimension: vectors of
-different lengths have no product. Queries go to every shard, and the shards' results are merged. In a shard the
+Shards: by a hash of vec_id, one for each ``SHARD_ROWS`` rows, so a shard's memory doesn't grow with the table, and by
+dimension: vectors of different lengths have no product. Queries go to every shard, and the shards' results are merged. In a shard the
 vectors come first and are indexed, then queries stream through, so a task holds one shard.
 
 Equal vectors are one node that keeps all their ids, so crowds of them don't cut the graph off.
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._shared import mixed, ragged, task
 
-SHARDS, SHARD_ROWS, LINKS, BEAM, BATCH = 8, 200_000, 16, 96, 1024
+SHARD_ROWS, LINKS, BEAM, BATCH = 16_384, 16, 96, 1024
 SCANNED, TRIED, GOAL = 16_384, 64, 0.97
 #: Cells of the table of visited nodes: bounds how many queries walk at a time.
 VISITED = 1 << 25
@@ -79,7 +77,7 @@ class Graph:
         self._tune(k_found=k)
 
     def _tune(self, k_found: int) -> None:
-        """Raises the beam until a sample of the nodes finds ``GOAL`` of its nearest; beyond a quarter of all, scans."""
+        """Raises the beam until a sample of the nodes finds ``GOAL`` of its nearest, to all nodes at most."""
         points = self.points[0]
         k = min(k_found + 1, len(points))
         # as queries are: without the last component, and none that walks begin at
@@ -88,15 +86,13 @@ class Graph:
         tried[:, -1] = 0
         tried /= np.maximum(np.linalg.norm(tried, axis=1, keepdims=True), 1e-12)
         least = np.sort(tried @ points.T, axis=1)[:, -k][:, None]
-        while True:
-            self.scans = 4 * self.beam >= len(points)
-            if self.scans:
-                return
+        while len(some) and self.beam < len(points):
             _, score = self._descend(tried, k)
             score = score[:, :k]
             if (score >= least - 1e-6).sum() >= GOAL * k * len(tried):
                 return
             self.beam *= 2
+        self.beam = min(self.beam, len(points))
 
     def _build(self, level: int) -> None:
         points, flat = self.points[level], self.flat[level]
@@ -281,7 +277,7 @@ def neighbours(df: DataFrame, every: int = 20, k: int = 20, shards: int | None =
 
     ``shards``: as many as the table's rows need, if not given. ``exact``: every shard is scanned, none indexed.
     """
-    shards = shards or max(SHARDS, -(-df.count() // SHARD_ROWS))
+    shards = shards or max(1, -(-df.count() // SHARD_ROWS))
     rows = usable(df)
     vectors = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))

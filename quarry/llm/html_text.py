@@ -60,6 +60,7 @@ _OPEN = re.compile("<(?=[a-zA-Z!?/])")
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>")
 _NAMED = re.compile(r"""(?:\A|[\s/"'])(?:(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)|[^\s/>=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))""", re.I)
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
+_HOLDERS = re.compile("<(?:main|article)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Letters of scripts that don't part words by spaces.
 _DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
@@ -220,8 +221,10 @@ class PageModel:
         runs: list[str | None] = []  # text, or None where a block ends
         article, skip, spoken = 0, 0, 0
         known: dict[tuple, tuple[float, bool]] = {}
-        at = {tag: [k for k, x in enumerate(rows) if x[0] == "<" and x[1] == tag] for tag in ("main", "article")}
-        wanted = at["main"] or (at["article"] if len(at["article"]) == 1 else [])
+        wanted: list[int] = []
+        if _HOLDERS.search(page or ""):
+            starts = [(x[1], k) for k, x in enumerate(rows) if x[0] == "<" and x[1] in ("main", "article")]
+            wanted = [k for tag, k in starts if tag == "main"] or ([k for _, k in starts] if len(starts) == 1 else [])
 
         def wraps(k: int, value: str) -> bool:
             share = (held[ends[k]] - held[k]) / held[-1] if held[-1] else 0.0
