@@ -51,8 +51,13 @@ def one_of_each(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """
     rows = written(rows)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    least = rows.groupBy("root").agg(F.min(row).alias("least"))
-    gone = rows.join(least, "root").where(~row.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
+    least = written(rows.groupBy("root").agg(F.min(row).alias("least"), F.count("*").alias("n")))
+    # roots that hold over a thousandth of the rows, a thousand at most, go to the rows instead of gathering them
+    all_rows = least.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * 1000 > all_rows
+    hot = F.broadcast(least.where(large).select("root", "least"))
+    few = rows.join(hot.select("root"), "root", "left_anti").join(least.where(~large).select("root", "least"), "root")
+    gone = few.unionByName(rows.join(hot, "root")).where(~row.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     kept = documents.join(gone, same, "left_anti")
     again = written(least.join(rows.groupBy(row.alias("least")).count().where("count > 1"), "least").select(F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__hash")))

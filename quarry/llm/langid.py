@@ -7,6 +7,10 @@ pair's margin turned into a probability. The score is the family's probability t
 Fitting: about ``PER_CLASS`` texts of each language among the learned rows, of 20,000 characters at most; whole texts
 are scored. A null text, and one without any letter, is ``und`` with score 1; so is every text when no language can be
 learned (score 0). Ties go to the language that sorts first. Repeated rows are scored each.
+
+Familiarity tells a text of none of the languages, which the machines, made to choose, may well score high: the cosine of
+its n-grams to the nearest language's mean, over the median cosine of learned snippets with as many different n-grams
+(short texts are less like any mean). Texts of the learned languages lie around 1; ``FAMILIAR`` parts them from others.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from quarry.llm._shared import _LOWER, lean, remainder, slices, task, text_bytes
 from quarry.llm.linear import calibration, labelled_sample, logistic, svm
 
 DIMENSIONS, PER_CLASS, ROWS = 4096, 400, 200
-#: Below this score a pipeline rejects a document.
-DOUBT = 0.3
+#: Below this score, or this familiarity, a pipeline rejects a document.
+DOUBT, FAMILIAR = 0.3, 0.6
 #: Language families by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
     "Germanic": "af da de en fy is lb nl nn no sv yi",
@@ -69,6 +73,13 @@ class LanguageModel:
     pairs: list[tuple[int, int]]
     pair_weights: np.ndarray
     pair_scales: np.ndarray
+    means: np.ndarray
+    knots: tuple[np.ndarray, np.ndarray]
+
+    def familiarity(self, x: np.ndarray) -> np.ndarray:
+        """How like the nearest language's mean texts are, by what learned snippets of as many n-grams are."""
+        usual = np.interp(np.log2(1 + (x > 0).sum(axis=1)), *self.knots)
+        return (x @ self.means).max(axis=1) / np.maximum(usual, 1e-6)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the languages, and scores."""
@@ -96,6 +107,16 @@ class LanguageModel:
         return language, np.clip(score, 0, 1)
 
 
+def _trend(texts: list[str], means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (log2 of different n-grams + 1, median cosine to the nearest mean) from snippets of 8 characters and more."""
+    pieces = [x[: 8 << (k % 12)] for k, x in enumerate(texts)] + texts
+    x = np.concatenate([features(*text_bytes(pa.array(pieces[k : k + ROWS], pa.string()))) for k in range(0, len(pieces), ROWS)])
+    size, like = np.log2(1 + (x > 0).sum(axis=1)), (x @ means).max(axis=1)
+    bins = np.round(2 * size).astype(int)
+    some = [b for b in np.unique(bins) if (bins == b).sum() >= 5] or [int(bins[0])]
+    return np.array([size[bins == b].mean() for b in some]), np.array([np.median(like[bins == b]) for b in some])
+
+
 def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     """None if there is nothing to learn from."""
     if not texts:
@@ -118,12 +139,15 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     within = [machine(rows := np.flatnonzero((y == a) | (y == b)), np.where(y[rows] == a, 1.0, -1.0)) for a, b in pairs]
     stack = lambda found: np.column_stack([w for w, _ in found]).astype(np.float32) if found else np.zeros((DIMENSIONS + 1, 0), np.float32)
     scale = lambda found: np.array([s for _, s in found]).reshape(-1, 2)
-    return LanguageModel(languages, families, stack(tops), scale(tops), pairs, stack(within), scale(within))
+    means = np.stack([x[y == k].mean(axis=0) for k in range(len(languages))], axis=1)
+    means /= np.maximum(np.linalg.norm(means, axis=0), 1e-12)
+    return LanguageModel(languages, families, stack(tops), scale(tops), pairs, stack(within), scale(within), means, _trend(texts, means))
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``df`` with the columns lang_pred string and score double; columns so named before are replaced."""
-    df = lean(df.drop("lang_pred", "score"))
+    """``df`` with the columns lang_pred string, score and familiarity double; columns so named before are replaced.
+    Familiarity is 1 for ``und``."""
+    df = lean(df.drop("lang_pred", "score", "familiarity"))
     told = df.sparkSession.sparkContext.broadcast(model)
 
     @task("langid")
@@ -140,14 +164,16 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") ->
                     for k in np.flatnonzero(~letters):
                         letters[k] = any(map(str.isalpha, texts[int(k)].as_py() or ""))
                     if known is None:
-                        names, scores = ["und"] * len(batch), np.where(letters, 0.0, 1.0)
+                        names, scores, like = ["und"] * len(batch), np.where(letters, 0.0, 1.0), np.ones(len(batch))
                     else:
-                        found, scores = known.predict(features(raw, at))
+                        x = features(raw, at)
+                        found, scores = known.predict(x)
+                        like = np.where(letters, known.familiarity(x), 1.0)
                         names = [known.languages[k] if good else "und" for k, good in zip(found, letters, strict=True)]
                         scores = np.where(letters, scores, 1.0)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(like, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "familiarity"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiarity", T.DoubleType())]))
 
 
 def learned(documents: DataFrame, per_class: int = PER_CLASS) -> LanguageModel | None:
@@ -163,8 +189,8 @@ def predicted(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The documents whose language is told with a score of ``DOUBT`` at least."""
+    """The documents whose language is told with a score of ``DOUBT`` and a familiarity of ``FAMILIAR`` at least."""
     names = documents.columns
     plain = documents.toDF(*[f"__{k}" for k in range(len(names))])  # no name clashes
     tagged = identify(plain, learned(documents), f"__{names.index('text')}")
-    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT)).drop("lang_pred", "score").toDF(*names)
+    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT) & (F.col("familiarity") >= FAMILIAR)).drop("lang_pred", "score", "familiarity").toDF(*names)
