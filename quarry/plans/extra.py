@@ -152,10 +152,9 @@ _COMMENTED = "replace(replace(text, '. ', chr(10) || '# '), ', ', chr(10) || chr
 
 
 @query(f"""WITH commented AS (SELECT concat('doc_', doc_id) AS file_path, string_split({_COMMENTED}, chr(10)) AS l FROM documents), k AS (SELECT file_path, i::INTEGER AS line_no, len(l)::INTEGER AS n, regexp_matches(l[i], '{_SOFT}') AS soft, regexp_matches(l[i], '^\\s*(#|$)') AND i < len(l) AS b FROM commented, unnest(range(1, len(l)+1)) AS t(i)),
- w AS (SELECT *, coalesce(max(CASE WHEN NOT soft THEN line_no END) OVER f, 0) AS wall, coalesce(lead(b, 1) OVER f, false) AS b1, coalesce(lead(b, 2) OVER f, false) AS b2 FROM k WINDOW f AS (PARTITION BY file_path ORDER BY line_no)),
- spans AS (SELECT file_path, line_no AS start_line, least(line_no + 2, n) AS end_line FROM k WHERE line_no % 3 = 1)
- SELECT u.file_path, u.start_line, u.end_line, CASE WHEN s.soft THEN s.wall + 1 ELSE u.start_line END::INTEGER AS logical_start, (u.end_line + CASE WHEN e.b AND e.b1 AND e.b2 THEN 2 WHEN e.b AND e.b1 THEN 1 ELSE 0 END)::INTEGER AS logical_end
- FROM spans u LEFT JOIN w s ON s.file_path = u.file_path AND s.line_no = u.start_line - 2 LEFT JOIN w e ON e.file_path = u.file_path AND e.line_no = u.end_line""")
+ w AS (SELECT *, coalesce(max(CASE WHEN NOT soft THEN line_no END) OVER f, 0) AS wall, CASE WHEN b AND lead(b, 1, false) OVER f AND lead(b, 2, false) OVER f THEN 2 WHEN b AND lead(b, 1, false) OVER f THEN 1 ELSE 0 END AS m FROM k WINDOW f AS (PARTITION BY file_path ORDER BY line_no)),
+ y AS (SELECT *, CASE WHEN lag(soft, 2, false) OVER f THEN lag(wall, 2) OVER f + 1 ELSE line_no END AS a, CASE n - line_no WHEN 0 THEN m WHEN 1 THEN lead(m, 1) OVER f ELSE lead(m, 2) OVER f END AS z FROM w WINDOW f AS (PARTITION BY file_path ORDER BY line_no))
+ SELECT file_path, line_no AS start_line, least(line_no + 2, n) AS end_line, a::INTEGER AS logical_start, (least(line_no + 2, n) + z)::INTEGER AS logical_end FROM y WHERE line_no % 3 = 1""")
 def logical_bounds(spark, d):
     commented = F.replace(F.replace(F.col("content"), F.lit(". "), F.lit("\n# ")), F.lit(", "), F.lit("\n\n@"))
     lines = tx.lines(b.source_files(spark, d).select("file_path", commented.alias("content")), last=True)
