@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import banded, braced, extra, more, streams  # noqa: F401
+from quarry.plans import banded, braced, extra, more, results, streams  # noqa: F401
 from quarry.plans import queries as q
 
 DATA = "/root/testdata/sf0.001"
