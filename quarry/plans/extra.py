@@ -9,7 +9,7 @@ from quarry.functions import text as tx
 from quarry.operators import chunks, structure, units, usage, workflow
 from quarry.operators import findings as fd
 from quarry.operators import focus as fo
-from quarry.plans.more import _CONTENT, _PATH, CODE, UNITS, _blocks, _corpus, _functions, _lines, _pick
+from quarry.plans.more import _CONTENT, _PATH, CODE, CODE_LINES, UNITS, _blocks, _corpus, _functions, _lines, _pick
 from quarry.plans.queries import COUNTS, DEDUP, LINES, ORDER, ORDINAL, SYN, query
 from quarry.sources import bindings as b
 
@@ -65,7 +65,25 @@ def decorator_starts(spark, d):
     return chunks.decorator_start(units.heuristic_units(lines), lines).select("file_path", "name", "start_line", "end_line")
 
 
-@query()
+def _islands(name: str, pattern: str, reach: int) -> str:
+    return f"""{name}_a AS (SELECT file_path, line_no, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY file_path ORDER BY line_no) > {reach} THEN 1 ELSE 0 END AS a FROM code_lines WHERE regexp_matches(line, '{pattern}')),
+ {name} AS (SELECT file_path, '{name}' AS chunk_type, min(line_no) AS start_line, max(line_no) AS end_line FROM (SELECT *, sum(a) OVER (PARTITION BY file_path ORDER BY line_no) AS g FROM {name}_a) GROUP BY file_path, g)"""
+
+
+def _free(name: str, taken: str) -> str:
+    return f"SELECT file_path, chunk_type, start_line, end_line FROM {name} x WHERE NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.file_path = x.file_path AND x.start_line <= t.end_line AND t.start_line <= x.end_line)"
+
+
+_IMPORTS, _ASSIGNS = r"^(import|from)\s", r"^[A-Za-z_][A-Za-z_0-9]*\s*=[^=]"
+_MARGIN = r"^(class|def|async def)\s+([A-Za-z_0-9]+)"
+
+
+@query(rf"""WITH {CODE_LINES}, {_islands("import", _IMPORTS, 2)}, {_islands("global", _ASSIGNS, 3)},
+ edge AS (SELECT *, lead(line_no) OVER (PARTITION BY file_path ORDER BY line_no) - 1 AS before FROM code_lines WHERE NOT regexp_matches(line, '^\s*(#|$)') AND NOT regexp_matches(line, '^[ \t]')),
+ margin AS (SELECT file_path, CASE regexp_extract(line, '{_MARGIN}', 1) WHEN 'class' THEN 'class' ELSE 'function' END AS chunk_type, line_no AS start_line, coalesce(before, last) AS end_line FROM edge JOIN (SELECT file_path, max(line_no) AS last FROM code_lines GROUP BY 1) USING (file_path) WHERE regexp_matches(line, '{_MARGIN}')),
+ c AS (SELECT * FROM margin WHERE chunk_type = 'class'), f AS (SELECT * FROM margin WHERE chunk_type = 'function'), t1 AS (SELECT * FROM import UNION ALL {_free("c", "import")}), t2 AS (SELECT * FROM t1 UNION ALL {_free("f", "t1")}), t3 AS (SELECT * FROM t2 UNION ALL {_free("global", "t2")}),
+ held AS (SELECT DISTINCT file_path, unnest(range(start_line, end_line + 1)) AS line_no FROM t3), m AS (SELECT l.*, t.line_no AS t, count(t.line_no) OVER (PARTITION BY l.file_path ORDER BY l.line_no) AS g FROM code_lines l LEFT JOIN held t ON l.file_path = t.file_path AND l.line_no = t.line_no)
+ SELECT file_path, chunk_type, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM t3 UNION ALL SELECT file_path, 'block', min(line_no)::INTEGER, max(line_no)::INTEGER FROM m WHERE t IS NULL AND NOT regexp_matches(line, '^\s*(#|$)') GROUP BY file_path, g HAVING max(line_no) - min(line_no) >= 2""")
 def semantic_chunks(spark, d):
     return chunks.semantic_chunks(_corpus(spark, d))
 
