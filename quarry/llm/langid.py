@@ -144,10 +144,11 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     return LanguageModel(languages, families, stack(tops), scale(tops), pairs, stack(within), scale(within), means, _trend(texts, means))
 
 
-def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``df`` with the columns lang_pred string, score and familiarity double; columns so named before are replaced.
-    Familiarity is 1 for ``und``."""
-    df = lean(df.drop("lang_pred", "score", "familiarity"))
+def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", familiar: bool = False) -> DataFrame:
+    """``df`` with the columns lang_pred string and score double, and with ``familiar`` familiarity double (1 for ``und``);
+    columns so named before are replaced."""
+    more = ["lang_pred", "score", *(["familiarity"] if familiar else [])]
+    df = lean(df.drop(*more))
     told = df.sparkSession.sparkContext.broadcast(model)
 
     @task("langid")
@@ -171,9 +172,10 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") ->
                         like = np.where(letters, known.familiarity(x), 1.0)
                         names = [known.languages[k] if good else "und" for k, good in zip(found, letters, strict=True)]
                         scores = np.where(letters, scores, 1.0)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(like, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "familiarity"])
+                    told_of = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(like, pa.float64())][: len(more)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *told_of], names=[*batch.schema.names, *more])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiarity", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(x, T.StringType() if x == "lang_pred" else T.DoubleType()) for x in more]]))
 
 
 def learned(documents: DataFrame, per_class: int = PER_CLASS) -> LanguageModel | None:
@@ -192,5 +194,5 @@ def accepted(documents: DataFrame) -> DataFrame:
     """The documents whose language is told with a score of ``DOUBT`` and a familiarity of ``FAMILIAR`` at least."""
     names = documents.columns
     plain = documents.toDF(*[f"__{k}" for k in range(len(names))])  # no name clashes
-    tagged = identify(plain, learned(documents), f"__{names.index('text')}")
+    tagged = identify(plain, learned(documents), f"__{names.index('text')}", familiar=True)
     return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= DOUBT) & (F.col("familiarity") >= FAMILIAR)).drop("lang_pred", "score", "familiarity").toDF(*names)
