@@ -22,10 +22,17 @@ def diff_lines(patches: DataFrame, patch: str = "patch") -> DataFrame:
     return told.where(F.col("line").rlike(r"^(\+[^+]|@@)")).select(*rest, (F.col("k") + 1).alias("line_no"), "line")
 
 
+def parses(json: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; a null isn't. Spark's parser stops behind the first value (of
+    ``42 and more``), so the text must parse both as an array's item and as an object's member: nothing but one value does."""
+    within = lambda a, z: F.try_parse_json(F.concat(F.lit(a), json, F.lit(z))).isNotNull()
+    return within("[", "]") & within('{"a":', "}")
+
+
 def report_counts(reports: DataFrame, json: str = "json") -> DataFrame:
     """tool, n, status of each report: results or vulnerabilities in it; ``error`` if it doesn't parse, ``empty`` if blank."""
     size = lambda path: F.coalesce(F.json_array_length(F.get_json_object(json, path)), F.lit(0))
-    blank, bad = F.col(json).rlike(r"^\s*$"), F.try_parse_json(json).isNull()
+    blank, bad = F.col(json).rlike(r"^\s*$"), ~parses(F.col(json))
     n = F.greatest(size("$.results"), size("$.vulnerabilities"))
     return reports.select("tool", F.when(blank | bad, 0).otherwise(n).cast("long").alias("n"), F.when(blank, "empty").when(bad, "error").otherwise("read").alias("status"))
 
@@ -70,7 +77,7 @@ def action(dashboard: DataFrame) -> DataFrame:
 def read_templates(spark, path: str) -> DataFrame:
     """file, json, valid of the JSON documents below ``path``; invalid ones stay, marked."""
     docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
-    return docs.select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("file"), "json", F.try_parse_json("json").isNotNull().alias("valid"))
+    return docs.select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("file"), "json", parses(F.col("json")).alias("valid"))
 
 
 def prompts(findings: DataFrame) -> DataFrame:
