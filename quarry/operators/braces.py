@@ -1,9 +1,9 @@
 """Code units of languages with braces (JavaScript, TypeScript, Go, Java, C, C++, C#, Rust, PHP): kinds, names and ends.
 
 A file is cut into comments, strings and other text by one regular expression; comments and strings are emptied but for
-their line ends, and what is left is cut behind each brace, semicolon and line end. Pieces that can't belong to a block's head
-lose their text. One shuffle by file; depths and lines are prefix sums there, and at one depth openings and closings take
-turns, so a block's end is the next row of its depth.
+their line ends, and what is left is cut behind each brace. A block's head lies in the stretch before its brace, so it is told
+there, by a fold over the stretch's pieces, before the one shuffle by file, which moves a short row for each brace. Depths and
+lines are prefix sums there, and at one depth openings and closings take turns, so a block's end is the next row of its depth.
 
 A block's head is its statement so far. A semicolon ends a statement, and so does a line end, unless a parenthesis is open;
 a line end also doesn't before a line that goes on (``GOES_ON``) or begins with the block's brace, or behind a line that
@@ -35,6 +35,10 @@ _NAME = r"[A-Za-z_$][A-Za-z_$0-9]*"
 GOES_ON = r"^(?:(?:extends|implements|permits|throws|where)\b|[:,.?&|=])"
 MORE = r"[,=&|?+(]$"
 OPEN_HEAD = r"^(?:for|if|switch)\s+[^(\s]"
+#: Text whose parentheses are closed, nested twice at most; possessive, so Java matches it without recursion.
+BALANCED = r"^[^()]*+(?:\((?:[^()]++|\([^()]*+\))*+\)[^()]*+)*+\z"
+#: What Java's regular expressions call white space.
+_WHITE = " \t\n\x0b\f\r"
 #: Kinds by a block's head, the first that matches; the last group that matches is the name.
 HEADS = [
     ("control", rf"^(?:{'|'.join(CONTROL)})\b()"),
@@ -64,27 +68,91 @@ def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def pieces(files: DataFrame) -> DataFrame:
-    """file_path, n_lines (of the file), pos, sep ({, }, ; or a line end, or empty at the file's end), open (parentheses opened less those closed),
-    blank, and text where it may belong to a block's head."""
+def _head(stretch: Column) -> Column:
+    """The pieces of a stretch that ends with ``{``: sep (; or a line end or {), open (parentheses opened less those closed), blank,
+    text where it may belong to a block's head, and what the text tells of the statement: long (its head may hold semicolons),
+    more (asks for more), on (goes on with the statement before)."""
+
+    def piece(x: Column) -> Column:
+        sep = F.right(x, F.lit(1))
+        text = F.btrim(F.when(sep == "\n", x).otherwise(F.left(x, F.length(x) - 1)), F.lit(_WHITE))
+        return F.struct(sep.alias("sep"), (_count(x, "(") - _count(x, ")")).alias("open"), text.alias("text"))
+
+    def told(x: Column) -> Column:
+        text, sep, blank = x["text"], x["sep"], x["text"] == ""
+        long = text.rlike(OPEN_HEAD)
+        kept = ~blank & ((sep != ";") | (x["open"] > 0) | long)
+        on = (kept & text.rlike(GOES_ON)) | (blank & (sep == "{"))
+        return F.struct(sep.alias("sep"), x["open"].alias("open"), blank.alias("blank"), F.when(kept, text).alias("text"), long.alias("long"), F.right(text, F.lit(2)).rlike(MORE).alias("more"), on.alias("on"))
+
+    return F.transform(F.transform(F.split(stretch, r"(?<=[;\n])", -1), piece), told)
+
+
+def _last(pieces: Column) -> Column:
+    """begin (how many of a stretch's pieces lie before its last statement) and at (how many line ends lie before that
+    statement's first text): one fold over the pieces. A line end waits for the next piece that isn't an empty line, which may
+    go on with the statement."""
+    start = {"k": 0, "sum": 0, "low": 0, "ends": 0, "long": False, "wait": -1, "begin": 0, "at": -1}
+    none = F.struct(*[F.lit(v).alias(k) for k, v in start.items()])
+
+    def count(a: Column, x: Column) -> Column:
+        fresh = (a["wait"] >= 0) & (~x["blank"] | (x["sep"] != "\n"))
+        own = fresh & ~x["on"]
+        at = F.when(own, -1).otherwise(a["at"])
+        return F.struct(
+            a["k"].alias("k"), (a["sum"] + x["open"]).alias("sum"), a["low"].alias("low"), a["ends"].alias("ends"), (a["long"] | x["long"]).alias("long"), F.when(fresh, -1).otherwise(a["wait"]).alias("wait"),
+            F.when(own, a["wait"]).otherwise(a["begin"]).alias("begin"), F.when(x["blank"] | (at >= 0), at).otherwise(a["ends"]).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        # the counts are bound as an argument, lest each use takes them anew
+        def close(c: Column) -> Column:
+            closed, line = c["sum"] <= c["low"], x["sep"] == "\n"
+            over = closed & (x["sep"] == ";") & ~c["long"]
+            return F.struct(
+                (c["k"] + 1).alias("k"), c["sum"].alias("sum"), F.least(c["low"], c["sum"]).alias("low"), F.when(line, c["ends"] + 1).otherwise(c["ends"]).alias("ends"), (c["long"] & ~line).alias("long"),
+                F.when(line & closed & ~x["blank"] & ~x["more"], c["k"] + 1).otherwise(c["wait"]).alias("wait"), F.when(over, c["k"] + 1).otherwise(c["begin"]).alias("begin"), F.when(over, -1).otherwise(c["at"]).alias("at"))
+
+        return F.element_at(F.transform(F.array(count(a, x)), close), 1)
+
+    # a statement of blank pieces alone begins at its brace
+    return F.aggregate(pieces, none, step, lambda a: F.struct(a["begin"].alias("begin"), F.when(a["at"] >= 0, a["at"]).otherwise(a["ends"]).alias("at")))
+
+
+def stretches(files: DataFrame) -> DataFrame:
+    """file_path, n_lines (of the file), pos, sep ({ or }), ends (line ends in it) of each stretch of text up to a brace; kind, name
+    and at (line ends before its head) of the block that it opens."""
     n = _count(F.col("content"), "\n") + F.when(F.col("content").endswith("\n"), 0).otherwise(1)
-    told = files.select("file_path", n.alias("n_lines"), F.split(emptied(F.col("content")), r"(?<=[{};\n])", -1).alias("p"))
-    cut = told.select("file_path", "n_lines", F.posexplode("p").alias("pos", "t"))
-    sep = F.regexp_extract("t", r"[{};\n]$", 0)
-    opened = _count(F.col("t"), "(") - _count(F.col("t"), ")")
-    text = F.regexp_replace(F.col("t"), r"^\s+|\s*[{};]?\s*$", "")
-    wanted = sep.isin("{", "\n") | (opened > 0) | text.rlike(OPEN_HEAD)
-    return cut.select("file_path", "n_lines", "pos", sep.alias("sep"), opened.alias("open"), (text == "").alias("blank"), F.when(wanted & (text != ""), text).alias("text"))
+    told = files.select("file_path", n.alias("n_lines"), F.split(emptied(F.col("content")), r"(?<=[{}])", -1).alias("p"))
+    cut = told.select("file_path", "n_lines", F.posexplode("p").alias("pos", "t")).withColumn("sep", F.right("t", F.lit(1))).where("sep in ('{', '}')")
+    # most heads are all that stands behind the last semicolon, on one line: no fold is needed for these
+    cut = cut.withColumns({"ends": _count(F.col("t"), "\n"), "own": F.when(F.col("sep") == "{", F.ltrim(F.substring_index("t", ";", -1), F.lit(_WHITE)))})
+    short = F.rtrim(F.left("own", F.length("own") - 1), F.lit(_WHITE))
+    before = F.left("t", F.length("t") - F.length(F.substring_index("t", ";", -1)))
+    plain = (F.col("own") != "{") & ~F.col("own").contains("\n") & ((before == "") | (before.rlike(BALANCED) & ~before.rlike(OPEN_HEAD[1:])))
+    cut = cut.withColumn("short", F.when(plain, short))
+    cut = cut.withColumn("p", F.when((F.col("sep") == "{") & F.col("short").isNull(), _head(F.col("t")))).withColumn("last", _last(F.col("p")))
+    head = F.coalesce("short", F.array_join(F.transform(F.slice("p", F.col("last.begin") + 1, F.size("p")), lambda x: x["text"]), " "))
+    at = F.when(F.col("short").isNotNull(), F.col("ends")).otherwise(F.col("last.at"))
+    headed = cut.select("file_path", "n_lines", "pos", "sep", "ends", at.alias("at"), head.alias("head")).withColumn("rule", _rule(F.col("head")))
+    return headed.select("file_path", "n_lines", "pos", "sep", "ends", "at", *_told(F.col("head"), F.col("rule")))
+
+
+def _rule(head: Column) -> Column:
+    """The place in ``HEADS`` of the first that matches a block's head, or -1."""
+    out = None
+    for k, (_, pattern) in enumerate(HEADS):
+        out = F.when(head.rlike(pattern), k) if out is None else out.when(head.rlike(pattern), k)
+    return out.otherwise(-1)
 
 
-def _told(head: Column) -> Column:
-    """Kind and name by a block's head."""
-    kind = name = None
-    for k, pattern in HEADS:
-        hit, found = head.rlike(pattern), F.nullif(F.regexp_extract(head, pattern, 1), F.lit(""))
-        kind = F.when(hit, k) if kind is None else kind.when(hit, k)
-        name = F.when(hit, found) if name is None else name.when(hit, found)
-    return F.struct(kind.otherwise("block").alias("kind"), name.alias("name"))
+def _told(head: Column, rule: Column) -> list[Column]:
+    """Kind and name by a block's head and the rule that it matches."""
+    kind, name = F.when(rule == -1, "block"), F.when(rule == -1, None)
+    for k, (what, pattern) in enumerate(HEADS):
+        kind = kind.when(rule == k, what)
+        if "()" not in pattern.replace("[^()", ""):  # other rules tell no name
+            name = name.when(rule == k, F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")))
+    return [kind.alias("kind"), name.cast("string").alias("name")]
 
 
 def units(files: DataFrame) -> DataFrame:
@@ -92,32 +160,12 @@ def units(files: DataFrame) -> DataFrame:
     depth (0 outside of all blocks) of each block of ``files`` (file_path, content); a path names one file."""
     by_file = Window.partitionBy("file_path").orderBy("pos")
     before, upto = by_file.rowsBetween(Window.unboundedPreceding, -1), by_file.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("sep") == "{", 1).when(F.col("sep") == "}", -1).otherwise(0)
-    here = F.when(~F.col("blank") | (F.col("sep") != "\n"), F.struct(F.col("blank").alias("b"), F.col("sep").alias("s"), F.col("text").alias("t")))
-    told = pieces(files).withColumns({
-        "line": F.coalesce(F.sum((F.col("sep") == "\n").cast("int")).over(before), F.lit(0)) + 1, "depth": F.sum(step).over(upto),
-        "stretch": F.coalesce(F.sum(F.abs(step)).over(before), F.lit(0)), "next": F.last(here, ignorenulls=True).over(Window.partitionBy("file_path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)),
-    })
-    # parentheses open: those opened since the last brace above their least number so far
-    between = Window.partitionBy("file_path", "stretch").orderBy("pos")
-    so_far = between.rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("sum", F.sum("open").over(so_far))
-    told = told.withColumn("closed", F.col("sum") <= F.least(F.lit(0), F.min("sum").over(so_far)))
-    on_line = Window.partitionBy("file_path", "stretch", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    headed = F.coalesce(F.max(F.col("text").rlike(OPEN_HEAD)).over(on_line), F.lit(False))
-    goes_on = F.coalesce(F.col("next.t").rlike(GOES_ON) | (F.col("next.b") & (F.col("next.s") == "{")), F.lit(False))
-    whole = ~F.col("blank") & ~goes_on & ~F.coalesce(F.col("text").rlike(MORE), F.lit(False))
-    ends = F.col("closed") & (((F.col("sep") == ";") & ~headed) | ((F.col("sep") == "\n") & whole))
-    told = told.withColumn("ends", ends).withColumn("statement", F.coalesce(F.sum(F.col("ends").cast("int")).over(between.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    part = Window.partitionBy("file_path", "stretch", "statement").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.array_join(F.collect_list("text").over(part), " ")
-    start = F.coalesce(F.min(F.when(~F.col("blank"), F.col("line"))).over(part), F.col("line"))
-    braces = told.withColumns({"head": F.when(F.col("sep") == "{", head), "start": start})
-    braces = braces.where("sep in ('{', '}')").withColumn("level", F.when(F.col("sep") == "{", F.col("depth") - 1).otherwise(F.col("depth")))
+    opens = F.col("sep") == "{"
+    told = stretches(files).withColumns({"first": F.coalesce(F.sum("ends").over(before), F.lit(0)) + 1, "depth": F.sum(F.when(opens, 1).otherwise(-1)).over(upto)})
+    told = told.withColumns({"line": F.col("first") + F.col("ends"), "level": F.col("depth") - F.when(opens, 1).otherwise(0)})
     turn = Window.partitionBy("file_path", "level").orderBy("pos")
-    blocks = braces.withColumn("end", F.coalesce(F.lead("line").over(turn), "n_lines")).where("sep = '{'")
-    return blocks.withColumn("u", _told(F.col("head"))).select(
-        "file_path", "u.kind", "u.name", F.col("start").cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.col("level").cast("int").alias("depth"))
+    blocks = told.withColumn("end", F.coalesce(F.lead("line").over(turn), "n_lines")).where(opens)
+    return blocks.select("file_path", "kind", "name", (F.col("first") + F.col("at")).cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.col("level").cast("int").alias("depth"))
 
 
 def weight(kind: Column, content: Column) -> Column:
