@@ -52,8 +52,12 @@ def gaps(zone: DataFrame, line_counts: DataFrame, least: int = 2) -> DataFrame:
 
 def sliced(spans: DataFrame, files: DataFrame) -> DataFrame:
     """``spans`` with content, token_count, character_count and line_count of their lines; none beyond the file's end."""
-    lines = F.slice(line_array(F.col("content")), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
-    told = spans.join(files.select("file_path", "content"), "file_path").withColumn("content", F.array_join(lines, "\n"))
+    rest = [x for x in spans.columns if x != "file_path"]
+    own = spans.groupBy("file_path").agg(F.collect_list(F.struct(*rest)).alias("_s"))
+    # a file meets its spans once, and its lines are split once
+    met = files.select("file_path", line_array(F.col("content")).alias("_lines")).join(own, "file_path").select("file_path", "_lines", F.explode("_s").alias("_s"))
+    lines = F.slice("_lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
+    told = met.select("file_path", "_lines", "_s.*").withColumn("content", F.array_join(lines, "\n")).drop("_lines")
     return told.withColumns({
         "token_count": tokens(F.col("content")), "character_count": F.length("content").cast("long"), "line_count": F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)).cast("long"),
     })

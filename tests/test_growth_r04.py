@@ -30,3 +30,14 @@ def test_plain_heads_are_as_folded_ones(spark):
     kinds = [k for k, _ in braces.HEADS] + ["block"]
     fast = {r["file_path"]: (r["at"], r["kind"]) for r in braces.stretches(df).collect()}
     assert {k: (a, kinds[r]) for k, (a, r) in slow.items()} == fast
+
+
+def test_slices_split_a_file_once(spark):
+    files = spark.createDataFrame([("a", "1\n2\n3\n4\n"), ("b", None), ("c", "x")], "file_path string, content string")
+    spans = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", 3, 9), ("a", 4, 3), ("b", 1, 1), ("d", 1, 1), ("c", 1, 1)], "file_path string, start_line int, end_line int")
+    out = focus.sliced(spans, files)
+    assert out.columns == ["file_path", "start_line", "end_line", "content", "token_count", "character_count", "line_count"]
+    got = sorted((r["file_path"], r["start_line"], r["end_line"], r["content"]) for r in out.collect())
+    assert got == [("a", 1, 2, "1\n2"), ("a", 1, 2, "1\n2"), ("a", 3, 9, "3\n4"), ("a", 4, 3, ""), ("b", 1, 1, ""), ("c", 1, 1, "x")]
+    below = planned(out).split("Join", 1)
+    assert "split(" not in below[0] and "split(" in below[1]  # lines are split before files meet their spans
