@@ -21,9 +21,14 @@ def normalized_description(description: Column) -> Column:
     return squeezed(text)
 
 
-def signature(path: str = "file_path", line: str = "start_line", kind: str = "vulnerability_type", description: str = "description") -> Column:
+def signed(path: str = "file_path", line: str = "start_line", kind: str = "vulnerability_type", description: str = "description") -> Column:
     """What findings of one flaw share: file, line, type and the start of the normalised description."""
-    return F.md5(F.concat_ws("|", path, F.col(line).cast("string"), kind, F.substring(normalized_description(F.col(description)), 1, 100)))
+    return F.concat_ws("|", path, F.col(line).cast("string"), kind, F.substring(normalized_description(F.col(description)), 1, 100))
+
+
+def signature(path: str = "file_path", line: str = "start_line", kind: str = "vulnerability_type", description: str = "description") -> Column:
+    """The hash of ``signed``."""
+    return F.md5(signed(path, line, kind, description))
 
 
 def included(df: DataFrame, least_confidence: float = 0.3, least_severity: str = "low", types: list[str] | None = None) -> DataFrame:
@@ -40,7 +45,7 @@ def high_severity(df: DataFrame) -> DataFrame:
     return df.where(F.col("severity").isin("critical", "high"))
 
 
-def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical") -> DataFrame:
+def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical", columns: list[str] | None = None) -> DataFrame:
     """One finding of each signature: the tool trusted most, then the greatest confidence, then severity, then ``order``.
 
     Adds n (findings merged), confidence raised by 0.1 for each other one (0.3 and 1.0 at most; confidence_level stays
@@ -50,21 +55,23 @@ def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical
     Where findings have ``metadata`` (a map of texts), the survivor's gains an entry ``<tool>_metadata`` for each other
     tool, as JSON: that of the tool's last finding in rank order. Tools without a priority give no entry.
 
-    One hash aggregate with map-side combining: the survivor is the least of a struct, and of the others only a count
-    for each tool is kept, so neither a hot signature nor its sort ever meets in one task's memory.
+    One aggregate with map-side combining: the survivor is the least of a struct, and of the others only a count
+    for each tool is kept, so neither a hot signature nor its sort ever meets in one task's memory. What is shuffled is
+    ``columns`` of the survivors (all if not given; source_tool and confidence always stay) under the text that is hashed,
+    of which neighbouring rows share much, while hashes can't be compressed; the hash is taken of each group behind it.
     """
     ranks = {x: k for k, x in enumerate(sorted(maps.SEVERITIES))} if severity_order == "lexical" else {x: k for k, x in enumerate(maps.SEVERITIES)}
     tool, level = F.lower("source_tool"), F.lower("severity")
     priority = maps.lookup(maps.TOOL_PRIORITY, tool, 0)
     rank = F.struct((-priority).alias("p"), (-F.coalesce("confidence", F.lit(-1.0))).alias("c"), (-maps.lookup(ranks, level, -1)).alias("s"), *order)
-    keep = [x for x in df.columns if x not in order]
+    keep = [x for x in df.columns if x not in order and (columns is None or x in {*columns, "source_tool", "confidence", "metadata"})]
     names = sorted(maps.TOOL_PRIORITY, key=lambda x: -maps.TOOL_PRIORITY[x])
     counts = [F.count_if(tool == x).alias(f"_{x}") for x in names]
     merged = "metadata" in df.columns
     if merged:
         ranked = {x: F.when(tool == x, rank) for x in names}
         counts += [F.max_by(F.to_json("metadata", {"ignoreNullFields": "false"}), ranked[x]).alias(f"_m_{x}") for x in names]
-    best = df.groupBy(signature().alias("signature")).agg(F.min_by(F.struct(*keep), rank).alias("b"), F.count("*").alias("n"), *counts)
+    best = df.groupBy(signed().alias("_k")).agg(F.min_by(F.struct(*keep), rank).alias("b"), F.count("*").alias("n"), *counts)
     others = F.concat(*[F.array_repeat(F.lit(x), (F.col(f"_{x}") - F.when(F.lower("b.source_tool") == x, 1).otherwise(0)).cast("int")) for x in names])
     boosted = F.least(F.lit(1.0), F.col("b.confidence") + F.least(0.1 * (F.col("n") - 1), F.lit(0.3)))
     if merged:
@@ -75,7 +82,7 @@ def deduplicated(df: DataFrame, order: list[str], severity_order: str = "lexical
         theirs = F.map_from_entries(entries)
         kept = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(theirs), k))
         best = best.withColumn("b", F.col("b").withField("metadata", F.map_concat(kept, theirs)))
-    out = best.select("signature", "b.*", "n", F.array_join(others, ", ").alias("also_detected_by"), boosted.alias("_boosted"))
+    out = best.select(F.md5("_k").alias("signature"), "b.*", "n", F.array_join(others, ", ").alias("also_detected_by"), boosted.alias("_boosted"))
     level_was = maps.confidence_level(F.col("confidence"))
     return out.withColumn("confidence_level", level_was).withColumn("confidence", F.col("_boosted")).drop("_boosted")
 
