@@ -141,13 +141,13 @@ DEDUP = f"""{SYN}, {_RANKED}, best AS (SELECT signature, file_path, start_line,
 
 @query(f"WITH {DEDUP} SELECT signature, file_path, start_line, end_line, source_tool, severity, vulnerability_type FROM best")
 def dedup_best(spark, d):
-    return fd.deduplicated(_syn(spark, d), b.ORDER).select("signature", "file_path", "start_line", "end_line", "source_tool", "severity", "vulnerability_type")
+    return fd.deduplicated(_syn(spark, d), b.ORDER, columns=["file_path", "start_line", "end_line", "severity", "vulnerability_type"]).select("signature", "file_path", "start_line", "end_line", "source_tool", "severity", "vulnerability_type")
 
 
 @query(f"""WITH {DEDUP} SELECT signature, n, confidence_level, round(boosted, 6) AS confidence, coalesce(tools, '') AS also_detected_by FROM best LEFT JOIN
  (SELECT signature AS s, string_agg(source_tool, ', ' ORDER BY rn) AS tools FROM ranked WHERE rn > 1 GROUP BY 1) ON s = signature""")
 def dedup_merge(spark, d):
-    return fd.deduplicated(_syn(spark, d), b.ORDER).select("signature", "n", "confidence_level", F.round("confidence", 6).alias("confidence"), "also_detected_by")
+    return fd.deduplicated(_syn(spark, d), b.ORDER, columns=[]).select("signature", "n", "confidence_level", F.round("confidence", 6).alias("confidence"), "also_detected_by")
 
 
 @query(f"""WITH {SYN} SELECT 'severity' AS dimension, severity AS value, count(*) AS n FROM syn GROUP BY 2 UNION ALL SELECT 'vulnerability_type', vulnerability_type, count(*) FROM syn GROUP BY 2 UNION ALL SELECT 'source_tool', source_tool, count(*) FROM syn GROUP BY 2""")
