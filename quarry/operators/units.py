@@ -70,21 +70,21 @@ def heuristic_units(lines: DataFrame, opener: str = r"^\s*(class|def|async def)\
     """file_path, kind, name, start_line, end_line of blocks told by indentation alone.
 
     ``lines`` has file_path, line_no, line. A block opens at a line that matches ``opener`` and ends before the first
-    later line, blank and comment lines apart, that is indented no deeper. Lines are taken once for each depth at which
-    a file opens blocks, a handful, and one backward window finds each one's next line at that depth or less.
+    later line, blank and comment lines apart, that is indented no deeper. One shuffle by file, without texts; lines are taken
+    once for each depth at which a file opens blocks, a handful, that is theirs or deeper, and the next of these ends a block.
     """
-    depth = indent(F.col("line"))
-    real = lines.where(~F.col("line").rlike(r"^\s*(#|$)")).select("file_path", "line_no", depth.alias("depth"), "line")
-    last = lines.groupBy("file_path").agg(F.max("line_no").alias("last"))
-    opens = F.col("line").rlike(opener)
-    depths = real.where(opens).groupBy("file_path").agg(F.collect_set("depth").alias("depths"))
-    dealt = real.join(depths, "file_path").withColumn("own", F.explode("depths"))
-    back = Window.partitionBy("file_path", "own").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last(F.when(F.col("depth") <= F.col("own"), F.col("line_no")), ignorenulls=True).over(back)
-    found = dealt.withColumn("next", after).where(opens & (F.col("depth") == F.col("own"))).join(last, "file_path")
-    word = F.regexp_extract("line", opener, 1)
+    code, opens = ~F.col("line").rlike(r"^\s*(#|$)"), F.col("line").rlike(opener)
+    # texts stay behind: a line is its depth, and an opener's words
+    told = lines.where("file_path is not null").select(
+        "file_path", "line_no", F.when(code, indent(F.col("line"))).alias("depth"), F.when(code & opens, F.struct(F.regexp_extract("line", opener, 1).alias("word"), F.regexp_extract("line", opener, 2).alias("name"))).alias("u"))
+    whole = Window.partitionBy("file_path")
+    told = told.withColumns({"depths": F.collect_set(F.when(F.col("u").isNotNull(), F.col("depth"))).over(whole), "last": F.max("line_no").over(whole)})
+    # a line deeper than every opener closes none
+    dealt = told.withColumn("own", F.explode("depths")).where("depth <= own")
+    after = F.lead("line_no").over(Window.partitionBy("file_path", "own").orderBy("line_no"))
+    found = dealt.withColumn("next", after).where("u is not null and depth = own")
     return found.select(
-        "file_path", F.when(word == "class", "class").otherwise("function").alias("kind"), F.regexp_extract("line", opener, 2).alias("name"),
+        "file_path", F.when(F.col("u.word") == "class", "class").otherwise("function").alias("kind"), F.col("u.name").alias("name"),
         F.col("line_no").cast("int").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("last")).cast("int").alias("end_line"))
 
 
