@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.maps import severity_weight
-from quarry.functions.text import line_array, stripped, suffix
+from quarry.functions.text import suffix
 
 #: What a line begins with in structured code, with weights.
 STRUCTURE = {"class ": 0.2, "def ": 0.15, "function ": 0.15, "if ": 0.1, "for ": 0.1, "while ": 0.1, "try:": 0.1, "except:": 0.1}
@@ -20,21 +20,31 @@ TYPE_PRIORITY = {"focused": 5, "function": 4, "class": 3, "context": 2, "block":
 AST_WEIGHT, FOCUS_WEIGHT = 0.6, 0.4
 
 
+#: What stands before a stripped line's text, at the line's start; and text behind a word, without which the word loses its end.
+_START, _MORE = r"(?<![^\n])[^\S\n]*+", r"(?=[^\S\n]*+\S)"
+
+
 def structure_score(content: Column) -> Column:
     """Weights of lines that begin like structured code, a score for each fifty lines, 1.0 at most."""
-    lines = F.split(content, "\n", -1)
+    words = "|".join(x + (_MORE if x.endswith(" ") else "") for x in STRUCTURE)
+    # only these lines are looked at, in one scan of the text
+    found = F.regexp_extract_all(content, F.lit(f"{_START}(?i)({words})"), 1)
 
-    def weight(line: Column) -> Column:
-        line = F.lower(stripped(line))
-        return sum((F.when(line.startswith(x), w).otherwise(0.0) for x, w in STRUCTURE.items()), F.lit(0.0))
+    def weight(word: Column) -> Column:
+        out = None
+        for x, w in STRUCTURE.items():
+            hit = F.lower(word) == x
+            out = F.when(hit, w) if out is None else out.when(hit, w)
+        return out
 
-    total = F.aggregate(lines, F.lit(0.0), lambda a, x: a + weight(x))
-    return F.least(total / F.greatest(F.size(lines) / 50, F.lit(1.0)), F.lit(1.0))
+    total = F.aggregate(found, F.lit(0.0), lambda a, x: a + weight(x))
+    size = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    return F.least(total / F.greatest(size / 50, F.lit(1.0)), F.lit(1.0))
 
 
 def function_count(content: Column) -> Column:
-    hit = lambda x: stripped(x).startswith("def ") | stripped(x).startswith("func ") | x.contains("function ")
-    return F.size(F.filter(F.split(content, "\n", -1), hit))
+    """Lines that begin with a function's word or hold ``function `` anywhere, in one scan of the text."""
+    return F.regexp_count(content, F.lit(rf"(?<![^\n])(?:[^\S\n]*+(?:def|func) {_MORE}|[^\n]*?function )"))
 
 
 def _contained(text: Column, words: list[str]) -> Column:
@@ -52,7 +62,8 @@ def priorities(files: DataFrame, findings: DataFrame, valid: Column | None = Non
     some = findings.limit(1).agg((F.count("*") > 0).alias("some"))
     f = files.join(own, "file_path", "left").crossJoin(F.broadcast(some))  # one row
     ok = F.lit(True) if valid is None else valid
-    n, low = F.size(line_array(F.col("content"))), F.lower("content")
+    text, low = F.coalesce("content", F.lit("")), F.lower("content")
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when((text == "") | text.endswith("\n"), 0).otherwise(1)
     f = f.withColumns({"_n": n, "_ok": ok, "_funcs": function_count(F.col("content")), "_score": structure_score(F.col("content"))})
     p_ast = F.least(F.lit(1.0), 0.7 + F.when(F.col("_n") > 200, 0.1).otherwise(0.0) + F.when(F.col("some"), 0.0).otherwise(0.1) - F.when(F.col("_ok"), 0.0).otherwise(0.3))
     p_focus = F.when(~F.col("some"), 0.0).otherwise(F.coalesce("own", F.lit(0.1)))
