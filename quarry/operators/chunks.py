@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.budget import truncated
+from quarry.functions.durable import written
 from quarry.functions.text import lines as exploded
 from quarry.functions.text import stripped, tokens
 from quarry.operators import units as un
@@ -144,18 +145,16 @@ def semantic_chunks(files: DataFrame) -> DataFrame:
     classes at the margin, functions at the margin, blocks of assignments, what remains."""
     lines = exploded(files.select("file_path", "content"))
     margin = un.heuristic_units(lines, r"^(class|def|async def)\s+([A-Za-z_0-9]+)")
-    spans = {
-        "import": un.import_blocks(lines), "class": margin.where("kind = 'class'").select("file_path", "start_line", "end_line"),
-        "function": margin.where("kind = 'function'").select("file_path", "start_line", "end_line"), "global": un.global_blocks(lines),
-    }
+    # spans are few; written once, lest each step cuts the files' lines anew for all steps before it
+    named = {"import": un.import_blocks(lines), None: margin, "global": un.global_blocks(lines)}
+    parts = [df.select("file_path", (F.lit(k) if k else F.col("kind")).alias("chunk_type"), "start_line", "end_line") for k, df in named.items()]
+    spans = written(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     out = None
-    for name, span in spans.items():
-        span = span.select("file_path", "start_line", "end_line")
+    for name in ("import", "class", "function", "global"):
+        span = spans.where(F.col("chunk_type") == name)
         if out is not None:
-            taken = out.select("file_path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-            clash = (span["file_path"] == taken["file_path"]) & (span["start_line"] <= taken["b"]) & (taken["a"] <= span["end_line"])
-            span = span.join(taken, clash, "left_anti")
-        span = span.select("file_path", F.lit(name).alias("chunk_type"), "start_line", "end_line")
+            taken = out.select(F.col("file_path").alias("f"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+            span = span.join(taken, (F.col("file_path") == F.col("f")) & (F.col("start_line") <= F.col("b")) & (F.col("a") <= F.col("end_line")), "left_anti")
         out = span if out is None else out.unionByName(span)
     rest = un.remaining_blocks(lines, out).select("file_path", F.lit("block").alias("chunk_type"), "start_line", "end_line")
     return out.unionByName(rest)
