@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,23 +31,43 @@ def stateful(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_STORE, before)
 
 
+#: Buckets of paths, a number that a checkpoint fixes: a batch calls the state store for each bucket with news, not each path.
+BUCKETS = 4096
+
+
 class _LastHash(StatefulProcessor):
-    """Keeps the hash of a path's last content; lets a version through whose hash differs."""
+    """Keeps the hash and version of the last content of each path of a bucket, as one table in Arrow's format; lets a version
+    through whose hash differs from the one before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "hash long, version long")
+        self._last = handle.getValueState("last", "known binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known, version = self._last.get() if self._last.exists() else (None, 0)
-        seen = pd.concat(list(rows)).sort_values("order", kind="stable")
-        out = []
-        for hash_, order in zip(seen["hash"].tolist(), seen["order"].tolist(), strict=True):
-            if hash_ != known:
-                known, version = hash_, version + 1
-                out.append((key[0], order, version))
-        if out:
-            self._last.update((known, version))
-            yield pd.DataFrame(out, columns=["file_path", "order", "version"])
+        seen = pd.concat([x[["file_path", "order", "hash"]] for x in rows])
+        seen = seen.sort_values(["file_path", "order"], kind="stable", ignore_index=True)
+        first = ~seen["file_path"].duplicated()
+        known = None
+        before, base = pd.Series(0, seen.index, dtype="int64"), pd.Series(0, seen.index, dtype="int64")
+        if self._last.exists():
+            with pa.ipc.open_stream(self._last.get()[0]) as stream:
+                known = stream.read_pandas().set_index("file_path")
+            at = known.index.get_indexer(seen["file_path"])
+            there = at >= 0
+            before[there], base[there] = known["hash"].to_numpy()[at[there]], known["version"].to_numpy()[at[there]]
+        last = seen["hash"].shift(fill_value=0).where(~first, before)
+        new = (seen["hash"] != last) | (first & (base == 0))
+        seen["version"] = base + new.astype("int64").groupby(seen["file_path"]).cumsum()
+        out = seen[new]
+        if len(out):
+            kept = seen.loc[~seen["file_path"].duplicated(keep="last"), ["file_path", "hash", "version"]]
+            if known is not None:
+                kept = pd.concat([known[~known.index.isin(kept["file_path"])].reset_index(), kept], ignore_index=True)
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(kept, preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            self._last.update((sink.getvalue().to_pybytes(),))
+            yield out[["file_path", "order", "version"]]
 
     def close(self) -> None:
         pass
@@ -58,9 +79,10 @@ def changed_files(files: DataFrame) -> DataFrame:
 
     Contents are compared by 64-bit hash, taken in the JVM: neither texts nor old versions are kept or sent to Python. A
     null content is a version like others; rows without a path are left out. Versions of one batch are taken by order.
+    State is kept by ``BUCKETS`` buckets of paths; a bucket's is read and written whole where one of its files changes.
     """
-    hashed = files.where("file_path is not null").select("file_path", F.col("order").cast("long").alias("order"), F.xxhash64("content").alias("hash"))
-    return hashed.groupBy("file_path").transformWithStateInPandas(_LastHash(), outputStructType="file_path string, order long, version long", outputMode="Append", timeMode="None")
+    hashed = files.where("file_path is not null").select(F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)).alias("bucket"), "file_path", F.col("order").cast("long").alias("order"), F.xxhash64("content").alias("hash"))
+    return hashed.groupBy("bucket").transformWithStateInPandas(_LastHash(), outputStructType="file_path string, order long, version long", outputMode="Append", timeMode="None")
 
 
 #: Stands for a null id in pandas, where a null would turn the others into floats.
