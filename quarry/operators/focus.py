@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.maps import severity_weight
 from quarry.functions.text import line_array, tokens
+from quarry.operators import pairs
 
 CONTEXT = 10
 
@@ -128,22 +129,16 @@ def relationships(chunks: DataFrame, least: float = 0.1) -> DataFrame:
     """file_path, first, second (start lines), strength, kind for pairs of a file's chunks.
 
     ``chunks`` has functions and imports (arrays). Half a point for each shared function, 0.3 for an import, 0.4 if the
-    second starts within five lines of the first's end; 1.0 at most. Pairs come from equality joins on shared names and
-    on neighbouring lines, never from all pairs of a file; chunks of a file differ in their lines.
+    second starts within five lines of the first's end; 1.0 at most. A chunk is shuffled once, by file, and sorted within
+    its task; pairs come from shared names and neighbouring lines, never from all pairs of a file, and are told as they
+    are met: none is shuffled, sorted or kept.
     """
-    place = ["file_path", "start_line", "end_line"]
-    ahead = F.col("a.start_line") < F.col("b.start_line")
-    pair = [F.col("a.file_path").alias("file_path"), F.col("a.start_line").alias("first"), F.col("a.end_line").alias("first_end"), F.col("b.start_line").alias("second"), F.col("b.end_line").alias("second_end")]
-
-    def shared(names: str) -> DataFrame:
-        named = chunks.select(*place, F.explode(F.array_distinct(names)).alias("name"))
-        met = named.alias("a").join(named.alias("b"), (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.name") == F.col("b.name")) & ahead)
-        return met.select(*pair, F.lit(names).alias("by"))
-
-    beside = chunks.select(*place, F.explode(F.sequence(F.col("end_line") - 5, F.col("end_line") + 5)).alias("next")).alias("a")
-    near = beside.join(chunks.select(*place).alias("b"), (F.col("a.file_path") == F.col("b.file_path")) & (F.col("a.next") == F.col("b.start_line")) & ahead).select(*pair, F.lit("lines").alias("by"))
-    keys = ["file_path", "first", "first_end", "second", "second_end"]
-    told = shared("functions").unionByName(shared("imports")).unionByName(near).groupBy(*keys).agg(F.count_if(F.col("by") == "functions").alias("f"), F.count_if(F.col("by") == "imports").alias("i"), F.bool_or(F.col("by") == "lines").alias("seq"))
+    # only whether names are the same counts: a long one is told by its digest, which is longer than any that is kept
+    short = lambda x: F.when(F.octet_length(x) < 64, x).otherwise(F.sha2(x, 256))
+    names = [F.transform(F.array_distinct(x), short).alias(x) for x in ("functions", "imports")]
+    rows = chunks.where("file_path is not null and start_line is not null").select("file_path", "start_line", "end_line", *names)
+    line = dict(rows.dtypes)["start_line"]
+    told = rows.repartition("file_path").sortWithinPartitions("file_path", "start_line").mapInArrow(pairs.told, f"file_path string, first {line}, second {line}, f bigint, i bigint, seq boolean")
     strength = F.least(F.lit(1.0), 0.5 * F.col("f") + 0.3 * F.col("i") + F.when(F.col("seq"), 0.4).otherwise(0.0))
     kind = F.when(F.col("seq"), "sequential").when(F.col("f") > 0, "functional").otherwise("related")
     return told.select("file_path", "first", "second", strength.alias("strength"), kind.alias("kind")).where(F.col("strength") >= least)

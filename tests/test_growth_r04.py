@@ -96,3 +96,38 @@ def test_semantic_chunks_cut_lines_once_for_all_steps(spark):
     assert planned(out).count("Generate posexplode") == 1
     got = sorted((r["start_line"], r["end_line"], r["chunk_type"]) for r in out.collect())
     assert got == [(1, 2, "import"), (4, 6, "class"), (7, 9, "function"), (10, 11, "global"), (13, 15, "block")]
+
+
+def test_chunk_pairs_are_never_shuffled_or_sorted(spark):
+    rows = [("a", 1, 2, ["f"], ["x"]), ("a", 9, 9, ["f"], ["x"]), ("a", 20, None, ["x"], None), ("a", 21, 21, ["x", None], ["f"]), ("b", 1, 1, ["f"], None), (None, 1, 1, ["f"], None), (None, 2, 2, ["f"], None), ("a", None, 1, ["f"], None)]
+    long = "n" * 64  # told apart behind what a short name may have
+    rows += [("c", 100 * k, 100 * k, [x], []) for k, x in enumerate([long, long + "1", long + "2", long + "1"])]
+    df = spark.createDataFrame(rows, "file_path string, start_line int, end_line int, functions array<string>, imports array<string>")
+    out = focus.relationships(df)
+    plan = planned(out)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 9, 0.8, "functional"), ("a", 20, 21, 0.5, "functional"), ("c", 100, 300, 0.5, "functional")]
+    assert len(re.findall(r"\bExchange ", plan)) == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_chunk_pairs_of_files_over_many_batches(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from quarry.operators import pairs
+
+    r = random.Random(7)
+    monkeypatch.setattr(pairs, "SLAB", 16)
+    # b has chunks of one start, c and d lie in one batch, e goes on to the end; a long common name meets all of it
+    sizes = {"a": 1, "b": 9, "c": 1, "d": 1, "e": 30}
+    rows = [(p, k // 2 * 2 if p == "b" else 2 * k - 5, r.choice([None, 2 * k + r.randint(-9, 9)]), r.choice([None, ["all", *r.sample("uvw", r.randint(0, 3))]]), r.choice([[], ["all"], [None, "u"]])) for p, n in sizes.items() for k in range(n)]
+    schema = pa.schema([("file_path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("functions", pa.list_(pa.string())), ("imports", pa.list_(pa.string()))])
+    whole = pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
+    both = lambda x, y: len((set(x or []) & set(y or [])) - {None})
+    met = [(a[0], a[1], b[1], both(a[3], b[3]), both(a[4], b[4]), a[2] is not None and abs(a[2] - b[1]) <= 5) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
+    want = sorted(x for x in met if any(x[3:]))
+    for size in (1, 2, 5, 11, len(rows)):
+        got = list(pairs.told(whole.slice(k, size) for k in range(0, len(rows), size)))
+        assert sorted(tuple(x.values()) for batch in got for x in batch.to_pylist()) == want
+        # pairs are put out as they are met: SLAB and one chunk's at most
+        assert max(len(x) for x in got) <= 16 + 3 * 30 and len(got) > 10
